@@ -91,7 +91,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         [],
         f"""SELECT {_TASK} AS task, family, source, version, model, seed, 'raw' AS calibration, o_orderkey AS row_id,
  o_custkey AS subject_id, (o_orderstatus='F')::INT AS y_true,
- 0.02::DOUBLE+0.96::DOUBLE*((o_orderkey*(seed-35))%101+(o_orderstatus='F')::INT*w)/(101.0::DOUBLE+w) AS risk
+ (1+(o_orderkey*(seed-35))%101+(o_orderstatus='F')::INT*w)/256.0::DOUBLE AS risk
  FROM orders, {_MODELS}, (VALUES (42),(43),(44)) s(seed)""",
     ),
     "v_doc_predictions": (
@@ -133,9 +133,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         [],
         f"""SELECT {_TASK} AS task, CASE WHEN o_custkey%10<=4 THEN 'tuning' ELSE 'held_out' END AS split, seed,
  o_orderkey AS row_id, o_custkey AS subject_id, (o_orderstatus='F')::INT AS y_true,
- 0.02::DOUBLE+0.96::DOUBLE*((o_orderkey*(seed-35))%101+(o_orderstatus='F')::INT*40)/141.0::DOUBLE AS p_tabular,
- 0.02::DOUBLE+0.96::DOUBLE*((o_orderkey*(seed-31))%101+(o_orderstatus='F')::INT*10)/111.0::DOUBLE AS p_sequence,
- 0.02::DOUBLE+0.96::DOUBLE*((o_orderkey*(seed-29))%101+(o_orderstatus='F')::INT*20)/121.0::DOUBLE AS p_numeric_sequence
+ (1+(o_orderkey*(seed-35))%101+(o_orderstatus='F')::INT*40)/256.0::DOUBLE AS p_tabular,
+ (1+(o_orderkey*(seed-31))%101+(o_orderstatus='F')::INT*10)/256.0::DOUBLE AS p_sequence,
+ (1+(o_orderkey*(seed-29))%101+(o_orderstatus='F')::INT*20)/256.0::DOUBLE AS p_numeric_sequence
  FROM orders, (VALUES (42),(43)) s(seed)""",
     ),
     "v_fusion": (
@@ -263,11 +263,12 @@ def ranking_ctes(src: str, keys: str, fracs: list[float], weight: str = "1", cli
   least(greatest(risk,1e-6::DOUBLE),1-1e-6::DOUBLE) AS q FROM {src}),
 m_s AS (SELECT {k}, s, sum(w*y) AS pos, sum(w*(1-y)) AS neg FROM m_r GROUP BY ALL),
 m_c AS (SELECT *, sum(pos) OVER (PARTITION BY {k} ORDER BY s DESC) AS cp, sum(neg) OVER (PARTITION BY {k} ORDER BY s DESC) AS cn FROM m_s),
-m_a AS (SELECT {k}, sum(pos) AS P, sum(neg) AS N, sum(neg*(cp-pos)+0.5::DOUBLE*pos*neg) AS area,
+m_a AS (SELECT {k}, sum(pos) AS tot_pos, sum(neg) AS tot_neg, sum(neg*(cp-pos)+0.5::DOUBLE*pos*neg) AS area,
   sum(pos*cp::DOUBLE/(cp+cn)) AS prec FROM m_c GROUP BY ALL),
 m_l AS (SELECT {k}, sum(w*(q-y)*(q-y))/sum(w) AS brier, sum(-w*CASE WHEN y=1 THEN ln(q) ELSE ln(1-q) END)/sum(w) AS logloss FROM m_r GROUP BY ALL),
-m_b AS (SELECT *, P+N AS n, P AS n_positive, P/(P+N)::DOUBLE AS event_rate,
-  CASE WHEN P>0 AND N>0 THEN area/(P::DOUBLE*N) END AS auroc, CASE WHEN P>0 AND N>0 THEN prec/P END AS auprc
+m_b AS (SELECT *, tot_pos+tot_neg AS n, tot_pos AS n_positive, tot_pos/(tot_pos+tot_neg)::DOUBLE AS event_rate,
+  CASE WHEN tot_pos>0 AND tot_neg>0 THEN area/(tot_pos::DOUBLE*tot_neg) END AS auroc,
+  CASE WHEN tot_pos>0 AND tot_neg>0 THEN prec/tot_pos END AS auprc
   FROM m_a JOIN m_l USING ({k}))"""
     if not fracs:
         return ctes + f",\nmetrics AS (SELECT * FROM m_b)"

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqrisk.operators.joins import paired_variants
 from seqrisk.operators.ranking import (
     BASE_METRICS,
     LOWER_IS_BETTER,
@@ -417,3 +418,57 @@ def fusion_summary(samples: DataFrame, paired: DataFrame, n_draws: int) -> DataF
         "p_two_sided_improvement",
         F.lit(n_draws).cast("long").alias("n_boot"),
     )
+
+
+# ---------------------------------------------------------------- named pairs of model configurations
+
+
+def pairwise_comparisons(
+    ensemble: DataFrame,
+    configs: Sequence[dict],
+    comparisons: Sequence[dict],
+    *,
+    n_draws: int = 1000,
+    seed: int = 42,
+) -> DataFrame:
+    """Every named pair of configurations in both subgroups, resampled by subject in one job.
+
+    ``configs`` entries have key, task, family, version, model; ``comparisons`` entries have
+    comparison, description, task, a, b (config keys). Unknown keys are rejected before any job, a
+    pair without common rows is absent from the result.
+    """
+    known = {c["key"]: c for c in configs}
+    if len(known) != len(configs):
+        raise ValueError("Duplicate config key")
+    unknown = sorted({c[s] for c in comparisons for s in "ab"} - set(known))
+    if unknown:
+        raise ValueError(f"Unknown config keys: {unknown}")
+    on = ["task", "family", "version", "model"]
+    spark = ensemble.sparkSession
+    # Both tables are as long as the caller's lists.
+    config_rows = spark.createDataFrame(
+        [[c["key"], *[c[k] for k in on]] for c in configs], ["variant", *on]
+    )
+    keyed = ensemble.join(F.broadcast(config_rows), on)
+    row = ["task", "group_name", "row_id", "subject_id", "y_true"]
+    met = paired_variants(keyed, [(c["b"], c["a"]) for c in comparisons], row)
+
+    def label(key: str) -> str:
+        c = known[key]
+        return f"{c['family']}: {c['version']} + {c['model']}"
+
+    names = spark.createDataFrame(
+        [
+            [c["task"], c["a"], c["b"], c["comparison"], c["description"], label(c["a"]), label(c["b"])]
+            for c in comparisons
+        ],
+        ["task", "candidate_variant", "baseline_variant", "comparison", "description", "model_a", "model_b"],
+    )
+    titles = ["comparison", "description", "model_a", "model_b"]
+    paired = met.join(F.broadcast(names), ["task", "candidate_variant", "baseline_variant"]).select(
+        *row,
+        *titles,
+        F.col("risk_candidate").alias("risk_a"),
+        F.col("risk_baseline").alias("risk_b"),
+    )
+    return cluster_delta(paired, ["task", "group_name", *titles], n_draws=n_draws, seed=seed)

@@ -127,6 +127,15 @@ def metric_mean_std(
     )
 
 
+def steady_mean(c: str) -> Column:
+    """Mean that does not depend on the order of addition.
+
+    Examples with the same scores must get the same mean: a difference in the last bit would break a
+    tie and move every ranking metric from run to run.
+    """
+    return F.avg(F.col(c).cast("decimal(28,18)")).cast("double")
+
+
 def _spread(c: str) -> Column:
     return F.coalesce(F.stddev_samp(c), F.lit(0.0))
 
@@ -134,7 +143,7 @@ def _spread(c: str) -> Column:
 def prediction_stability(df: DataFrame) -> DataFrame:
     """Per example: mean and deviation of the risk over seeds (0 for one seed)."""
     return df.groupBy(*EXAMPLE_KEYS).agg(
-        F.avg("risk").alias("risk_mean"),
+        steady_mean("risk").alias("risk_mean"),
         _spread("risk").alias("risk_std"),
         F.count_distinct("seed").alias("n_seeds"),
     ).withColumn("group_name", subgroup_label("high_repeat_group"))
@@ -161,7 +170,7 @@ def stability_summary(by_example: DataFrame) -> DataFrame:
 def ensemble_predictions(df: DataFrame) -> DataFrame:
     """Mean risk over seeds per example."""
     return df.groupBy(*EXAMPLE_KEYS).agg(
-        F.avg("risk").alias("risk"),
+        steady_mean("risk").alias("risk"),
         _spread("risk").alias("risk_std"),
         F.count_distinct("seed").alias("n_seeds"),
     ).withColumn("group_name", subgroup_label("high_repeat_group"))
@@ -171,7 +180,7 @@ def ensemble_base_scores(df: DataFrame) -> DataFrame:
     """Mean of the three score columns over seeds; the seed becomes −1."""
     scores = ["p_tabular", "p_sequence", "p_numeric_sequence"]
     return df.groupBy("task", "split", "row_id", "subject_id", "y_true").agg(
-        *[F.avg(c).alias(c) for c in scores]
+        *[steady_mean(c).alias(c) for c in scores]
     ).withColumn("seed", F.lit(-1))
 
 
