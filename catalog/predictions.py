@@ -39,6 +39,11 @@ def _rounded(expr: str, name: str) -> str:
     return f"round(CAST({expr} AS DOUBLE), 6)+0.0::DOUBLE AS {name}"
 
 
+def _unrounded(sql: str) -> str:
+    """The same select with its numbers left as they are, for use inside another query."""
+    return sql.replace("round(CAST(", "CAST(").replace(" AS DOUBLE), 6)+0.0::DOUBLE AS ", " AS DOUBLE) AS ")
+
+
 # ------------------------------------------------------------------ scalar functions on scores
 
 _SCALARS = {
@@ -417,13 +422,11 @@ def metrics_by_group(spark, sf_dir):
     return M.metrics_by_group(V.predictions(spark, sf_dir), RUN.split(), FRACS)
 
 
-_REGISTRY = [m for m, _ in M.metric_registry(FRACS)]
 _LONG_EXPR = {**{m: m for m in M.BASE_METRICS}}
 for _i, _p in enumerate((5, 10, 20)):
     _LONG_EXPR[f"top{_p}_precision"] = f"e_{_i}/k_{_i}"
     _LONG_EXPR[f"top{_p}_lift"] = f"e_{_i}/k_{_i}/nullif(event_rate,0)"
     _LONG_EXPR[f"top{_p}_event_capture"] = f"e_{_i}/nullif(n_positive,0)"
-_LONG_COLS = ", ".join(f"{e} AS x_{m}" for m, e in _LONG_EXPR.items())
 
 
 def _long_sql(keys: str) -> str:
@@ -743,7 +746,7 @@ def pairwise_comparisons(spark, sf_dir):
     "format_delta_ci",
     with_views(
         "SELECT task, group_name, comparison, printf('%+.3f [%+.3f, %+.3f]', point_delta_a_minus_b, ci_low, ci_high) AS delta_auprc_with_ci FROM ("
-        + _delta_select(_CMP_KEYS) + ") WHERE metric='auprc'",
+        + _unrounded(_delta_select(_CMP_KEYS)) + ") WHERE metric='auprc'",
         "v_ensemble", extra=_boot(_CMP_PAIRS, _CMP_KEYS, "subject_id", _PAIR_EXPR, clip=True, pct=True),
     ),
 )
@@ -853,7 +856,7 @@ _SUM_VALUES = "baseline_observed candidate_observed delta_candidate_minus_baseli
 
 @query(
     "bootstrap_across_seeds",
-    with_views(f"SELECT {', '.join(_SUM_KEYS.split())}, count(DISTINCT seed) AS n_seeds, " + ", ".join(_four(c) for c in _SUM_VALUES) + f" FROM ({_FU_SUMMARY}) GROUP BY ALL", "v_fusion", extra=_FU),
+    with_views(f"SELECT {', '.join(_SUM_KEYS.split())}, count(DISTINCT seed) AS n_seeds, " + ", ".join(_four(c) for c in _SUM_VALUES) + f" FROM ({_unrounded(_FU_SUMMARY)}) GROUP BY ALL", "v_fusion", extra=_FU),
 )
 def bootstrap_across_seeds(spark, sf_dir):
     paired, samples = _fusion(spark, sf_dir)

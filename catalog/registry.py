@@ -46,4 +46,4 @@ def query(name: str, sql: str | None = None):
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of the session."""
-    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(ensure_checkpoint_dir(spark), f"{uuid.uuid4().hex}-{name}")
