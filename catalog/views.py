@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqrisk.operators.sequence import compress_versions, compression_audit, flag_compressible
-from seqrisk.plans.ordered import GROUP, dense_index
+from seqrisk.plans.ordered import GROUP, dense_index, never_null
 
 ANCHOR_GAP = 0.25
 ERA_GAPS = (1, 3)
@@ -70,9 +70,9 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered events; positions come from hourly counts, so no history is numbered in one task."""
-    rows = event_rows(spark, sf_dir).withColumn(GROUP, F.col("row_id"))
-    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
-    numbered = dense_index(rows, [F.asc("ts"), F.asc("event_id")], hour, "idx")
+    rows = event_rows(spark, sf_dir).withColumn(GROUP, F.struct("row_id"))
+    hour = never_null(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0)) / 3_600_000_000
+    numbered = dense_index(rows, [F.asc("ts"), F.asc("event_id")], F.floor(hour), "idx")
     return numbered.select(
         "row_id", "subject_id", "task", "split", F.col("idx").cast("double").alias("idx"), "code", "day", "num",
         F.lit(False).alias("synthetic"),

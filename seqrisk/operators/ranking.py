@@ -21,6 +21,7 @@ from seqrisk.functions.scalars import clip_prob
 from seqrisk.plans.ordered import (
     GROUP,
     group_struct,
+    never_null,
     risk_bucket,
     running_sums,
     take_in_hash_order,
@@ -74,7 +75,8 @@ def ranking_frame(
     group with one class.
     """
     weighted = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    score = F.col(risk).cast("double")
+    absent = F.raise_error(F.lit(f"{risk} is NULL")).cast("double")
+    score = never_null(F.coalesce(F.col(risk).cast("double"), absent), F.lit(0.0))
     rows = df.select(
         group_struct(keys).alias(GROUP),
         (clip_prob(score) if clip else score).alias("_s"),
@@ -145,7 +147,7 @@ def _resolve_ties(groups: DataFrame, rows: DataFrame, n_limits: int) -> DataFram
         GROUP, F.explode(F.array(*[f"_tie_{i}" for i in range(n_limits)])).alias("_tie")
     ).where(F.col("_tie").isNotNull())
     ties = ties.select(GROUP, "_tie.limit", "_tie._s", "_tie._take")
-    tied = rows.where(F.col("_w") > 0).join(ties, [GROUP, "_s"]).select(
+    tied = rows.join(ties, [GROUP, "_s"]).select(
         F.struct(F.col(GROUP).alias("group"), F.col("limit")).alias(GROUP),
         "_id",
         "_y",

@@ -27,7 +27,7 @@ from seqrisk.operators.ranking import (
     evaluate_predictions,
     unpivot_metrics,
 )
-from seqrisk.plans.ordered import GROUP, dense_index, group_struct, hash_text, ungroup
+from seqrisk.plans.ordered import GROUP, dense_index, group_struct, hash_text, never_null, ungroup
 
 PAIR_METRICS = BASE_METRICS + ["top_5pct_precision", "top_10pct_precision", "top_20pct_precision"]
 PERCENTS = [5, 10, 20]
@@ -42,7 +42,9 @@ def draw_weights(
     """
     units = df.select(group_struct(keys).alias(GROUP), F.col(unit).alias("_u")).distinct()
     place = hash_text(F.col("_u"))
-    indexed = dense_index(units, [F.col("_u")], F.substring(place, 1, 3), "_i")
+    indexed = dense_index(
+        units, [F.col("_u")], never_null(F.substring(place, 1, 3), F.lit("")), "_i"
+    )
 
     name = F.concat_ws("|", *[F.col(GROUP)[k].cast("string") for k in keys]) if keys else F.lit("")
     text = F.concat_ws("|", F.lit(str(seed)), name, F.col("_b"), F.col("_i"))

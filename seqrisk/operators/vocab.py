@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqrisk.functions.codes import PAD, PAD_ID, UNK, UNK_ID
 from seqrisk.plans.joins import lookup_join
-from seqrisk.plans.ordered import GROUP, dense_index, value_bucket
+from seqrisk.plans.ordered import GROUP, dense_index, never_null, value_bucket
 
 MIN_STD = 1e-6
 MIN_VARIANCE = 1e-6
@@ -54,7 +54,7 @@ def build_vocab(events: DataFrame, source: DataFrame) -> DataFrame:
     unseen = counts.join(base.select("code"), ["code"], "left_anti")
     grouped = unseen.withColumn(GROUP, F.struct(F.lit(0).alias("_all")))
     order = [F.desc("n"), F.asc("code")]
-    numbered = dense_index(grouped, order, -value_bucket(F.col("n")), "_i")
+    numbered = dense_index(grouped, order, never_null(-value_bucket(F.col("n")), F.lit(0)), "_i")
     appended = numbered.select(
         "code", (highest.scalar() + 1 + F.col("_i")).cast("int").alias("token_id")
     )

@@ -43,6 +43,15 @@ def value_bucket(v: Column) -> Column:
     return (F.signum(v) * size).cast("int")
 
 
+def never_null(c: Column, instead: Column) -> Column:
+    """Column the optimizer knows to be filled.
+
+    A join on a nullable column puts an is-not-null filter into one branch only; the two branches
+    then differ and their common shuffle is done twice.
+    """
+    return F.coalesce(c, instead)
+
+
 def hash_text(c: Column, seed: object | None = None) -> Column:
     """Evenly spread, repeatable text key used for tie order, sampling and dense numbering."""
     text = c.cast("string")
@@ -63,7 +72,7 @@ def running_sums(
     def direction(name: str) -> Column:
         return F.desc(name) if descending else F.asc(name)
 
-    marked = df.withColumn("_bucket", bucket)
+    marked = df.withColumn("_bucket", never_null(bucket, F.lit(0)))
     totals = marked.groupBy(GROUP, "_bucket").agg(*[F.sum(c).alias(f"{c}__in") for c in sums])
     over_buckets = Window.partitionBy(GROUP).orderBy(direction("_bucket"))
     earlier = over_buckets.rowsBetween(Window.unboundedPreceding, -1)
@@ -136,7 +145,7 @@ def take_in_hash_order(
     """
     w = F.col(weight) if weight else F.lit(1)
     marked = df.withColumn("_h", hash_text(F.col(id_col), seed)).withColumn(
-        "_hb", F.substring("_h", 1, 3)
+        "_hb", never_null(F.substring("_h", 1, 3), F.lit(""))
     )
     totals = marked.groupBy(GROUP, "_hb").agg(F.sum(w).alias("_in"))
     earlier = (
@@ -160,7 +169,7 @@ def take_in_hash_order(
 
 
 def dense_index(df: DataFrame, order: Sequence[Column], bucket: Column, name: str) -> DataFrame:
-    """0-based position of each row in its group ``_g`` under (bucket, order)."""
+    """0-based position of each row in its group ``_g`` under (bucket, order); a bucket is never NULL."""
     marked = df.withColumn("_bucket", bucket)
     totals = marked.groupBy(GROUP, "_bucket").agg(F.count(F.lit(1)).alias("_in"))
     earlier = (
