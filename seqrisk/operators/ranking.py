@@ -2,7 +2,8 @@
 
 All metrics of all groups come out of one plan: rows are counted per (group, score) map-side, running
 counts are formed over score buckets (see ``plans.ordered``), and top-k limits that fall inside a run
-of equal scores are resolved on just those rows. Weights make a row count several times, which is how
+of equal scores are resolved on just those rows (with limits, the group totals are computed when
+the frame is built). Weights make a row count several times, which is how
 resampling is evaluated without copying rows.
 
 Equal scores at a top-k limit are ordered by a hash of the row id, so the choice is repeatable and
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqrisk.functions.scalars import clip_prob
+from seqrisk.plans.joins import lookup_join, stored
 from seqrisk.plans.ordered import (
     GROUP,
     group_struct,
@@ -142,12 +144,20 @@ def ranking_frame(
 
 
 def _resolve_ties(groups: DataFrame, rows: DataFrame, n_limits: int) -> DataFrame:
-    """Events among equal scores at a limit, counted on the rows that have those scores."""
+    """Events among equal scores at a limit, counted on the rows that have those scores.
+
+    The group totals are stored first. With continuous scores no limit falls inside a mixed run and
+    the rows are not read again; otherwise the few (group, score) pairs are matched to the rows.
+    """
+    groups = stored(groups)
     ties = groups.select(
         GROUP, F.explode(F.array(*[f"_tie_{i}" for i in range(n_limits)])).alias("_tie")
     ).where(F.col("_tie").isNotNull())
     ties = ties.select(GROUP, "_tie.limit", "_tie._s", "_tie._take")
-    tied = rows.join(ties, [GROUP, "_s"]).select(
+    if ties.isEmpty():
+        sure = {f"events_{i}": F.col(f"_sure_{i}") for i in range(n_limits)}
+        return groups.withColumns(sure)
+    tied = lookup_join(rows, ties, [GROUP, "_s"]).select(
         F.struct(F.col(GROUP).alias("group"), F.col("limit")).alias(GROUP),
         "_id",
         "_y",
@@ -164,12 +174,10 @@ def _resolve_ties(groups: DataFrame, rows: DataFrame, n_limits: int) -> DataFram
             for i in range(n_limits)
         ]
     )
-    joined = groups.join(found, [GROUP], "left")
-    for i in range(n_limits):
-        joined = joined.withColumn(
-            f"events_{i}", F.col(f"_sure_{i}") + F.coalesce(f"_tied_{i}", F.lit(0))
-        )
-    return joined
+    counted = {
+        f"events_{i}": F.col(f"_sure_{i}") + F.coalesce(f"_tied_{i}", F.lit(0)) for i in range(n_limits)
+    }
+    return groups.join(found, [GROUP], "left").withColumns(counted)
 
 
 def _precision(i: int) -> Column:

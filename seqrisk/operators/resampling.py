@@ -27,6 +27,7 @@ from seqrisk.operators.ranking import (
     evaluate_predictions,
     unpivot_metrics,
 )
+from seqrisk.plans.joins import stored, wide_partitions
 from seqrisk.plans.ordered import GROUP, dense_index, group_struct, hash_text, never_null, ungroup
 
 PAIR_METRICS = BASE_METRICS + ["top_5pct_precision", "top_10pct_precision", "top_20pct_precision"]
@@ -49,7 +50,10 @@ def draw_weights(
     name = F.concat_ws("|", *[F.col(GROUP)[k].cast("string") for k in keys]) if keys else F.lit("")
     text = F.concat_ws("|", F.lit(str(seed)), name, F.col("_b"), F.col("_i"))
     pick = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.col("_i__n")
-    drawn = indexed.select(
+    # Units are few bytes but many draws: a fixed partition count keeps adaptive execution from
+    # merging them into a handful of tasks by size.
+    spread = indexed.select(GROUP, "_i", "_i__n").repartition(wide_partitions(df), GROUP, "_i")
+    drawn = spread.select(
         GROUP, "_i", "_i__n", F.explode(F.sequence(F.lit(1), F.lit(n_draws))).alias("_b")
     ).select(GROUP, pick.alias("_i"), "_b")
     # One exchange on the drawn unit serves both the count per replicate and the array.
@@ -62,7 +66,8 @@ def draw_weights(
     )
     observed = F.array(F.struct(F.lit(0).alias("draw"), F.lit(1).cast("long").alias("w")))
     empty = F.slice(observed, 1, 0)
-    return indexed.join(per_unit, [GROUP, "_i"], "left").select(
+    # The arrays are far larger than their estimate, so neither join may turn into a broadcast.
+    return indexed.join(per_unit.hint("merge"), [GROUP, "_i"], "left").select(
         GROUP, "_u", F.concat(observed, F.coalesce("_d", empty)).alias("draws")
     )
 
@@ -70,10 +75,14 @@ def draw_weights(
 def _weighted_rows(
     df: DataFrame, keys: Sequence[str], unit: str, n_draws: int, seed: int
 ) -> DataFrame:
-    """Rows times the replicates they take part in: adds ``draw`` and ``w``."""
+    """Rows times the replicates they take part in: adds ``draw`` and ``w``.
+
+    The rows are stored first: units, draws and two passes of the metrics all read them.
+    """
+    df = stored(df)
     weights = draw_weights(df, keys, unit, n_draws, seed)
     rows = df.withColumn(GROUP, group_struct(keys)).withColumn("_u", F.col(unit))
-    joined = rows.join(weights, [GROUP, "_u"]).drop(GROUP, "_u")
+    joined = rows.join(weights.hint("merge"), [GROUP, "_u"]).drop(GROUP, "_u")
     return joined.select(*df.columns, F.inline("draws"))
 
 

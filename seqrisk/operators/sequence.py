@@ -68,7 +68,7 @@ def _with_previous_day(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
     last = packed.select(*keys, "segment", F.element_at("events", -1)["day"].alias("_last"))
     order = Window.partitionBy(*keys).orderBy("segment")
     before = last.select(*keys, "segment", F.lag("_last").over(order).alias("_before"))
-    return packed.join(before, [*keys, "segment"])
+    return packed.join(before.hint("shuffle_hash"), [*keys, "segment"])
 
 
 def collect_sequence(

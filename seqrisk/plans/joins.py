@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,16 +23,26 @@ def lookup_join(
     """Join a code-sized table.
 
     The table's rows are counted, never past the limit. Within it the table is broadcast, so the
-    fact rows stay where they are; past it the join shuffles and adaptive execution splits hot codes.
+    fact rows stay where they are; past it both sides are shuffled and merged, and adaptive execution
+    splits hot keys.
     """
     rows = table.limit(max_rows + 1).count()
-    return big.join(F.broadcast(table) if rows <= max_rows else table, on, how)
+    return big.join(F.broadcast(table) if rows <= max_rows else table.hint("merge"), on, how)
+
+
+def wide_partitions(df: DataFrame) -> int:
+    """Partition count for steps whose work is much larger than their input."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write an intermediate to the checkpoint folder and go on from there.
+    """Write an intermediate as a table in the shared folder and go on from its files.
 
-    For small results that later jobs read more than once; the files outlive lost executors.
+    For results that several branches read. The files outlive lost executors, each branch scans only
+    the columns it needs, and the plan behind them is neither planned nor run again.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,6 +4,9 @@
 a third of all rows, so the functions here cut each group into value buckets first: the rows are
 pre-aggregated map-side, a window runs over the few bucket totals, and a second window runs inside
 (group, bucket). Each bucket function is monotone in the value, which keeps the results exact.
+The bucket totals meet their rows by a shuffled hash join on the partitioning that the second window
+needs anyway. The strategy is spelled out because the rows often come from an explode, whose size
+the planner underestimates: it must not broadcast them.
 
 Groups are carried as one struct column. Struct keys compare NULL fields as equal, so groups with a
 NULL key survive the joins.
@@ -88,7 +91,7 @@ def running_sums(
         .orderBy(direction(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = marked.join(heads, [GROUP, "_bucket"])
+    joined = marked.join(heads.hint("shuffle_hash"), [GROUP, "_bucket"])
     return joined.select(
         *df.columns,
         *[(F.col(f"{c}__head") + F.sum(c).over(inside)).alias(f"{c}__upto") for c in sums],
@@ -159,7 +162,7 @@ def take_in_hash_order(
         .orderBy("_h", id_col)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    kept = marked.join(heads, [GROUP, "_hb"]).where(F.col("_head") < F.col(take))
+    kept = marked.join(heads.hint("shuffle_hash"), [GROUP, "_hb"]).where(F.col("_head") < F.col(take))
     before = F.col("_head") + F.sum(w).over(inside) - w
     return (
         kept.withColumn("_taken", F.greatest(F.lit(0), F.least(w, F.col(take) - before)))
@@ -182,7 +185,7 @@ def dense_index(df: DataFrame, order: Sequence[Column], bucket: Column, name: st
         F.sum("_in").over(Window.partitionBy(GROUP)).alias("_n"),
     )
     inside = Window.partitionBy(GROUP, "_bucket").orderBy(*order)
-    return marked.join(heads, [GROUP, "_bucket"]).select(
+    return marked.join(heads.hint("shuffle_hash"), [GROUP, "_bucket"]).select(
         *df.columns,
         (F.col("_head") + F.row_number().over(inside) - 1).alias(name),
         F.col("_n").alias(f"{name}__n"),
