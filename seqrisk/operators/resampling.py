@@ -77,10 +77,10 @@ def _weighted_rows(
 ) -> DataFrame:
     """Rows times the replicates they take part in: adds ``draw`` and ``w``.
 
-    The rows are stored first: units, draws and two passes of the metrics all read them.
+    Rows and draws are stored first: both passes of the metrics read them.
     """
     df = stored(df)
-    weights = draw_weights(df, keys, unit, n_draws, seed)
+    weights = stored(draw_weights(df, keys, unit, n_draws, seed))
     rows = df.withColumn(GROUP, group_struct(keys)).withColumn("_u", F.col(unit))
     joined = rows.join(weights.hint("merge"), [GROUP, "_u"]).drop(GROUP, "_u")
     return joined.select(*df.columns, F.inline("draws"))
