@@ -23,7 +23,7 @@ from seqrisk.plans.joins import lookup_join, stored
 
 ANCHOR_GAP_DAYS = 30.0
 STRETCH = 65_536  # positions per stretch of a history that one task handles at a time
-SLICES_PER_GAP = 4
+SLICES_PER_GAP = 2
 STEP = 1e-4  # distance of a synthetic event from the event it follows
 
 EVENT = ["idx", "code", "day", "num", "synthetic"]
