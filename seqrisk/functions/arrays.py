@@ -1,4 +1,8 @@
-"""Functions over packed sequence rows (parallel arrays). None of them shuffles."""
+"""Functions over packed sequence rows (parallel arrays). None of them shuffles.
+
+Parallel arrays are zipped once and then transformed element by element. Looking up another array
+inside a lambda would evaluate that array again for every element.
+"""
 
 from __future__ import annotations
 
@@ -10,23 +14,29 @@ from seqrisk.functions.scalars import nonnegative_day, safe_float
 UNK_ID = 1
 
 
+def _zip_to_first(**arrays: Column) -> Column:
+    """array<struct> of the named arrays, as long as the first one; missing places are NULL."""
+    filled = {n: F.coalesce(a, F.slice(F.array(F.lit(None)), 1, 0)) for n, a in arrays.items()}
+    first = next(iter(filled.values()))
+    zipped = F.arrays_zip(*[a.alias(n) for n, a in filled.items()])
+    return F.slice(zipped, F.lit(1), F.size(first))
+
+
 def normalize_arrays(codes: Column, days: Column, deltas: Column, nums: Column) -> Column:
     """Align the parallel arrays to the code array.
 
     Longer arrays lose their tail, shorter ones are padded: days and deltas with 0, numbers with
     NULL. The result is array<struct<code, day, delta, num>>.
     """
-    codes = F.coalesce(codes, F.array().cast("array<string>"))
-
-    def at(position: Column) -> Column:
-        return F.struct(
-            F.get(codes, position).cast("string").alias("code"),
-            nonnegative_day(F.get(days, position)).alias("day"),
-            nonnegative_day(F.get(deltas, position)).alias("delta"),
-            safe_float(F.get(nums, position)).alias("num"),
-        )
-
-    return F.transform(codes, lambda _, i: at(i))
+    return F.transform(
+        _zip_to_first(code=codes, day=days, delta=deltas, num=nums),
+        lambda e: F.struct(
+            e["code"].cast("string").alias("code"),
+            nonnegative_day(e["day"]).alias("day"),
+            nonnegative_day(e["delta"]).alias("delta"),
+            safe_float(e["num"]).alias("num"),
+        ),
+    )
 
 
 def array_delta_days(days: Column, before: Column | None = None) -> Column:
@@ -36,11 +46,8 @@ def array_delta_days(days: Column, before: Column | None = None) -> Column:
     """
     first = F.lit(None).cast("double") if before is None else before
     return F.transform(
-        days,
-        lambda day, i: F.greatest(
-            F.coalesce(F.when(i == 0, first).otherwise(F.get(days, i - 1)) - day, F.lit(0.0)),
-            F.lit(0.0),
-        ),
+        _zip_to_first(day=days, previous=F.concat(F.array(first), days)),
+        lambda e: F.greatest(F.coalesce(e["previous"] - e["day"], F.lit(0.0)), F.lit(0.0)),
     )
 
 
@@ -66,15 +73,15 @@ def tail_truncate(
         )
     )
     events = F.transform(
-        tokens,
-        lambda token, i: F.struct(
-            token.cast("int").alias("token_id"),
-            F.coalesce(F.get(days, i), F.lit(0.0)).alias("day"),
-            F.coalesce(F.get(deltas, i), F.lit(0.0)).alias("delta"),
-            F.get(nums, i).alias("num"),
+        tail(_zip_to_first(token=tokens, day=days, delta=deltas, num=nums), length),
+        lambda e: F.struct(
+            e["token"].cast("int").alias("token_id"),
+            F.coalesce(e["day"], F.lit(0.0)).alias("day"),
+            F.coalesce(e["delta"], F.lit(0.0)).alias("delta"),
+            e["num"].cast("double").alias("num"),
         ),
     )
-    return F.when(F.size(tokens) > 0, tail(events, length)).otherwise(unknown)
+    return F.when(F.size(events) > 0, events).otherwise(unknown)
 
 
 def log_time(values: Column) -> Column:
