@@ -27,34 +27,46 @@ from seqrisk.operators.ranking import (
     evaluate_predictions,
     unpivot_metrics,
 )
-from seqrisk.plans.joins import stored, wide_partitions
+from seqrisk.plans.joins import lookup_join, stored, wide_partitions
 from seqrisk.plans.ordered import GROUP, dense_index, group_struct, hash_text, never_null, ungroup
 
 PAIR_METRICS = BASE_METRICS + ["top_5pct_precision", "top_10pct_precision", "top_20pct_precision"]
 PERCENTS = [5, 10, 20]
 
 
+def _key_text(keys: Sequence[str]) -> Column:
+    return F.concat_ws("|", *[F.col(GROUP)[k].cast("string") for k in keys]) if keys else F.lit("")
+
+
 def draw_weights(
-    df: DataFrame, keys: Sequence[str], unit: str, n_draws: int, seed: int
+    df: DataFrame,
+    keys: Sequence[str],
+    unit: str,
+    n_draws: int,
+    seed: int,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """(_g, unit, draws): how often each unit of a comparison is drawn in each replicate.
 
-    ``draws`` is array<struct<draw, w>> and starts with replicate 0, weight 1.
+    ``draws`` is array<struct<draw, w>> and starts with replicate 0, weight 1. The text that seeds a
+    comparison is its keys, or the ``_name`` that ``names`` (one row per comparison) gives its number.
     """
     units = df.select(group_struct(keys).alias(GROUP), F.col(unit).alias("_u")).distinct()
     place = hash_text(F.col("_u"))
     indexed = dense_index(
         units, [F.col("_u")], never_null(F.substring(place, 1, 3), F.lit("")), "_i"
     )
-
-    name = F.concat_ws("|", *[F.col(GROUP)[k].cast("string") for k in keys]) if keys else F.lit("")
-    text = F.concat_ws("|", F.lit(str(seed)), name, F.col("_b"), F.col("_i"))
-    pick = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.col("_i__n")
+    if names is None:
+        named = indexed.select(GROUP, "_i", "_i__n", _key_text(keys).alias("_name"))
+    else:
+        named = lookup_join(indexed.select(GROUP, "_i", "_i__n"), names, [GROUP])
     # Units are few bytes but many draws: a fixed partition count keeps adaptive execution from
     # merging them into a handful of tasks by size.
-    spread = indexed.select(GROUP, "_i", "_i__n").repartition(wide_partitions(df), GROUP, "_i")
+    spread = named.repartition(wide_partitions(df), GROUP, "_i")
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("_name"), F.col("_b"), F.col("_i"))
+    pick = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.col("_i__n")
     drawn = spread.select(
-        GROUP, "_i", "_i__n", F.explode(F.sequence(F.lit(1), F.lit(n_draws))).alias("_b")
+        "*", F.explode(F.sequence(F.lit(1), F.lit(n_draws))).alias("_b")
     ).select(GROUP, pick.alias("_i"), "_b")
     # One exchange on the drawn unit serves both the count per replicate and the array.
     per_unit = (
@@ -72,18 +84,43 @@ def draw_weights(
     )
 
 
-def _weighted_rows(
-    df: DataFrame, keys: Sequence[str], unit: str, n_draws: int, seed: int
-) -> DataFrame:
-    """Rows times the replicates they take part in: adds ``draw`` and ``w``.
+def _numbered(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with a number ``_k`` in place of their keys, table of the keys by number).
 
-    Rows and draws are stored first: both passes of the metrics read them.
+    Every weighted row and every score count carries its comparison through a shuffle; a number is a
+    few bytes where the keys are several names. Both tables are stored, because units, draws and two
+    passes of the metrics read them.
     """
-    df = stored(df)
-    weights = stored(draw_weights(df, keys, unit, n_draws, seed))
-    rows = df.withColumn(GROUP, group_struct(keys)).withColumn("_u", F.col(unit))
-    joined = rows.join(weights.hint("merge"), [GROUP, "_u"]).drop(GROUP, "_u")
-    return joined.select(*df.columns, F.inline("draws"))
+    held = [c for c in df.columns if c not in keys]
+    rows = df.select(*held, group_struct(keys).alias("_keys"))
+    listed = rows.select("_keys").distinct().withColumn(GROUP, group_struct([]))
+    table = stored(
+        dense_index(listed, [F.asc("_keys")], F.lit(0), "_k").select(
+            "_keys", F.col("_k").cast("int").alias("_k")
+        )
+    )
+    return stored(lookup_join(rows, table, ["_keys"]).drop("_keys")), table
+
+
+def _renamed(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The key columns back in place of the number."""
+    rest = [c for c in df.columns if c != "_k"]
+    joined = lookup_join(df, table, ["_k"])
+    return joined.select(*[F.col("_keys")[k].alias(k) for k in keys], *rest)
+
+
+def _weighted_rows(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], unit: str, n_draws: int, seed: int
+) -> DataFrame:
+    """Numbered rows times the replicates they take part in: adds ``draw`` and ``w``."""
+    names = table.select(
+        F.struct("_k").alias(GROUP),
+        F.concat_ws("|", *[F.col("_keys")[k].cast("string") for k in keys]).alias("_name"),
+    )
+    weights = stored(draw_weights(rows, ["_k"], unit, n_draws, seed, names))
+    keyed = rows.withColumn(GROUP, F.struct("_k")).withColumn("_u", F.col(unit))
+    joined = keyed.join(weights.hint("merge"), [GROUP, "_u"])
+    return joined.select(*[c for c in rows.columns if c != unit or unit == "row_id"], F.inline("draws"))
 
 
 def _metric_table(
@@ -110,20 +147,23 @@ def resampled_pairs(
     fracs: Sequence[float] | None = None,
 ) -> DataFrame:
     """(keys, draw, metric, value_a, value_b, n, n_positive) for pairs with ``risk_a``, ``risk_b``."""
-    rows = _weighted_rows(paired, keys, unit, n_draws, seed)
+    plain, table = _numbered(
+        paired.select(*keys, "row_id", "y_true", "risk_a", "risk_b", *({unit} - {"row_id"})), keys
+    )
+    rows = _weighted_rows(plain, table, keys, unit, n_draws, seed)
     sides = F.inline(
         F.array(
             F.struct(F.lit("a").alias("side"), F.col("risk_a").alias("risk")),
             F.struct(F.lit("b").alias("side"), F.col("risk_b").alias("risk")),
         )
     )
-    stacked = rows.select(*keys, "row_id", "y_true", "draw", "w", sides)
-    wide, names = _metric_table(stacked, [*keys, "side"], limits, fracs)
+    stacked = rows.select("_k", "row_id", "y_true", "draw", "w", sides)
+    wide, names = _metric_table(stacked, ["_k", "side"], limits, fracs)
 
     def of(side: str, name: str) -> Column:
         return F.max(F.when(F.col("side") == side, F.col(name)))
 
-    both = wide.groupBy(*keys, "draw").agg(
+    both = wide.groupBy("_k", "draw").agg(
         F.max("n").alias("n"),
         F.max("n_positive").alias("n_positive"),
         *[of("a", m).alias(f"a_{m}") for m in names],
@@ -141,7 +181,7 @@ def resampled_pairs(
             ]
         )
     )
-    return both.select(*keys, "draw", "n", "n_positive", each)
+    return _renamed(both.select("_k", "draw", "n", "n_positive", each), table, keys)
 
 
 def summarize_draws(
@@ -247,9 +287,12 @@ def patient_bootstrap_ci(
     seed: int = 42,
 ) -> DataFrame:
     """Observed value and bootstrap interval of every registered metric per key."""
-    rows = _weighted_rows(df.select(*keys, "row_id", "y_true", "risk", unit), keys, unit, n_draws, seed)
-    wide, names = _metric_table(rows.drop(unit), keys, None, fracs)
-    long = unpivot_metrics(wide.select(*keys, "draw", *names), [*keys, "draw"], names)
+    plain, table = _numbered(df.select(*keys, "row_id", "y_true", "risk", *({unit} - {"row_id"})), keys)
+    rows = _weighted_rows(plain, table, keys, unit, n_draws, seed)
+    wide, names = _metric_table(rows, ["_k"], None, fracs)
+    long = _renamed(
+        unpivot_metrics(wide.select("_k", "draw", *names), ["_k", "draw"], names), table, keys
+    )
     drawn = F.when(F.col("draw") > 0, F.col("value"))
     summary = long.groupBy(*keys, "metric").agg(
         F.max(F.when(F.col("draw") == 0, F.col("value"))).alias("observed"),
