@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from seqrisk.functions.scalars import logit, safe_float, score_transform
 from seqrisk.operators.features import FEATURE_VARIANTS, PREFIXES, balanced_weights, usable_columns
 from seqrisk.operators.filters import union_tables
+from seqrisk.plans.joins import stored
 from seqrisk.plans.ordered import exact_quantiles
 
 # Tabular models and meta models by name.
@@ -152,8 +153,8 @@ def tabular_scores(
 ) -> DataFrame:
     """Train on the train split, score tuning and held-out rows (raw probabilities)."""
     config = TABULAR_MODELS[model] if isinstance(model, str) else model
-    rows = features.withColumn("y_true", F.col("label").cast("int")).select(
-        "task", "split", *ROW, *columns
+    rows = stored(
+        features.withColumn("y_true", F.col("label").cast("int")).select("task", "split", *ROW, *columns)
     )
     train = rows.where(F.col("split") == "train")
     rest = rows.where(F.col("split") != "train")
@@ -372,7 +373,8 @@ def meta_model_sweep(
     ``features`` has ``tab__`` columns and embedding arrays; ``arrays`` gives each array's column
     prefix and length. Usable columns and medians are found once per (task, seed).
     """
-    wide = _spread_features(features, arrays)
+    # Many fits read parts of this table; each scans only its rows and columns.
+    wide = stored(_spread_features(features, arrays))
 
     def prepare(task: str, seed: int):
         part = wide.where((F.col("task") == task) & (F.col("seed") == seed))

@@ -237,20 +237,34 @@ def _dedup_parts(
         ["code", "num", "synthetic"],
     ).withColumn("_visit", _bucket_name(F.col("anchor_idx"), F.col("day")))
     first = placed.groupBy(*keys, "code", "_visit").agg(
-        F.min(F.struct("idx", "day", "num", "synthetic")).alias("_e")
-    )
-    kept = first.select(
-        *keys, *[F.col("code") if c == "code" else F.col("_e")[c].alias(c) for c in EVENT]
+        F.min("idx").alias("_at"), *[F.min_by(c, "idx").alias(c) for c in ("day", "num", "synthetic")]
     )
+    kept = first.withColumnRenamed("_at", "idx").select(*keys, *EVENT)
     return flagged.where(~F.col("compressible")).select(*keys, *EVENT), kept
 
 
+def _ends(first: str, last: str, n: Column) -> list[Column]:
+    """Aggregates for the first and last mention and the count of a group.
+
+    Plain numbers in the buffers keep this a hash aggregation; structs would force a sort.
+    ``first`` and ``last`` prefix the input columns, which lets runs be merged into eras.
+    """
+    return [
+        F.min(f"{first}idx").alias("first_idx"),
+        F.min_by(f"{first}day", f"{first}idx").alias("first_day"),
+        F.min_by(f"{first}num", f"{first}idx").alias("first_num"),
+        F.max(f"{last}idx").alias("last_idx"),
+        F.max_by(f"{last}day", f"{last}idx").alias("last_day"),
+        n.alias("n"),
+    ]
+
+
 def _emit(
     groups: DataFrame, keys: Sequence[str], tokens: list[tuple[Column, Column, Column, Column]]
 ) -> DataFrame:
     """Groups of two or more events become the listed synthetic tokens, single ones stay.
 
-    ``groups`` has ``first`` and ``last`` structs (idx, day, num) and ``n``.
+    ``groups`` has the columns of ``_ends``.
     """
     def event(idx: Column, code: Column, day: Column, num: Column, synthetic: bool) -> Column:
         return F.struct(
@@ -261,8 +275,9 @@ def _emit(
             F.lit(synthetic).alias("synthetic"),
         )
 
-    first = F.col("first")
-    single = F.array(event(first["idx"], F.col("code"), first["day"], first["num"], False))
+    single = F.array(
+        event(F.col("first_idx"), F.col("code"), F.col("first_day"), F.col("first_num"), False)
+    )
     many = F.array(*[event(*t, True) for t in tokens])
     out = groups.select(*keys, F.inline(F.when(F.col("n") > 1, many).otherwise(single)))
     return out.select(*keys, *EVENT)
@@ -270,15 +285,12 @@ def _emit(
 
 def _first_last(kept: DataFrame, keys: Sequence[str]) -> DataFrame:
     """First and last mention of each repeated code, single mentions as they are."""
-    mention = F.struct("idx", "day", "num")
-    groups = kept.groupBy(*keys, "code").agg(
-        F.min(mention).alias("first"), F.max(mention).alias("last"), F.count(F.lit(1)).alias("n")
-    )
-    first, last, code = F.col("first"), F.col("last"), F.col("code")
-    span = F.greatest(first["day"] - last["day"], F.lit(0.0))
+    groups = kept.groupBy(*keys, "code").agg(*_ends("", "", F.count(F.lit(1))))
+    code, first_day, last_day = F.col("code"), F.col("first_day"), F.col("last_day")
+    span = F.greatest(first_day - last_day, F.lit(0.0))
     tokens = [
-        (first["idx"], F.concat(F.lit("DX_FIRST/"), code), first["day"], F.lit(0.0)),
-        (last["idx"], F.concat(F.lit("DX_LAST/"), code), last["day"], span),
+        (F.col("first_idx"), F.concat(F.lit("DX_FIRST/"), code), first_day, F.lit(0.0)),
+        (F.col("last_idx"), F.concat(F.lit("DX_LAST/"), code), last_day, span),
     ]
     return _emit(groups, keys, tokens)
 
@@ -305,18 +317,10 @@ def _partial_eras(
         "_at", F.col("idx")
     )
     runs = _sessionize(cut, local, "day", "day", gap).drop("_at").withColumnRenamed("_run", "_part")
-    mention = F.struct("idx", "day", "num")
-    partial = runs.groupBy(*local, "_part").agg(
-        F.min(mention).alias("first"), F.max(mention).alias("last"), F.count(F.lit(1)).alias("n")
-    )
-    ordered = partial.select(
-        "*",
-        F.col("first.idx").alias("_at"),
-        F.col("first.day").alias("_start"),
-        F.col("last.day").alias("_end"),
-    )
-    eras = _sessionize(ordered, [*keys, "code"], "_start", "_end", gap)
-    return runs, eras.withColumnRenamed("_run", "era").drop("_at", "_start", "_end")
+    partial = runs.groupBy(*local, "_part").agg(*_ends("", "", F.count(F.lit(1))))
+    ordered = partial.withColumn("_at", F.col("first_idx"))
+    eras = _sessionize(ordered, [*keys, "code"], "first_day", "last_day", gap)
+    return runs, eras.withColumnRenamed("_run", "era").drop("_at")
 
 
 def split_eras(
@@ -330,22 +334,22 @@ def split_eras(
 
 def _era_groups(kept: DataFrame, keys: Sequence[str], gap: float, stretch: int) -> DataFrame:
     _, eras = _partial_eras(kept, keys, gap, stretch)
-    return eras.groupBy(*keys, "code", "era").agg(
-        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")
-    )
+    return eras.groupBy(*keys, "code", "era").agg(*_ends("first_", "last_", F.sum("n")))
 
 
 def _condition_era(kept: DataFrame, keys: Sequence[str], gap: int, stretch: int = STRETCH) -> DataFrame:
     """Eras of two or more mentions become start, end and binned-count tokens."""
     groups = _era_groups(kept, keys, gap, stretch)
-    first, last, code, n = F.col("first"), F.col("last"), F.col("code"), F.col("n")
-    span = F.greatest(first["day"] - last["day"], F.lit(0.0))
+    first_idx, first_day, last_idx, last_day, code, n = map(
+        F.col, ("first_idx", "first_day", "last_idx", "last_day", "code", "n")
+    )
+    span = F.greatest(first_day - last_day, F.lit(0.0))
     name = f"DX_ERA{gap}"
     counted = F.concat(F.lit(f"{name}_COUNT_BIN/"), count_bin(n), F.lit("/"), code)
     tokens = [
-        (first["idx"], F.concat(F.lit(f"{name}_START/"), code), first["day"], F.lit(0.0)),
-        (last["idx"] + STEP, F.concat(F.lit(f"{name}_END/"), code), last["day"], span),
-        (last["idx"] + 2 * STEP, counted, last["day"], n),
+        (first_idx, F.concat(F.lit(f"{name}_START/"), code), first_day, F.lit(0.0)),
+        (last_idx + STEP, F.concat(F.lit(f"{name}_END/"), code), last_day, span),
+        (last_idx + 2 * STEP, counted, last_day, n),
     ]
     return _emit(groups, keys, tokens)
 
@@ -353,20 +357,22 @@ def _condition_era(kept: DataFrame, keys: Sequence[str], gap: int, stretch: int
 def _state_duration(kept: DataFrame, keys: Sequence[str], gap: int, stretch: int = STRETCH) -> DataFrame:
     """Eras of two or more mentions become onset, active, duration, count and recency tokens."""
     groups = _era_groups(kept, keys, gap, stretch)
-    first, last, code, n = F.col("first"), F.col("last"), F.col("code"), F.col("n")
-    span = F.greatest(first["day"] - last["day"], F.lit(0.0))
-    recency = F.greatest(last["day"], F.lit(0.0))
+    first_idx, first_day, last_idx, last_day, code, n = map(
+        F.col, ("first_idx", "first_day", "last_idx", "last_day", "code", "n")
+    )
+    span = F.greatest(first_day - last_day, F.lit(0.0))
+    recency = F.greatest(last_day, F.lit(0.0))
     name = f"DX_STATE{gap}"
 
     def binned(kind: str, label: Column) -> Column:
         return F.concat(F.lit(f"{name}_{kind}_BIN/"), label, F.lit("/"), code)
 
     tokens = [
-        (first["idx"], F.concat(F.lit(f"{name}_ONSET/"), code), first["day"], F.lit(0.0)),
-        (last["idx"] + STEP, F.concat(F.lit(f"{name}_ACTIVE/"), code), last["day"], n),
-        (last["idx"] + 2 * STEP, binned("DURATION", duration_bin(span)), last["day"], span),
-        (last["idx"] + 3 * STEP, binned("COUNT", count_bin(n)), last["day"], n),
-        (last["idx"] + 4 * STEP, binned("RECENCY", recency_bin(recency)), last["day"], recency),
+        (first_idx, F.concat(F.lit(f"{name}_ONSET/"), code), first_day, F.lit(0.0)),
+        (last_idx + STEP, F.concat(F.lit(f"{name}_ACTIVE/"), code), last_day, n),
+        (last_idx + 2 * STEP, binned("DURATION", duration_bin(span)), last_day, span),
+        (last_idx + 3 * STEP, binned("COUNT", count_bin(n)), last_day, n),
+        (last_idx + 4 * STEP, binned("RECENCY", recency_bin(recency)), last_day, recency),
     ]
     return _emit(groups, keys, tokens)
 
