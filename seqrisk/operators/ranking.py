@@ -157,7 +157,7 @@ def _resolve_ties(groups: DataFrame, rows: DataFrame, n_limits: int) -> DataFram
     if ties.isEmpty():
         sure = {f"events_{i}": F.col(f"_sure_{i}") for i in range(n_limits)}
         return groups.withColumns(sure)
-    tied = lookup_join(rows, ties, [GROUP, "_s"]).select(
+    tied = lookup_join(rows, ties, [GROUP, "_s"], at_hand=True).select(
         F.struct(F.col(GROUP).alias("group"), F.col("limit")).alias(GROUP),
         "_id",
         "_y",

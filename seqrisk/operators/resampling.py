@@ -59,7 +59,7 @@ def draw_weights(
     if names is None:
         named = indexed.select(GROUP, "_i", "_i__n", _key_text(keys).alias("_name"))
     else:
-        named = lookup_join(indexed.select(GROUP, "_i", "_i__n"), names, [GROUP])
+        named = lookup_join(indexed.select(GROUP, "_i", "_i__n"), names, [GROUP], at_hand=True)
     # Units are few bytes but many draws: a fixed partition count keeps adaptive execution from
     # merging them into a handful of tasks by size.
     spread = named.repartition(wide_partitions(df), GROUP, "_i")
@@ -99,13 +99,13 @@ def _numbered(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]
             "_keys", F.col("_k").cast("int").alias("_k")
         )
     )
-    return stored(lookup_join(rows, table, ["_keys"]).drop("_keys")), table
+    return stored(lookup_join(rows, table, ["_keys"], at_hand=True).drop("_keys")), table
 
 
 def _renamed(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The key columns back in place of the number."""
     rest = [c for c in df.columns if c != "_k"]
-    joined = lookup_join(df, table, ["_k"])
+    joined = lookup_join(df, table, ["_k"], at_hand=True)
     return joined.select(*[F.col("_keys")[k].alias(k) for k in keys], *rest)
 
 

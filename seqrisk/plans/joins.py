@@ -19,13 +19,16 @@ def lookup_join(
     on: Sequence[str] | Column,
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
+    at_hand: bool = False,
 ) -> DataFrame:
     """Join a code-sized table.
 
-    The table's rows are counted, never past the limit. Within it the table is broadcast, so the
-    fact rows stay where they are; past it both sides are shuffled and merged, and adaptive execution
-    splits hot keys.
+    The table is stored, so that what it is derived from runs once, and its rows are counted, never
+    past the limit. Within it the table is broadcast and the fact rows stay where they are; past it
+    both sides are shuffled and merged, and adaptive execution splits hot keys. ``at_hand`` says that
+    reading the table twice is cheap (a file, a stored table, a local list).
     """
+    table = table if at_hand else stored(table)
     rows = table.limit(max_rows + 1).count()
     return big.join(F.broadcast(table) if rows <= max_rows else table.hint("merge"), on, how)
 

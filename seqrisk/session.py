@@ -25,22 +25,21 @@ def build_session(master: str | None = None, app: str = "seqrisk", **extra: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the session.
+    """Folder for stored intermediates.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only a local session without that
-    setting gets a folder of its own.
+    A cluster names a shared folder in ``spark.checkpoint.dir``. Where that is unset, a local session
+    gets a temporary folder of its own, and any other session a folder in its warehouse, which all
+    executors reach.
     """
-    context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(shared)
         return shared
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    own = tempfile.mkdtemp(prefix="seqrisk-checkpoint-")
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
+    if context.master.startswith("local"):
+        own = tempfile.mkdtemp(prefix="seqrisk-checkpoint-")
+    else:
+        own = f"{spark.conf.get('spark.sql.warehouse.dir')}/_seqrisk_checkpoint"
     context.setCheckpointDir(own)
-    return own
+    return context.getCheckpointDir()
