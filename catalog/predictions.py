@@ -14,6 +14,7 @@ from seqrisk.operators import ranking as M
 from seqrisk.operators import resampling as B
 from seqrisk.operators import subgroup as U
 from seqrisk.operators import summary as A
+from seqrisk.plans.joins import stored
 
 BASE = "auroc auprc brier logloss"
 COUNTS = "n n_positive"
@@ -505,6 +506,7 @@ _GROUP_SQL = """SELECT task, row_id, subject_id, label::BIGINT AS label, p::DOUB
 
 
 def _high_repeat(seq):
+    """``seq`` is the audit as it was written with the examples."""
     raw = seq.where(F.col("version") == "raw")
     first_last = seq.where(F.col("version") == "compressed_first_last")
     return U.high_repeat_group(raw, first_last, ["early", "late"])
@@ -512,7 +514,7 @@ def _high_repeat(seq):
 
 @query("high_repeat_group", with_views(_GROUP_SQL, "v_seq"))
 def high_repeat_group(spark, sf_dir):
-    return _high_repeat(V.audited_examples(spark, sf_dir, ("raw", "compressed_first_last")))
+    return _high_repeat(stored(V.audited_examples(spark, sf_dir, ("raw", "compressed_first_last"))))
 
 
 @query("subgroup_metrics_pair", _metrics_sql("v_sub", RUN + " high_repeat_group", FRACS, _WIDE))
@@ -551,7 +553,7 @@ _COST = _LEN_SQL.replace("n_subjects", "n_patients").replace("sum(label)::BIGINT
     ),
 )
 def sequence_cost_summary(spark, sf_dir):
-    seq = V.audited_examples(spark, sf_dir)
+    seq = stored(V.audited_examples(spark, sf_dir))
     group = _high_repeat(seq).select("task", "row_id", "high_repeat_group")
     return A.sequence_cost_summary(seq.join(group, ["task", "row_id"], "left"))
 

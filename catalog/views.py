@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqrisk.operators.sequence import compress_versions, compression_audit, flag_compressible
+from seqrisk.plans.joins import local_table
 from seqrisk.plans.ordered import GROUP, dense_index, never_null
 
 ANCHOR_GAP = 0.25
@@ -31,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def code_list(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c, "listed") for c in LISTED], "code string, selection_source string")
+    return local_table(spark, [(c, "listed") for c in LISTED], "code string, selection_source string")
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +114,7 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = dense_index(grouped, [F.asc("code")], F.lit(0), "i").select(
         "code", (F.col("i") + 2).cast("int").alias("token_id")
     )
-    special = spark.createDataFrame([("<PAD>", 0), ("<UNK>", 1)], "code string, token_id int")
+    special = local_table(spark, [("<PAD>", 0), ("<UNK>", 1)], "code string, token_id int")
     return numbered.unionByName(special)
 
 

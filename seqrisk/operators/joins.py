@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqrisk.plans.joins import local_table
+
 
 PAIR_KEYS = ["task", "row_id", "subject_id", "y_true"]
 
@@ -141,7 +143,8 @@ def dedup(
 def config_table(spark, configs: Sequence[Mapping[str, str]]) -> DataFrame:
     """Config entries of the caller as a table; its size is the length of the list."""
     names = list(configs[0])
-    return spark.createDataFrame([[c[n] for n in names] for c in configs], names)
+    schema = ", ".join(f"`{n}` string" for n in names)
+    return local_table(spark, [[c[n] for n in names] for c in configs], schema)
 
 
 def config_semi_join(pred: DataFrame, configs: Sequence[Mapping[str, str]]) -> DataFrame:

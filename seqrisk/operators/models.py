@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from seqrisk.functions.scalars import logit, safe_float, score_transform
 from seqrisk.operators.features import FEATURE_VARIANTS, PREFIXES, balanced_weights, usable_columns
 from seqrisk.operators.filters import union_tables
-from seqrisk.plans.joins import stored
+from seqrisk.plans.joins import local_table, stored
 from seqrisk.plans.ordered import exact_quantiles
 
 # Tabular models and meta models by name.
@@ -226,7 +226,8 @@ def grouped_logistic(
             moving = {k: g for k, g in groups.items() if not g["done"]}
             if not moving:
                 break
-            table = spark.createDataFrame(
+            table = local_table(
+                spark,
                 [
                     (*k, list(g["mean"]), list(g["dev"]), [float(b) for b in g["beta"]], [g["wn"], g["wp"]])
                     for k, g in moving.items()
@@ -279,7 +280,7 @@ def grouped_logistic(
         weights = [float(b) / d for b, d in zip(g["beta"][1:], g["dev"])]
         intercept = float(g["beta"][0]) - sum(w * m for w, m in zip(weights, g["mean"]))
         found.append((*k, [intercept, *weights]))
-    return spark.createDataFrame(found, T.StructType([*key_fields, T.StructField("coef", numbers)]))
+    return local_table(spark, found, T.StructType([*key_fields, T.StructField("coef", numbers)]))
 
 
 def apply_logistic(df: DataFrame, coefs: DataFrame, keys: Sequence[str], x: str, size: int) -> DataFrame:
@@ -311,29 +312,28 @@ def score_fusion(
 ) -> DataFrame:
     """Held-out risk of every score variant, fitted on tuning per task and seed.
 
-    All (task, seed, variant) fits of one width are solved in the same Newton steps. Ensemble scores
-    (seed −1) are fused the same way.
+    All (task, seed, variant) fits share their Newton steps: narrower variants are padded with a
+    constant 0, whose penalised weight is 0. Ensemble scores (seed −1) are fused the same way.
     """
     by = [*keys, "variant"]
-    outs = []
-    for width in sorted({len(v) for v in variants.values()}):
-        listed = F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("variant"),
-                    F.array(*[score_transform(c, transform) for c in cols]).alias("_x"),
-                )
-                for name, cols in variants.items()
-                if len(cols) == width
-            ]
-        )
-        rows = base.select(*keys, "split", *ROW, F.inline(listed))
-        coefs = grouped_logistic(
-            rows.where(F.col("split") == "tuning"), by, "_x", width, balanced=balanced
-        )
-        held = rows.where(F.col("split") == "held_out")
-        outs.append(apply_logistic(held, coefs, by, "_x", width).drop("_x"))
-    return union_tables(*outs)
+    width = max(len(cols) for cols in variants.values())
+    listed = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("variant"),
+                F.array(
+                    *[score_transform(c, transform) for c in cols],
+                    *[F.lit(0.0)] * (width - len(cols)),
+                ).alias("_x"),
+            )
+            for name, cols in variants.items()
+        ]
+    )
+    rows = base.select(*keys, "split", *ROW, F.inline(listed))
+    tuning = rows.where(F.col("split") == "tuning")
+    held = rows.where(F.col("split") == "held_out")
+    coefs = grouped_logistic(tuning, by, "_x", width, balanced=balanced)
+    return apply_logistic(held, coefs, by, "_x", width).drop("_x")
 
 
 # ---------------------------------------------------------------- wide fusion

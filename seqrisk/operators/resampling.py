@@ -27,7 +27,7 @@ from seqrisk.operators.ranking import (
     evaluate_predictions,
     unpivot_metrics,
 )
-from seqrisk.plans.joins import lookup_join, stored, wide_partitions
+from seqrisk.plans.joins import local_table, lookup_join, stored, wide_partitions
 from seqrisk.plans.ordered import GROUP, dense_index, group_struct, hash_text, never_null, ungroup
 
 PAIR_METRICS = BASE_METRICS + ["top_5pct_precision", "top_10pct_precision", "top_20pct_precision"]
@@ -500,8 +500,10 @@ def pairwise_comparisons(
     on = ["task", "family", "version", "model"]
     spark = ensemble.sparkSession
     # Both tables are as long as the caller's lists.
-    config_rows = spark.createDataFrame(
-        [[c["key"], *[c[k] for k in on]] for c in configs], ["variant", *on]
+    config_rows = local_table(
+        spark,
+        [[c["key"], *[c[k] for k in on]] for c in configs],
+        "variant string, task string, family string, version string, model string",
     )
     keyed = ensemble.join(F.broadcast(config_rows), on)
     row = ["task", "group_name", "row_id", "subject_id", "y_true"]
@@ -511,12 +513,14 @@ def pairwise_comparisons(
         c = known[key]
         return f"{c['family']}: {c['version']} + {c['model']}"
 
-    names = spark.createDataFrame(
+    names = local_table(
+        spark,
         [
             [c["task"], c["a"], c["b"], c["comparison"], c["description"], label(c["a"]), label(c["b"])]
             for c in comparisons
         ],
-        ["task", "candidate_variant", "baseline_variant", "comparison", "description", "model_a", "model_b"],
+        "task string, candidate_variant string, baseline_variant string, comparison string,"
+        " description string, model_a string, model_b string",
     )
     titles = ["comparison", "description", "model_a", "model_b"]
     paired = met.join(F.broadcast(names), ["task", "candidate_variant", "baseline_variant"]).select(

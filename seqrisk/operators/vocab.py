@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqrisk.functions.codes import PAD, PAD_ID, UNK, UNK_ID
-from seqrisk.plans.joins import lookup_join
+from seqrisk.plans.joins import local_table, lookup_join
 from seqrisk.plans.ordered import GROUP, dense_index, never_null, value_bucket
 
 MIN_STD = 1e-6
@@ -38,10 +38,11 @@ def build_vocab(events: DataFrame, source: DataFrame) -> DataFrame:
     New codes are numbered from the highest id + 1 by falling count, then name. ``events`` are the
     training events. Numbering goes through count buckets, not through one global sort.
     """
-    spark = events.sparkSession
     by_id = source.groupBy("token_id").agg(F.min("code").alias("code"))
     kept = by_id.groupBy("code").agg(F.min("token_id").cast("int").alias("token_id"))
-    special = spark.createDataFrame([(PAD, PAD_ID), (UNK, UNK_ID)], "code string, token_id int")
+    special = local_table(
+        events.sparkSession, [(PAD, PAD_ID), (UNK, UNK_ID)], "code string, token_id int"
+    )
     added = (
         special.join(kept.select("code"), ["code"], "left_anti")
         .join(kept.select("token_id"), ["token_id"], "left_anti")

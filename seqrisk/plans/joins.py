@@ -5,8 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from seqrisk.session import ensure_checkpoint_dir
 
@@ -33,6 +36,14 @@ def lookup_join(
     return big.join(F.broadcast(table) if rows <= max_rows else table.hint("merge"), on, how)
 
 
+def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
+    """A list of the caller as a table that is part of the plan (no job reads it)."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    entries = [dict(zip(schema.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(entries, to_arrow_schema(schema)), schema)
+
+
 def wide_partitions(df: DataFrame) -> int:
     """Partition count for steps whose work is much larger than their input."""
     spark = df.sparkSession
