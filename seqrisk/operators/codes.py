@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqrisk.functions.codes import is_diagnosis_name, is_special
-from seqrisk.plans.joins import lookup_join
+from seqrisk.plans.joins import lookup_join, stored
 from seqrisk.plans.ordered import exact_quantiles
 
 MODES = ["strong_only", "strong_plus_possible"]
@@ -68,7 +68,7 @@ def infer_persistent_codes(
     ``events`` are training events with ``subject_id``, ``code``, ``day`` and ``is_diagnosis``. A
     common code has as many rows as it has subjects, so its medians come from the bucketed quantile.
     """
-    per_subject = (
+    per_subject = stored(
         events.where("is_diagnosis")
         .groupBy("code", "subject_id")
         .agg(

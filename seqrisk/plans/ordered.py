@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqrisk.plans.joins import stored
+
 GROUP = "_g"
 _FAR = 1 << 24
 
@@ -104,8 +106,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group; NULLs are skipped.
 
-    ``names`` maps an output column to its fraction. Only the buckets that hold a wanted rank are
-    ordered row by row.
+    ``names`` maps an output column to its fraction. The result, one row per group, is computed and
+    stored here: joined into a larger plan, its key filters would reach only one of the two branches
+    and the counting would be done twice.
     """
     base = df.where(F.col(value).isNotNull()).select(
         group_struct(keys).alias(GROUP), F.col(value).cast("double").alias("_v")
@@ -135,7 +138,7 @@ def exact_quantiles(
             for n in names
         ],
     )
-    return ungroup(out, keys)
+    return stored(ungroup(out, keys))
 
 
 def take_in_hash_order(
