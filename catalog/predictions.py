@@ -639,7 +639,7 @@ def prediction_stability(spark, sf_dir):
     ),
 )
 def stability_summary(spark, sf_dir):
-    return A.stability_summary(A.prediction_stability(_sub(spark, sf_dir)))
+    return A.stability_summary(stored(A.prediction_stability(_sub(spark, sf_dir))))
 
 
 @query("ensemble_predictions", with_views(f"SELECT {cols(_EX, 'row_id subject_id y_true n_seeds', 'risk risk_std')} FROM v_ensemble", "v_ensemble"))

@@ -58,9 +58,9 @@ def present_codes(whitelist: DataFrame, events: DataFrame) -> DataFrame:
 
 def infer_persistent_codes(
     events: DataFrame,
-    min_subjects: int,
-    min_mean_occurrences: float,
-    min_span_days: float,
+    min_subjects: int = 20,
+    min_mean_occurrences: float = 2.0,
+    min_span_days: float = 180.0,
     keep_all: bool = False,
 ) -> DataFrame:
     """Per diagnosis code: how many subjects repeat it and over how many days, and whether it is kept.

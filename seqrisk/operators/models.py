@@ -365,7 +365,7 @@ def meta_model_sweep(
     seeds: Sequence[int],
     models: Mapping[str, Mapping] = META_MODELS,
     variants: Mapping[str, Sequence[str]] = FEATURE_VARIANTS,
-    balanced: bool = True,
+    balanced: bool = False,
     parallelism: int = 4,
 ) -> DataFrame:
     """Held-out risk of every meta model × feature variant × (task, seed), fitted on tuning.
@@ -420,9 +420,9 @@ def embedding_fusion(
     arrays: Mapping[str, tuple[str, int]],
     tasks: Sequence[str],
     seeds: Sequence[int],
-    c: float = 0.1,
+    c: float = 1.0,
     variants: Mapping[str, Sequence[str]] = FEATURE_VARIANTS,
-    balanced: bool = True,
+    balanced: bool = False,
     parallelism: int = 4,
 ) -> DataFrame:
     """Every feature variant with one logistic regression."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqrisk.functions.codes import PAD, PAD_ID, UNK, UNK_ID
-from seqrisk.plans.joins import local_table, lookup_join
+from seqrisk.plans.joins import local_table, lookup_join, stored
 from seqrisk.plans.ordered import GROUP, dense_index, never_null, value_bucket
 
 MIN_STD = 1e-6
@@ -51,7 +51,8 @@ def build_vocab(events: DataFrame, source: DataFrame) -> DataFrame:
     base = kept.unionByName(added)
     highest = base.agg(F.max("token_id").alias("_top"))
 
-    counts = events.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    # One pass over the events; what follows works on the code counts.
+    counts = stored(events.groupBy("code").agg(F.count(F.lit(1)).alias("n")))
     unseen = counts.join(base.select("code"), ["code"], "left_anti")
     grouped = unseen.withColumn(GROUP, F.struct(F.lit(0).alias("_all")))
     order = [F.desc("n"), F.asc("code")]

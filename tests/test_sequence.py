@@ -150,7 +150,7 @@ def test_other_codes_survive_every_version(spark):
 
 def test_unknown_version(spark):
     with pytest.raises(ValueError):
-        S.compress(flagged(spark, histories(1, 1)), "compressed_hybrid")
+        S.compress(flagged(spark, histories(1, 1)), "shuffled")
 
 
 def test_era_limit_stays_and_compression_can_lengthen(spark):
