@@ -1,4 +1,4 @@
-"""Paired bootstrap over rows or subjects, for any number of comparisons in one job.
+"""Paired bootstrap over rows or subjects, for any number of comparisons at once.
 
 A draw gives each unit an integer weight instead of copying rows; metrics are then evaluated with
 weights. Draw ``j`` of replicate ``b`` picks unit ``hash(seed, comparison, b, j) % n``: each replicate
@@ -485,7 +485,7 @@ def pairwise_comparisons(
     n_draws: int = 1000,
     seed: int = 42,
 ) -> DataFrame:
-    """Every named pair of configurations in both subgroups, resampled by subject in one job.
+    """Every named pair of configurations in both subgroups, resampled by subject together.
 
     ``configs`` entries have key, task, family, version, model; ``comparisons`` entries have
     comparison, description, task, a, b (config keys). Unknown keys are rejected before any job, a
