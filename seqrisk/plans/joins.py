@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,9 +55,40 @@ def stored(df: DataFrame) -> DataFrame:
     """Write an intermediate as a table in the shared folder and go on from its files.
 
     For results that several branches read. The files outlive lost executors, each branch scans only
-    the columns it needs, and the plan behind them is neither planned nor run again.
+    the columns it needs, and the plan behind them is neither planned nor run again. ``release``
+    removes a table that nothing reads any more; ``released`` scopes that to a block.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of stored tables. What was read from them before must have been written."""
+    for table in tables:
+        path = getattr(table, "stored_path", None)
+        if path:
+            hadoop = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+#: Lists of the open ``released`` blocks.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def released():
+    """Remove every table that is stored inside the block when the block ends.
+
+    A result that outlives the block must be written inside it, outside of the registered tables.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        release(*_OPEN.pop())

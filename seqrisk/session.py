@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -14,6 +15,9 @@ SETTINGS = {
     "spark.ui.enabled": "false",
 }
 
+#: Own folders of plain local sessions, by application.
+_OWN: dict[str, str] = {}
+
 
 def build_session(master: str | None = None, app: str = "seqrisk", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -25,21 +29,19 @@ def build_session(master: str | None = None, app: str = "seqrisk", **extra: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for stored intermediates.
+    """Folder for stored intermediates, readable and writable by the driver and all executors.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``. Where that is unset, a local session
-    gets a temporary folder of its own, and any other session a folder in its warehouse, which all
-    executors reach.
+    A cluster names it in ``spark.checkpoint.dir``, or the caller has set a checkpoint folder on the
+    context. Where neither is set, a plain ``local[...]`` session, whose driver and executor are one
+    process, gets a temporary folder of its own; any other master is an error, because no folder that
+    this code could make up would be shared.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    if context.master.startswith("local"):
-        own = tempfile.mkdtemp(prefix="seqrisk-checkpoint-")
-    else:
-        own = f"{spark.conf.get('spark.sql.warehouse.dir')}/_seqrisk_checkpoint"
-    context.setCheckpointDir(own)
-    return context.getCheckpointDir()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError(f"{context.master}: set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="seqrisk-checkpoint-")
+    return _OWN[context.applicationId]
