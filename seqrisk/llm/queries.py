@@ -1,4 +1,4 @@
 """All queries of this package, registered by importing its modules."""
 
-from seqrisk.llm import mixing, sharding, simhash  # noqa: F401
+from seqrisk.llm import mixing, packing, sharding, simhash  # noqa: F401
 from seqrisk.llm.registry import ORACLE, QUERIES  # noqa: F401
