@@ -140,11 +140,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    quoted = {k: v for k, v in normal_sentences().items()}
-    names = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in quoted.items()) + "}"
+    names = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in normal_sentences().items()) + "}"
     cues = " OR ".join(f"contains(low, '{c}')" for c in CUES)
     part = "trim(regexp_replace({0}, '[^a-z0-9]+', ' ', 'g'))"
-    rest, steps = "r0", []
+    steps = []
     for n, (name, pattern) in enumerate(RULES):
         steps.append(f"SELECT *, regexp_replace(r{n}, '{pattern}', '|', 'g') AS r{n + 1}, CASE WHEN regexp_matches(r{n}, '{pattern}') THEN '{name}' END AS f{n} FROM s{n}")
     ctes = ",\n".join(f"s{n + 1} AS ({step})" for n, step in enumerate(steps))
@@ -153,21 +152,21 @@ def _sql() -> str:
 WITH d AS (SELECT doc_id, translate(text, '{_UPPER}', '{_LOWER}') AS low, {names} AS names FROM documents),
 p AS (
   SELECT doc_id, names, unnest(CASE WHEN {cues} THEN regexp_split_to_array(low, '{_END.replace('([', '(?:[')}') ELSE [] END) AS sentence,
-         generate_subscripts(CASE WHEN {cues} THEN regexp_split_to_array(low, '{_END.replace('([', '(?:[')}') ELSE [] END, 1) AS at
+         generate_subscripts(CASE WHEN {cues} THEN regexp_split_to_array(low, '{_END.replace('([', '(?:[')}') ELSE [] END, 1) AS pos
   FROM d),
 q AS (
-  SELECT doc_id, at, names, CASE WHEN names[{part.format('sentence')}] IS NOT NULL THEN [sentence] ELSE string_split(sentence, chr(10)) END AS lines
+  SELECT doc_id, pos, names, CASE WHEN names[{part.format('sentence')}] IS NOT NULL THEN [sentence] ELSE string_split(sentence, chr(10)) END AS lines
   FROM p),
-u AS (SELECT doc_id, at, names, unnest(lines) AS line, generate_subscripts(lines, 1) AS nth FROM q),
-k AS (SELECT doc_id, at, nth, names[{part.format('line')}] AS id FROM u),
+u AS (SELECT doc_id, pos, names, unnest(lines) AS line, generate_subscripts(lines, 1) AS nth FROM q),
+k AS (SELECT doc_id, pos, nth, names[{part.format('line')}] AS id FROM u),
 g AS (
-  SELECT doc_id, string_agg(id, ' ' ORDER BY at, nth) AS ids, string_agg('<' || id || '>', '' ORDER BY at, nth) AS r0
+  SELECT doc_id, string_agg(id, ' ' ORDER BY pos, nth) AS ids, string_agg('<' || id || '>', '' ORDER BY pos, nth) AS r0
   FROM k WHERE id IS NOT NULL GROUP BY doc_id),
 s0 AS (SELECT documents.doc_id, coalesce(ids, '') AS sentence_ids, coalesce(r0, '') AS r0 FROM documents LEFT JOIN g USING (doc_id)),
 {ctes}
 SELECT doc_id, sentence_ids,
-       coalesce(array_to_string(list_transform(list_filter(list_distinct_kept, x -> x IS NOT NULL), x -> x), ' '), '') AS licenses
-FROM (SELECT doc_id, sentence_ids, list_filter([{firsts}], (x, i) -> x IS NOT NULL AND list_position([{firsts}], x) = i) AS list_distinct_kept FROM s{len(RULES)})
+       array_to_string(list_filter([{firsts}], lambda x, i: x IS NOT NULL AND list_position([{firsts}], x) = i), ' ') AS licenses
+FROM s{len(RULES)}
 """
 
 
