@@ -1,4 +1,4 @@
 """All queries of this package, registered by importing its modules."""
 
-from seqrisk.llm import language, licenses, mixing, packing, paragraphs, quality, sharding, simhash  # noqa: F401
+from seqrisk.llm import language, licenses, mixing, packing, paragraphs, quality, sharding, simhash, vector_dedup  # noqa: F401
 from seqrisk.llm.registry import ORACLE, QUERIES  # noqa: F401
