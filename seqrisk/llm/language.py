@@ -187,7 +187,7 @@ def fit_language(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
                 total += np.bincount(np.append(bucket, script.astype(np.int64) + BUCKETS), minlength=len(total))
         for lang, total in sums.items():
             on = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(on)), pa.array(on), pa.array(total[on])], ["lang", "k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(on), pa.string()), pa.array(on), pa.array(total[on])], ["lang", "k", "n"])
 
     summed = chosen.mapInArrow(run, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
     size = BUCKETS + letters().scripts

@@ -78,8 +78,8 @@ RULES = (
     ("MPL-2.0", "<mpl2-name>"),
     ("Unlicense", "<unlicense-head>"),
 )
-#: Every known sentence has one of these, so other texts need no look.
-CUES = ("licen", "permission", "redistribut", "provided", "warrant", "liable", "public domain", "obtain a copy", "names of its")
+#: Every known sentence has one of these words or beginnings, so other texts need no look.
+CUES = ("licen", "permission", "redistribut", "provided", "warrant", "liable", "unencumbered", "released", "contributors")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sentences end at these signs before white space, and at empty lines.
 _END = r"[.!?;:]+([ \t\r\f]*\n|[ \t\n\r\f]+|$)|\n[ \t\r\f]*\n"

@@ -133,9 +133,10 @@ def mix(
 def mixed_documents(
     docs: DataFrame, shares: Sequence[int] = SHARES, budget: Fraction = BUDGET, epochs: int = EPOCHS
 ) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them."""
+    """The rows of ``docs``, all columns, as often as the mix takes them; names that begin with ``_`` are taken."""
     rows = stored(measured(docs.select("doc_id", "text", "source")).select("_size", "_hash", "_source"))
-    mixed = with_copies(measured(docs), mix_plan(rows, shares, budget, epochs)).where(F.col("_copies") > 0)
+    plan = mix_plan(rows, shares, budget, epochs).drop("source_size", "target")
+    mixed = with_copies(measured(docs), plan).where(F.col("_copies") > 0)
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
