@@ -86,11 +86,11 @@ _END = r"[.!?;:]+([ \t\r\f]*\n|[ \t\n\r\f]+|$)|\n[ \t\r\f]*\n"
 
 
 def normal_sentences() -> dict[str, str]:
-    """Identifiers by normalised sentence; long entries hold several sentence parts, the last counts."""
+    """Identifiers by normalised sentence; of entries that the end signs cut, the last part of some length counts."""
     out: dict[str, str] = {}
     for sentence, identifier in SENTENCES.items():
         parts = [re.sub(r"[^a-z0-9]+", " ", p.lower()).strip() for p in re.split(r"[.!?;:]+(?:\s+|$)", sentence)]
-        out[[p for p in parts if p][-1]] = identifier
+        out[[p for p in parts if p.count(" ") >= 3][-1]] = identifier
     return out
 
 
