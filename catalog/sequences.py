@@ -144,7 +144,7 @@ def collect_sequence(spark, sf_dir):
     seq = S.collect_sequence(V.events(spark, sf_dir))
 
     def weighted(name):
-        products = F.transform(F.col(name), lambda v, i: F.coalesce(v, F.lit(0.0)) * (i + 1 + F.col("segment") * S.STRETCH))
+        products = F.transform(F.col(name), lambda v, i: F.coalesce(v, F.lit(0.0)) * (i + 1 + F.col("first_pos")))
         return F.sum(F.aggregate(products, F.lit(0.0), lambda a, v: a + v))
 
     return seq.groupBy("row_id").agg(

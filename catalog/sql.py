@@ -219,19 +219,20 @@ VIEWS["v_seq"] = (
 )
 
 
-def with_views(body: str, *names: str, extra: str = "") -> str:
-    """``body`` after the named views and everything they read; ``extra`` holds more CTEs."""
+def with_views(body: str, *names: str, extra: str = "", swap: dict[str, tuple[list[str], str]] | None = None) -> str:
+    """``body`` after the named views and everything they read; ``extra`` holds more CTEs, ``swap`` other bodies."""
     ordered: list[str] = []
+    views = {**VIEWS, **(swap or {})}
 
     def visit(name: str) -> None:
-        for dep in VIEWS[name][0]:
+        for dep in views[name][0]:
             visit(dep)
         if name not in ordered:
             ordered.append(name)
 
     for name in names:
         visit(name)
-    parts = [f"{n} AS ({VIEWS[n][1]})" for n in ordered]
+    parts = [f"{n} AS ({views[n][1]})" for n in ordered]
     if extra:
         parts.append(extra)
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body

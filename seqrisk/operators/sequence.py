@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqrisk.functions.arrays import array_delta_days, normalize_arrays
+from seqrisk.functions.arrays import array_delta_days, normalize_arrays, tail
 from seqrisk.functions.codes import is_diagnosis_name, is_visit_anchor
 from seqrisk.functions.scalars import count_bin, duration_bin, recency_bin
 from seqrisk.plans.joins import lookup_join, stored
@@ -34,17 +34,24 @@ KEYS = ["row_id"]
 
 
 def explode_events(df: DataFrame, keep: Sequence[str] = KEYS) -> DataFrame:
-    """Packed rows to one row per event."""
+    """Packed rows to one row per event.
+
+    A history that is packed in several rows says in ``first_pos`` at which position each begins, so the
+    positions run on. Examples with an empty history have no events; whoever reports on examples joins
+    from the examples (``compression_audit``, ``build_versions``).
+    """
     packed = normalize_arrays(
         F.col("codes"),
         F.col("days_before_prediction"),
         F.col("delta_days") if "delta_days" in df.columns else F.array().cast("array<double>"),
         F.col("numeric_values") if "numeric_values" in df.columns else F.array().cast("array<double>"),
     )
-    exploded = df.select(*keep, F.posexplode(packed).alias("pos", "event"))
+    start = F.coalesce("_first_pos", F.lit(0))
+    first = F.col("first_pos") if "first_pos" in df.columns else F.lit(0)
+    exploded = df.select(*keep, first.alias("_first_pos"), F.posexplode(packed).alias("pos", "event"))
     return exploded.select(
         *keep,
-        F.col("pos").cast("double").alias("idx"),
+        (F.col("pos") + start).cast("double").alias("idx"),
         F.col("event.code").alias("code"),
         F.col("event.day").alias("day"),
         F.col("event.num").alias("num"),
@@ -52,30 +59,43 @@ def explode_events(df: DataFrame, keep: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
-def pack_events(df: DataFrame, keys: Sequence[str] = KEYS, stretch: int = STRETCH) -> DataFrame:
+def pack_events(
+    df: DataFrame, keys: Sequence[str] = KEYS, stretch: int = STRETCH, fields: Sequence[str] = EVENT
+) -> DataFrame:
     """Events to packed rows, one per stretch of ``stretch`` positions.
 
     A history of up to ``stretch`` positions is one row (``segment`` 0); a longer one is cut, so the
     array in a row is bounded whatever the history's length. ``events`` is sorted by position.
     """
     segment = F.floor(F.col("idx") / F.lit(float(stretch))).alias("segment")
-    event = F.struct("idx", "code", "day", "num", "synthetic")
-    return df.groupBy(*keys, segment).agg(F.sort_array(F.collect_list(event)).alias("events"))
-
-
-def _with_previous_day(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Day of the event that precedes each packed row."""
-    last = packed.select(*keys, "segment", F.element_at("events", -1)["day"].alias("_last"))
-    order = Window.partitionBy(*keys).orderBy("segment")
-    before = last.select(*keys, "segment", F.lag("_last").over(order).alias("_before"))
-    return packed.join(before.hint("shuffle_hash"), [*keys, "segment"])
+    return df.groupBy(*keys, segment).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("events"))
 
 
 def collect_sequence(
-    df: DataFrame, keys: Sequence[str] = KEYS, stretch: int = STRETCH
+    df: DataFrame,
+    keys: Sequence[str] = KEYS,
+    stretch: int = STRETCH,
+    more: Sequence[str] = (),
 ) -> DataFrame:
-    """Events to parallel arrays in position order, with the gaps between kept events."""
-    packed = _with_previous_day(pack_events(df, keys, stretch), keys)
+    """Events to parallel arrays in position order, with the gaps between kept events.
+
+    One row per stretch: ``segment``, and ``first_pos``, the number of events in the segments before.
+    ``explode_events`` reads the rows back with the positions 0, 1, 2, ... whatever the stretch. ``more``
+    names further event columns to pack (as ``<name>s``).
+    """
+    packed = pack_events(df, keys, stretch, [*EVENT, *more])
+    ends = packed.select(
+        *keys, "segment", F.size("events").alias("_n"), F.element_at("events", -1)["day"].alias("_last")
+    )
+    order = Window.partitionBy(*keys).orderBy("segment")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    heads = ends.select(
+        *keys,
+        "segment",
+        F.lag("_last").over(order).alias("_before"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("first_pos"),
+    )
+    packed = packed.join(heads.hint("shuffle_hash"), [*keys, "segment"])
     events = F.col("events")
 
     def field(name: str) -> Column:
@@ -84,21 +104,51 @@ def collect_sequence(
     return packed.select(
         *keys,
         "segment",
+        "first_pos",
         field("code").alias("codes"),
         field("day").alias("days_before_prediction"),
         array_delta_days(field("day"), F.col("_before")).alias("delta_days"),
         field("num").alias("numeric_values"),
+        *[field(c).alias(f"{c}s") for c in more],
     )
 
 
+def history_tail(packed: DataFrame, length: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per example with the last ``length`` events of the whole history, over all its segments.
+
+    Only segments that reach into the tail are brought together, so a row stays bounded by ``length``
+    plus one stretch.
+    """
+    arrays = [c for c in ("codes", "token_ids", "days_before_prediction", "delta_days", "numeric_values") if c in packed.columns]
+    end = F.col("first_pos") + F.size("codes")
+    total = F.max(end).over(Window.partitionBy(*keys))
+    near = packed.withColumn("_end", end).withColumn("_total", total).where(
+        (F.col("_end") > F.col("_total") - F.lit(length)) | (F.col("_total") == 0)
+    )
+    rows = near.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("segment", *arrays))).alias("_s"))
+
+    def joined(name: str) -> Column:
+        return tail(F.flatten(F.transform("_s", lambda s: s[name])), length)
+
+    return rows.select(*keys, *[joined(c).alias(c) for c in arrays])
+
+
 def delta_days(df: DataFrame, keys: Sequence[str] = KEYS, stretch: int = STRETCH) -> DataFrame:
-    """Add ``delta``: days since the previous kept event, never negative, 0 for the first."""
-    packed = _with_previous_day(pack_events(df, keys, stretch), keys)
-    gaps = array_delta_days(F.transform("events", lambda e: e["day"]), F.col("_before"))
-    rows = packed.select(*keys, F.explode(F.arrays_zip("events", gaps.alias("gaps"))).alias("e"))
-    return rows.select(
-        *keys, *[F.col("e.events")[c].alias(c) for c in EVENT], F.col("e.gaps").alias("delta")
+    """Add ``delta``: days since the previous kept event, never negative, 0 for the first.
+
+    The previous event is looked up inside a stretch; the first of a stretch takes the last day of the
+    stretch before, which is an aggregate.
+    """
+    cut = df.withColumn("_segment", F.floor(F.col("idx") / F.lit(float(stretch))))
+    last = cut.groupBy(*keys, "_segment").agg(F.max_by("day", "idx").alias("_last"))
+    before = last.select(
+        *keys, "_segment", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_segment")).alias("_before")
     )
+    inside = Window.partitionBy(*keys, "_segment").orderBy("idx")
+    previous = F.coalesce(F.lag("day").over(inside), "_before")
+    joined = cut.join(before.hint("shuffle_hash"), [*keys, "_segment"])
+    gap = F.greatest(F.coalesce(previous - F.col("day"), F.lit(0.0)), F.lit(0.0))
+    return joined.select(*df.columns, gap.alias("delta"))
 
 
 # ---------------------------------------------------------------- visits
@@ -443,12 +493,14 @@ def compression_audit(
     compressed: DataFrame,
     keys: Sequence[str] = KEYS,
     diagnosis: Column | None = None,
+    examples: DataFrame | None = None,
+    versions: Sequence[str] = (),
 ) -> DataFrame:
     """Per example and version: lengths, removed (may be negative) and synthetic counts.
 
     ``diagnosis`` is the predicate behind ``n_diagnosis_like_events_raw``; with a code list loaded it
-    is the ``compressible`` flag, without one the name rule. Examples whose history is empty have no
-    event rows and are filled in by the caller.
+    is the ``compressible`` flag, without one the name rule. With ``examples`` (the keys) and ``versions``
+    every example has a row for every version, those without events with zeros.
     """
     like = is_diagnosis_name(F.col("code")) if diagnosis is None else diagnosis
     raw = flagged.groupBy(*keys).agg(
@@ -464,7 +516,13 @@ def compression_audit(
         F.count(F.lit(1)).alias("n_unique_tokens"),
         F.sum("_synthetic").alias("n_synthetic_events"),
     )
-    return kept.join(raw, list(keys)).select(
+    if examples is None:
+        joined = kept.join(raw, list(keys))
+    else:
+        every = examples.select(*keys, F.explode(F.array(*[F.lit(v) for v in versions])).alias("version"))
+        joined = every.join(kept, [*keys, "version"], "left").join(raw, list(keys), "left")
+    counts = {c: F.coalesce(c, F.lit(0)) for c in joined.columns if c not in {*keys, "version"}}
+    return joined.withColumns(counts).select(
         *keys,
         "version",
         "seq_len",

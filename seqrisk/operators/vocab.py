@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,35 +34,50 @@ def decode_tokens(events: DataFrame, vocab: DataFrame) -> DataFrame:
     return joined.select(*events.columns, F.coalesce("code", F.lit(UNK)).alias("code"))
 
 
-def build_vocab(events: DataFrame, source: DataFrame) -> DataFrame:
-    """Source ids kept, PAD and UNK added where their ids are free, unseen codes appended.
-
-    New codes are numbered from the highest id + 1 by falling count, then name. ``events`` are the
-    training events. Numbering goes through count buckets, not through one global sort.
-    """
+def _base_vocab(source: DataFrame) -> DataFrame:
+    """Source ids, and PAD and UNK where their ids are free."""
     by_id = source.groupBy("token_id").agg(F.min("code").alias("code"))
     kept = by_id.groupBy("code").agg(F.min("token_id").cast("int").alias("token_id"))
     special = local_table(
-        events.sparkSession, [(PAD, PAD_ID), (UNK, UNK_ID)], "code string, token_id int"
+        source.sparkSession, [(PAD, PAD_ID), (UNK, UNK_ID)], "code string, token_id int"
     )
     added = (
         special.join(kept.select("code"), ["code"], "left_anti")
         .join(kept.select("token_id"), ["token_id"], "left_anti")
         .select("code", "token_id")
     )
-    base = kept.unionByName(added)
+    return kept.unionByName(added)
+
+
+def build_vocabs(events: DataFrame, source: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by`` columns, ``code``, ``token_id``: one vocabulary for each group of training events.
+
+    In each, source ids are kept, PAD and UNK added where their ids are free, and codes that the
+    source lacks numbered from the highest id + 1 by falling count, then name. Numbering goes through
+    count buckets per group, not through one sort.
+    """
+    base = stored(_base_vocab(source))
     highest = base.agg(F.max("token_id").alias("_top"))
 
     # One pass over the events; what follows works on the code counts.
-    counts = stored(events.groupBy("code").agg(F.count(F.lit(1)).alias("n")))
+    counts = stored(events.groupBy(*by, "code").agg(F.count(F.lit(1)).alias("n")))
     unseen = counts.join(base.select("code"), ["code"], "left_anti")
-    grouped = unseen.withColumn(GROUP, F.struct(F.lit(0).alias("_all")))
+    grouped = unseen.withColumn(GROUP, F.struct(*by) if by else F.struct(F.lit(0).alias("_all")))
     order = [F.desc("n"), F.asc("code")]
     numbered = dense_index(grouped, order, never_null(-value_bucket(F.col("n")), F.lit(0)), "_i")
     appended = numbered.select(
-        "code", (highest.scalar() + 1 + F.col("_i")).cast("int").alias("token_id")
+        *by, "code", (highest.scalar() + 1 + F.col("_i")).cast("int").alias("token_id")
     )
-    return base.unionByName(appended)
+    if not by:
+        return base.unionByName(appended)
+    # Every group has the source's entries; the groups are as many as there are versions.
+    groups = counts.select(*by).distinct()
+    return base.join(F.broadcast(groups)).select(*by, "code", "token_id").unionByName(appended)
+
+
+def build_vocab(events: DataFrame, source: DataFrame) -> DataFrame:
+    """One vocabulary for all training events, by the rules of ``build_vocabs``."""
+    return build_vocabs(events, source)
 
 
 def token_numeric_stats(events: DataFrame, vocab: DataFrame, min_count: int = 3) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 TRAIN, TUNING, HELD_OUT = "train", "tuning", "held_out"
 ENSEMBLE_SEED = -1
 
+# Columns of sequence datasets, prediction files and audit tables.
 EXAMPLES = T.StructType(
     [
         T.StructField("row_id", T.LongType()),
@@ -30,18 +31,22 @@ EXAMPLES = T.StructType(
         T.StructField("n_synthetic_events", T.IntegerType()),
         T.StructField("n_diagnosis_like_events_raw", T.IntegerType()),
         T.StructField("n_compressible_chronic_events_raw", T.IntegerType()),
+        T.StructField("segment", T.LongType()),
+        T.StructField("first_pos", T.LongType()),
         T.StructField("task", T.StringType()),
         T.StructField("version", T.StringType()),
     ]
 )
 
-# Column order of a written sequence dataset; anything else follows.
+# Column order of a written sequence dataset; anything else follows.
 EXAMPLE_ORDER = [
     "task", "row_id", "subject_id", "prediction_time", "label", "split", "codes", "token_ids",
     "days_before_prediction", "delta_days", "numeric_values", "seq_len", "n_unique_tokens",
     "raw_seq_len", "n_events_removed_vs_raw", "n_synthetic_events",
     "n_diagnosis_like_events_raw", "n_compressible_chronic_events_raw",
-]
+]
+#: Where a row of a long history stands; absent or 0 for a history in one row.
+SEGMENT_COLUMNS = ["segment", "first_pos"]
 
 REQUIRED_EXAMPLE = ["row_id", "subject_id", "label", "split", "codes", "days_before_prediction"]
 
