@@ -22,21 +22,21 @@ def _features(spark, sf_dir):
 @query("gbt_scores")
 def gbt_scores(spark, sf_dir):
     df, columns = _features(spark, sf_dir)
-    config = {**L.TABULAR_MODELS["boosted_trees"], "rounds": 5, "depth": 3}
+    config = {**L.TABULAR_MODELS["HistGradientBoosting"], "rounds": 5, "depth": 3}
     return L.tabular_scores(df, config, 42, columns)
 
 
 @query("rf_scores")
 def rf_scores(spark, sf_dir):
     df, columns = _features(spark, sf_dir)
-    config = {**L.TABULAR_MODELS["random_forest_balanced"], "trees": 20, "depth": 5}
+    config = {**L.TABULAR_MODELS["RandomForest_balanced"], "trees": 20, "depth": 5}
     return L.tabular_scores(df, config, 42, columns)
 
 
 @query("logreg_scores")
 def logreg_scores(spark, sf_dir):
     df, columns = _features(spark, sf_dir)
-    return L.tabular_scores(df, "logistic_regression_balanced", 42, columns)
+    return L.tabular_scores(df, "LogisticRegression_balanced", 42, columns)
 
 
 @query("platt")
@@ -67,7 +67,7 @@ def embedding_fusion(spark, sf_dir):
 def meta_model_sweep(spark, sf_dir):
     models = {
         **L.select_meta_models(["lr_l2_C1"]),
-        "boosted_small": {**L.META_MODELS["boosted_small"], "rounds": 3, "depth": 3},
+        "histgb_small": {**L.META_MODELS["histgb_small"], "rounds": 3, "depth": 3},
         "rf_small": {**L.META_MODELS["rf_small"], "trees": 10},
     }
     variants = {v: W.FEATURE_VARIANTS[v] for v in ("tabular_features_only", "tabular_plus_sequence_numeric_embeddings")}

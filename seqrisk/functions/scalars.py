@@ -36,23 +36,34 @@ def nonnegative_day(c: Column | str) -> Column:
     return F.greatest(F.coalesce(safe_float(c), F.lit(0.0)), F.lit(0.0))
 
 
+#: One element of a list literal: a quoted string with escapes, a number, or a named constant.
+_ELEMENT = (
+    r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
+    r"|[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|None|True|False"
+)
+
+
 def parse_list_cell(c: Column | str) -> Column:
     """Text cell to array<string>.
 
-    ``[…]`` and ``(…)`` literals are split into their elements, a literal that does not parse and any
-    other text become a one-element array, NULL and blank text an empty array.
+    ``[…]`` and ``(…)`` literals of strings, numbers and constants are split into their elements, ``None``
+    is a NULL element; quotes are read before anything else, so their contents stay as they are. A
+    literal that does not parse (as with a bare ``nan``) and any other text become a one-element array, NULL
+    and blank text an empty array.
     """
     raw = _col(c)
     text = F.trim(raw)
-    bracketed = text.rlike(r"^(\[[\s\S]*\]|\([\s\S]*\))$")
-    body = F.regexp_replace(text, r"^[\[(]\s*|\s*,?\s*[\])]$", "")
-    as_json = F.concat(F.lit("["), F.regexp_replace(body, "'", '"'), F.lit("]"))
-    parsed = F.from_json(
-        F.regexp_replace(as_json, r"\b(None|nan)\b", "null"), "array<string>", {"mode": "PERMISSIVE"}
-    )
+    literal = text.rlike(rf"^(?:\[\s*\]|\(\s*\)|\[\s*(?:{_ELEMENT})(?:\s*,\s*(?:{_ELEMENT}))*\s*,?\s*\]|\(\s*(?:{_ELEMENT})(?:\s*,\s*(?:{_ELEMENT}))*\s*,?\s*\))$")
+    found = F.regexp_extract_all(text, F.lit(f"({_ELEMENT})"), F.lit(1))
+
+    def value(e: Column) -> Column:
+        quoted = F.substring(e, 1, 1).isin("'", '"')
+        inner = F.regexp_replace(e.substr(F.lit(2), F.length(e) - 2), r"\\(.)", "$1")
+        return F.when(quoted, inner).when(e != "None", e)
+
     return (
         F.when(raw.isNull() | (text == ""), F.array().cast("array<string>"))
-        .when(bracketed, F.coalesce(parsed, F.array(raw)))
+        .when(literal, F.transform(found, value))
         .otherwise(F.array(raw))
     )
 
@@ -78,7 +89,9 @@ def recency_bin(days: Column | str) -> Column:
 
 
 def clip_prob(p: Column | str, eps: float = EPS) -> Column:
-    return F.least(F.greatest(_col(p), F.lit(eps)), F.lit(1.0 - eps))
+    """Probability away from 0 and 1; NULL stays NULL (``greatest`` alone would make it the lowest)."""
+    v = _col(p)
+    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(eps)), F.lit(1.0 - eps)))
 
 
 def logit(p: Column | str, eps: float = EPS) -> Column:
@@ -87,13 +100,19 @@ def logit(p: Column | str, eps: float = EPS) -> Column:
 
 
 def sigmoid(x: Column | str, bound: float | None = LOGIT_BOUND) -> Column:
-    """Logistic function; ``bound`` limits the argument, ``None`` leaves it as it is."""
+    """Logistic function; ``bound`` limits the argument, ``None`` leaves it as it is. NULL stays NULL."""
     v = _col(x)
     if bound is not None:
-        v = F.least(F.greatest(v, F.lit(-bound)), F.lit(bound))
+        v = F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(-bound)), F.lit(bound)))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-v))
 
 
+def known_score(p: Column | str) -> Column:
+    """The score; a NULL is an error, as a missing risk is no evidence for either outcome."""
+    v = _col(p).cast("double")
+    return F.coalesce(v, F.raise_error(F.lit("a risk is NULL")).cast("double"))
+
+
 def score_transform(p: Column | str, mode: str) -> Column:
     if mode == "prob":
         return clip_prob(p)

@@ -25,21 +25,22 @@ from seqrisk.functions.scalars import logit, safe_float, score_transform
 from seqrisk.operators.features import FEATURE_VARIANTS, PREFIXES, balanced_weights, usable_columns
 from seqrisk.operators.filters import union_tables
 from seqrisk.plans.joins import local_table, stored
-from seqrisk.plans.ordered import exact_quantiles
+from seqrisk.plans.ordered import GROUP, exact_quantiles, group_struct
 
-# Tabular models and meta models by name.
+# Tabular models and meta models by name. The boosted trees keep the names that configurations
+# and result tables match on; the learner behind them here is MLlib's, so their numbers are other ones.
 TABULAR_MODELS = {
-    "boosted_trees": {"kind": "boosted", "rate": 0.05, "rounds": 200, "depth": 5, "leaf": 20, "balanced": True},
-    "random_forest_balanced": {"kind": "forest", "trees": 400, "depth": 12, "leaf": 10, "balanced": True},
-    "logistic_regression_balanced": {"kind": "logreg", "C": 1.0, "fill": 0.0, "balanced": True},
+    "HistGradientBoosting": {"kind": "boosted", "rate": 0.05, "rounds": 200, "depth": 5, "leaf": 20, "balanced": True},
+    "RandomForest_balanced": {"kind": "forest", "trees": 400, "depth": 12, "leaf": 10, "balanced": True},
+    "LogisticRegression_balanced": {"kind": "logreg", "C": 1.0, "fill": 0.0, "balanced": True},
 }
 META_MODELS = {
     "lr_l2_C001": {"kind": "logreg", "C": 0.01},
     "lr_l2_C003": {"kind": "logreg", "C": 0.03},
     "lr_l2_C01": {"kind": "logreg", "C": 0.1},
     "lr_l2_C1": {"kind": "logreg", "C": 1.0},
-    "boosted_small": {"kind": "boosted", "rate": 0.05, "rounds": 100, "depth": 4, "leaf": 30},
-    "boosted_medium": {"kind": "boosted", "rate": 0.05, "rounds": 200, "depth": 5, "leaf": 20},
+    "histgb_small": {"kind": "boosted", "rate": 0.05, "rounds": 100, "depth": 4, "leaf": 30},
+    "histgb_medium": {"kind": "boosted", "rate": 0.05, "rounds": 200, "depth": 5, "leaf": 20},
     "rf_small": {"kind": "forest", "trees": 300, "depth": 6, "leaf": 20},
 }
 SCORE_VARIANTS = {
@@ -51,6 +52,8 @@ SCORE_VARIANTS = {
 }
 
 ROW = ["row_id", "subject_id", "y_true"]
+#: Small fits that are solved together at most.
+MAX_FITS = 100_000
 
 
 # ---------------------------------------------------------------- one MLlib fit
@@ -191,23 +194,30 @@ def grouped_logistic(
 
     Minimises ½‖w‖² + C Σ s·loss with a free intercept. Each Newton step is one aggregation over the
     rows of all keys that are still moving; what comes back to the driver is one row of (size + 1)²
-    sums per key. Returns (keys, coef), ``coef`` being intercept first, on the original scale.
+    sums per key, and more than ``MAX_FITS`` keys are an error. So are a NULL in ``x`` or the label, and a fit
+    that does not come to rest. A NULL key is a key. Returns (keys, coef), ``coef`` being intercept first, on
+    the original scale.
     """
     spark = df.sparkSession
-    rows = df.select(*keys, F.col(x).alias("_x"), F.col(label).cast("int").alias("_y"))
+    complete = F.col(x).isNotNull() & F.forall(x, lambda v: v.isNotNull()) & F.col(label).isNotNull()
+    given = F.when(complete, F.col(x)).otherwise(F.raise_error(F.lit(f"NULL in {x} or {label}")).cast("array<double>"))
+    rows = df.select(group_struct(keys).alias(GROUP), given.alias("_x"), F.col(label).cast("int").alias("_y"))
     stats_aggs = [F.avg(F.get("_x", i)).alias(f"m{i}") for i in range(size)]
     stats_aggs += [F.stddev_pop(F.get("_x", i)).alias(f"d{i}") for i in range(size)]
-    stats = rows.groupBy(*keys).agg(
+    stats = rows.groupBy(GROUP).agg(
         F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"), *stats_aggs
     )
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         groups = {}
-        for r in stats.collect():
+        found = stats.limit(MAX_FITS + 1).collect()
+        if len(found) > MAX_FITS:
+            raise ValueError(f"more than {MAX_FITS} fits: fit on fewer keys {list(keys)}")
+        for r in found:
             if not r["pos"] or not r["neg"]:
-                raise ValueError(f"only one class in group {[r[k] for k in keys]}")
+                raise ValueError(f"only one class in group {r[GROUP].asDict()}")
             n = r["pos"] + r["neg"]
-            groups[tuple(r[k] for k in keys)] = {
+            groups[tuple(r[GROUP])] = {
                 "mean": [r[f"m{i}"] if scale else 0.0 for i in range(size)],
                 "dev": [(r[f"d{i}"] or 1.0) if scale else 1.0 for i in range(size)],
                 "wp": n / (2 * r["pos"]) if balanced else 1.0,
@@ -215,11 +225,13 @@ def grouped_logistic(
                 "beta": np.zeros(size + 1),
                 "last": None,
                 "done": False,
+                "rest": np.inf,
             }
         key_fields = [f for k in keys for f in df.select(k).schema.fields]
         numbers = T.ArrayType(T.DoubleType())
+        group_field = rows.schema[GROUP]
         schema = T.StructType(
-            [*key_fields, *[T.StructField(n, numbers) for n in ("_mean", "_dev", "_beta", "_cw")]]
+            [group_field, *[T.StructField(n, numbers) for n in ("_mean", "_dev", "_beta", "_cw")]]
         )
         names = [(i, j) for i in range(size + 1) for j in range(i, size + 1)]
         for _ in range(max_iter):
@@ -229,13 +241,13 @@ def grouped_logistic(
             table = local_table(
                 spark,
                 [
-                    (*k, list(g["mean"]), list(g["dev"]), [float(b) for b in g["beta"]], [g["wn"], g["wp"]])
+                    (dict(zip(group_field.dataType.names, k)), list(g["mean"]), list(g["dev"]), [float(b) for b in g["beta"]], [g["wn"], g["wp"]])
                     for k, g in moving.items()
                 ],
                 schema,
             )
-            # One row per fit the caller asked for.
-            joined = rows.join(F.broadcast(table), list(keys))
+            # At most MAX_FITS short rows.
+            joined = rows.join(F.broadcast(table), GROUP)
             z = [F.lit(1.0)] + [
                 (F.get("_x", i) - F.get("_mean", i)) / F.get("_dev", i) for i in range(size)
             ]
@@ -243,7 +255,7 @@ def grouped_logistic(
             for i in range(size):
                 margin = margin + F.get("_beta", i + 1) * z[i + 1]
             lean = joined.select(
-                *keys,
+                GROUP,
                 *[z[i].alias(f"z{i}") for i in range(size + 1)],
                 F.col("_y").alias("y"),
                 F.get("_cw", F.col("_y")).alias("s"),
@@ -251,13 +263,13 @@ def grouped_logistic(
             ).withColumn("p", 1 / (1 + F.exp(-F.col("u"))))
             curve = F.col("s") * F.col("p") * (1 - F.col("p"))
             softplus = F.greatest(F.col("u"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("u")))
-            sums = lean.groupBy(*keys).agg(
+            sums = lean.groupBy(GROUP).agg(
                 F.sum(F.col("s") * (softplus - F.col("y") * F.col("u"))).alias("loss"),
                 *[F.sum(F.col("s") * (F.col("y") - F.col("p")) * F.col(f"z{i}")).alias(f"g{i}") for i in range(size + 1)],
                 *[F.sum(curve * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"h{i}_{j}") for i, j in names],
             )
             for r in sums.collect():
-                g = moving[tuple(r[k] for k in keys)]
+                g = moving[tuple(r[GROUP])]
                 beta = g["beta"]
                 value = c * r["loss"] + 0.5 * float(beta[1:] @ beta[1:])
                 if g["last"] is not None and value > g["last"][0] + 1e-9 * abs(g["last"][0]):
@@ -272,9 +284,14 @@ def grouped_logistic(
                 step = np.linalg.solve(hess, grad)
                 g["last"] = (value, beta)
                 g["beta"] = beta + step
-                g["done"] = bool(np.max(np.abs(step)) < tol)
+                g["rest"] = float(np.max(np.abs(step)))
+                g["done"] = g["rest"] < tol
     finally:
         rows.unpersist()
+    # Rounding may keep the last steps above tol; a fit that still moves visibly has not converged.
+    moving = [k for k, g in groups.items() if g["rest"] > max(tol, 1e-6)]
+    if moving:
+        raise ValueError(f"no convergence in {max_iter} steps for {moving[:5]}")
     found = []
     for k, g in groups.items():
         weights = [float(b) / d for b, d in zip(g["beta"][1:], g["dev"])]
@@ -284,8 +301,9 @@ def grouped_logistic(
 
 
 def apply_logistic(df: DataFrame, coefs: DataFrame, keys: Sequence[str], x: str, size: int) -> DataFrame:
-    """Add ``risk`` from fitted coefficients; the table has one row per fit."""
-    joined = df.join(F.broadcast(coefs), list(keys))
+    """Add ``risk`` from fitted coefficients; the table has one row per fit, at most ``MAX_FITS``."""
+    fits = coefs.select(group_struct(keys).alias(GROUP), "coef")
+    joined = df.withColumn(GROUP, group_struct(keys)).join(F.broadcast(fits), GROUP)
     margin: Column = F.get("coef", 0)
     for i in range(size):
         margin = margin + F.get("coef", i + 1) * F.get(x, i)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqrisk.functions.scalars import clip_prob
+from seqrisk.functions.scalars import clip_prob, known_score
 from seqrisk.plans.joins import lookup_join, stored
 from seqrisk.plans.ordered import (
     GROUP,
@@ -193,12 +193,12 @@ def auprc(df: DataFrame, keys: Sequence[str], clip: bool = False) -> DataFrame:
 
 
 def brier(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    gap = clip_prob("risk") - F.col("y_true")
+    gap = clip_prob(known_score("risk")) - F.col("y_true")
     return df.groupBy(*keys).agg(F.avg(gap * gap).alias("brier"))
 
 
 def logloss(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    q = clip_prob("risk")
+    q = clip_prob(known_score("risk"))
     loss = -F.when(F.col("y_true") == 1, F.ln(q)).otherwise(F.ln(1 - q))
     return df.groupBy(*keys).agg(F.avg(loss).alias("logloss"))
 

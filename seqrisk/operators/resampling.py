@@ -272,9 +272,10 @@ def _unit_counts(df: DataFrame, keys: Sequence[str], unit: str, name: str) -> Da
 
 
 def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    if keys:
-        return left.join(right, list(keys))
-    return left.withColumn("_k", F.lit(1)).join(right.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    """Join on the keys as one struct, so that groups with a NULL key meet too."""
+    rest = [c for c in right.columns if c not in keys]
+    keyed = right.select(group_struct(keys).alias("_keys"), *rest)
+    return left.withColumn("_keys", group_struct(keys)).join(keyed, "_keys").drop("_keys")
 
 
 def patient_bootstrap_ci(
@@ -363,7 +364,7 @@ def paired_vs_baseline(
         F.count(drawn).alias("n_bootstrap_valid"),
     )
     sizes = _unit_counts(paired, by, "subject_id", "n_patients_aligned")
-    out = summary.join(sizes, by).select(
+    out = _attach(summary, sizes, by).select(
         *by,
         "metric",
         (~F.col("metric").isin(LOWER_IS_BETTER)).alias("higher_is_better"),
@@ -454,7 +455,7 @@ def fusion_summary(samples: DataFrame, paired: DataFrame, n_draws: int) -> DataF
         _two_sided(gain).alias("p_two_sided_improvement"),
     )
     sizes = _unit_counts(paired, FUSION_KEYS, "subject_id", "n_subjects")
-    return summary.join(sizes, FUSION_KEYS).select(
+    return _attach(summary, sizes, FUSION_KEYS).select(
         *by,
         "n_rows",
         "n_subjects",

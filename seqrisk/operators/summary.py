@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqrisk.functions.scalars import subgroup_label
-from seqrisk.plans.ordered import exact_quantiles
+from seqrisk.plans.ordered import GROUP, exact_quantiles, group_struct, ungroup
 
 MODEL_KEYS = ["task", "family", "source", "version", "model", "calibration", "high_repeat_group"]
 EXAMPLE_KEYS = [*MODEL_KEYS, "row_id", "subject_id", "y_true"]
@@ -78,16 +78,32 @@ def sequence_cost_summary(df: DataFrame) -> DataFrame:
 
 
 def run_sanity(pred: DataFrame) -> DataFrame:
-    """What was loaded: seeds, rows, examples, patients, positives per model."""
-    seeds = F.transform(F.sort_array(F.collect_set("seed")), lambda s: s.cast("string"))
-    return pred.groupBy("task", "version", "model", "calibration").agg(
-        F.count_distinct("seed").alias("n_seeds"),
-        F.concat_ws(",", seeds).alias("seeds"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct("row_id").alias("n_examples"),
-        F.count_distinct("subject_id").alias("n_patients"),
-        F.sum("y_true").alias("n_positive"),
+    """What was loaded: seeds, rows, examples, patients, positives per model.
+
+    Examples and patients are each counted in two levels (distinct pairs, then pairs per model), so no
+    row is copied per counted column; seeds are few and kept as a set. Models with a NULL key stay.
+    """
+    keys = ["task", "version", "model", "calibration"]
+    rows = pred.select(group_struct(keys).alias(GROUP), "seed", "row_id", "subject_id", "y_true")
+
+    def distinct(column: str, name: str) -> DataFrame:
+        return rows.select(GROUP, column).distinct().groupBy(GROUP).agg(F.count(column).alias(name))
+
+    seeds = F.sort_array(F.collect_set("seed"))
+    totals = rows.groupBy(GROUP).agg(
+        seeds.alias("_seeds"), F.count(F.lit(1)).alias("n_rows"), F.sum("y_true").alias("n_positive")
+    )
+    joined = totals.join(distinct("row_id", "n_examples"), GROUP).join(distinct("subject_id", "n_patients"), GROUP)
+    out = joined.select(
+        GROUP,
+        F.size("_seeds").cast("long").alias("n_seeds"),
+        F.concat_ws(",", F.transform("_seeds", lambda s: s.cast("string"))).alias("seeds"),
+        "n_rows",
+        "n_examples",
+        "n_patients",
+        "n_positive",
     )
+    return ungroup(out, keys)
 
 
 def _four(c: str) -> list[Column]:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqrisk.functions.scalars import parse_list_cell, safe_float
 from seqrisk.schemas import (
     AUDIT_COLUMNS,
     EXAMPLES,
@@ -26,8 +27,12 @@ CODE_COLUMNS = ["code", "concept_code", "diagnosis_code", "condition_code", "med
 def read_examples(
     spark: SparkSession, root: str, task: str | None = None, version: str | None = None
 ) -> DataFrame:
-    """Sequence tables under ``task=…/version=…`` folders; both columns come from the path."""
-    df = spark.read.schema(EXAMPLES).parquet(root)
+    """Sequence tables under ``task=…/version=…`` folders; both columns come from the path.
+
+    Files whose list columns are text (``['a', 'b']``) are parsed cell by cell; a cell of numbers that
+    holds anything else is a NULL element.
+    """
+    df = spark.read.schema(EXAMPLES).parquet(root) if not _text_lists(spark, root) else _from_text(spark.read.parquet(root))
     if task is not None:
         df = df.where(F.col("task") == task)
     if version is not None:
@@ -35,6 +40,25 @@ def read_examples(
     return df
 
 
+def _text_lists(spark: SparkSession, root: str) -> bool:
+    kinds = dict(spark.read.parquet(root).dtypes)
+    return any(kinds.get(f.name) == "string" for f in EXAMPLES.fields if isinstance(f.dataType, T.ArrayType))
+
+
+def _from_text(df: DataFrame) -> DataFrame:
+    kinds = dict(df.dtypes)
+
+    def typed(field: T.StructField) -> Column:
+        if field.name not in kinds:
+            return F.lit(None).cast(field.dataType).alias(field.name)
+        c = F.col(field.name)
+        if isinstance(field.dataType, T.ArrayType) and kinds[field.name] == "string":
+            c = F.transform(parse_list_cell(c), lambda e: e.try_cast(field.dataType.elementType))
+        return c.cast(field.dataType).alias(field.name)
+
+    return df.select(*[typed(f) for f in EXAMPLES.fields])
+
+
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """JSON dictionary, code → id or (when every key is a number) id → code."""
     text = spark.read.text(path, wholetext=True)
@@ -57,18 +81,50 @@ def read_tabular_features(spark: SparkSession, path: str) -> tuple[DataFrame, li
 
 
 def _read_table(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    first = paths if isinstance(paths, str) else paths[0]
+    """Parquet and CSV files, also mixed, aligned by column name.
+
+    Each CSV path is read under its own header, as text: columns come in another order from other
+    trainers. Typed casts follow.
+    """
     listed = [paths] if isinstance(paths, str) else list(paths)
-    if first.rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(*listed)
-    # Text first, typed casts after: column order differs between files of different trainers.
-    return spark.read.csv(listed, header=True, enforceSchema=False)
+    parquet = [p for p in listed if p.rstrip("/").endswith(".parquet")]
+    parts = [spark.read.parquet(*parquet)] if parquet else []
+    parts += [spark.read.csv(p, header=True, enforceSchema=False) for p in listed if p not in parquet]
+    names = {c for part in parts for c in part.columns}
+    if len(parts) > 1:  # the same column may be text in one file and typed in another
+        mixed = {c for c in names if len({dict(p.dtypes)[c] for p in parts if c in p.columns}) > 1}
+        parts = [p.withColumns({c: F.col(c).cast("string") for c in mixed if c in p.columns}) for p in parts]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def _typed(df: DataFrame) -> DataFrame:
+    """Declared types; a cell that is no number becomes NULL, also ``12.0`` reads as the integer 12."""
     kinds = {f.name: f.dataType for f in PREDICTIONS.fields}
     kinds["logit"] = T.DoubleType()
-    return df.select(*[F.col(c).cast(kinds[c]) if c in kinds else F.col(f"`{c}`") for c in df.columns])
+
+    def cast(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        kind = kinds.get(name)
+        if kind is None or isinstance(kind, T.StringType):
+            return c.cast("string") if kind is not None else c
+        if isinstance(kind, (T.IntegerType, T.LongType)):
+            whole = safe_float(c)
+            return F.coalesce(c.try_cast(kind), F.when(whole == F.floor(whole), whole.try_cast(kind)))
+        return safe_float(c)
+
+    return df.select(*[cast(c).alias(c) for c in df.columns])
+
+
+def unread_cells(df: DataFrame, paths: Sequence[str] | str) -> DataFrame:
+    """Per typed column how many cells held text that the types of ``df`` cannot hold."""
+    raw = _read_table(df.sparkSession, paths)
+    kinds = {f.name for f in PREDICTIONS.fields if not isinstance(f.dataType, T.StringType)}
+    names = [c for c in raw.columns if c in kinds]
+    typed = _typed(raw.select(*names, *[F.col(c).alias(f"_raw_{c}") for c in names]))
+    return typed.agg(*[F.count_if(F.col(c).isNull() & F.col(f"_raw_{c}").isNotNull()).alias(c) for c in names])
 
 
 def read_predictions(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
