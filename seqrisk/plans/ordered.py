@@ -23,6 +23,8 @@ from seqrisk.plans.joins import stored
 
 GROUP = "_g"
 _FAR = 1 << 24
+#: Rows (of pre-aggregated values) of a bucket that one task orders.
+FINE = 1_000_000
 
 
 def group_struct(keys: Sequence[str]) -> Column:
@@ -63,37 +65,63 @@ def hash_text(c: Column, seed: object | None = None) -> Column:
     return F.md5(text if seed is None else F.concat_ws("|", F.lit(str(seed)), text))
 
 
+def cut_buckets(df: DataFrame, order: str, most: int = FINE) -> DataFrame:
+    """Add ``_sub``: a cut of the buckets (``_g``, ``_bucket``) with more than ``most`` rows, at their own quantiles.
+
+    Fixed bucket widths leave most rows of a tightly spaced group in one bucket. Such a bucket is cut
+    at 255 approximate quantiles of its values, so its pieces hold about equally many; ``_sub`` is the number
+    of edges below the value, found in two steps of sixteen, and so monotone in it. At most one bucket for each
+    ``most`` rows is broadcast.
+    """
+    edges = F.percentile_approx(order, F.array(*[F.lit(i / 256) for i in range(1, 256)]), F.lit(10_000))
+    large = (
+        df.groupBy(GROUP, "_bucket")
+        .agg(F.count(F.lit(1)).alias("_rows"), edges.alias("_edges"))
+        .where(F.col("_rows") > most)
+        .select(GROUP, "_bucket", "_edges")
+    )
+    v = F.col(order)
+    outer = F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.get("_edges", i * 16 - 1))
+    first = F.size(F.filter(outer, lambda e: e < v))
+    second = F.size(F.filter(F.slice("_edges", first * 16 + 1, F.lit(15)), lambda e: e < v))
+    sub = F.when(F.col("_edges").isNotNull(), first * 16 + second).otherwise(0)
+    return df.join(F.broadcast(large), [GROUP, "_bucket"], "left").select(*df.columns, sub.alias("_sub"))
+
+
 def running_sums(
     df: DataFrame,
     order: str,
     bucket: Column,
     sums: Sequence[str],
     descending: bool = False,
+    most: int = FINE,
 ) -> DataFrame:
     """Add ``<c>__upto`` (inclusive running sum) and ``<c>__all`` (group total) for each column.
 
-    ``df`` has the group in ``_g`` and one row per (group, order value).
+    ``df`` has the group in ``_g`` and one row per (group, order value). Buckets of more than ``most``
+    rows are cut further (``cut_buckets``).
     """
     def direction(name: str) -> Column:
         return F.desc(name) if descending else F.asc(name)
 
-    marked = df.withColumn("_bucket", never_null(bucket, F.lit(0)))
-    totals = marked.groupBy(GROUP, "_bucket").agg(*[F.sum(c).alias(f"{c}__in") for c in sums])
-    over_buckets = Window.partitionBy(GROUP).orderBy(direction("_bucket"))
+    marked = cut_buckets(df.withColumn("_bucket", never_null(bucket, F.lit(0))), order, most)
+    totals = marked.groupBy(GROUP, "_bucket", "_sub").agg(*[F.sum(c).alias(f"{c}__in") for c in sums])
+    over_buckets = Window.partitionBy(GROUP).orderBy(direction("_bucket"), direction("_sub"))
     earlier = over_buckets.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(GROUP)
     heads = totals.select(
         GROUP,
         "_bucket",
+        "_sub",
         *[F.coalesce(F.sum(f"{c}__in").over(earlier), F.lit(0)).alias(f"{c}__head") for c in sums],
         *[F.sum(f"{c}__in").over(whole).alias(f"{c}__all") for c in sums],
     )
     inside = (
-        Window.partitionBy(GROUP, "_bucket")
+        Window.partitionBy(GROUP, "_bucket", "_sub")
         .orderBy(direction(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = marked.join(heads.hint("shuffle_hash"), [GROUP, "_bucket"])
+    joined = marked.join(heads.hint("shuffle_hash"), [GROUP, "_bucket", "_sub"])
     return joined.select(
         *df.columns,
         *[(F.col(f"{c}__head") + F.sum(c).over(inside)).alias(f"{c}__upto") for c in sums],

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqrisk.plans.ordered import (
-    GROUP, dense_index, exact_quantiles, risk_bucket, running_sums, take_in_hash_order, value_bucket,
+    GROUP, cut_buckets, dense_index, exact_quantiles, risk_bucket, running_sums, take_in_hash_order, value_bucket,
 )
 
 
@@ -66,3 +66,19 @@ def test_dense_index(spark):
         ordered = sorted(u for gg, u in rows if gg == g)
         assert {r["u"]: r["i"] for r in out if r[GROUP]["g"] == g} == {u: n for n, u in enumerate(ordered)}
     assert {r["i__n"] for r in out} == {200}
+
+
+def test_close_scores_spread_over_many_buckets(spark):
+    """All values within 0.001 of each other: one bucket by width, many by their quantiles, same sums."""
+    rows = [(0.5 + ((i * 7919) % 5000) * 2e-7, 1 + i % 3) for i in range(5000)] + [(0.9, 5)]
+    df = spark.createDataFrame(rows, "v double, c long").withColumn(GROUP, F.struct(F.lit(0).alias("_all")))
+    cut = cut_buckets(df.withColumn("_bucket", risk_bucket(F.col("v"))), "v", most=100)
+    sizes = [r["count"] for r in cut.groupBy("_bucket", "_sub").count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 200
+    for descending in (False, True):
+        got = {r["v"]: (r["c__upto"], r["c__all"]) for r in running_sums(df, "v", risk_bucket(F.col("v")), ["c"], descending, most=100).collect()}
+        total, want = 0, {}
+        for v, c in sorted(rows, reverse=descending):
+            total += c
+            want[v] = total
+        assert got == {v: (upto, total) for v, upto in want.items()}
