@@ -10,7 +10,7 @@ from seqrisk.operators import features as W
 from seqrisk.operators import models as L
 from seqrisk.operators.summary import ensemble_base_scores
 
-ARRAYS = {"seq_emb": ("seq_emb__", 4), "numseq_emb": ("numseq_emb__", 3)}
+ARRAYS = {"seq_emb": ("seq_emb__", V.WIDTH), "numseq_emb": ("numseq_emb__", V.WIDTH)}
 
 
 def _features(spark, sf_dir):
@@ -60,7 +60,7 @@ def score_fusion(spark, sf_dir):
 
 @query("embedding_fusion")
 def embedding_fusion(spark, sf_dir):
-    return L.embedding_fusion(V.embedding_features(spark, sf_dir), ARRAYS, ["vectors"], [42], c=0.1)
+    return L.embedding_fusion(V.embedding_features(spark, sf_dir), ARRAYS, ["vectors"], [42, 43], c=0.1)
 
 
 @query("meta_model_sweep")

@@ -806,6 +806,33 @@ def paired_vs_baseline(spark, sf_dir):
     return B.paired_vs_baseline(aligned, ["task", "model", "seed", "calibration"], FRACS, n_draws=B_DRAWS, subgroup="whole")
 
 
+_SUB_KEYS = "task model seed calibration high_repeat_group compressed_version baseline_version"
+_SUB_PAIRS = _ALIGNED + (
+    ", pairs AS (SELECT a.*, h.high_repeat_group, risk_compressed AS risk_a, risk_raw AS risk_b FROM aligned a"
+    " JOIN v_audit_held h USING (task, row_id, subject_id))"
+)
+
+
+@query(
+    "paired_vs_baseline_by_subgroup",
+    with_views(
+        "SELECT task, model, seed::BIGINT AS seed, calibration, high_repeat_group, compressed_version, baseline_version, metric, metric NOT IN ('brier','logloss') AS higher_is_better, "
+        + ", ".join(_rounded(f"max(CASE WHEN draw=0 THEN {e} END)", n) for e, n in (("vb", "baseline_value"), ("va", "compressed_value"), ("va-vb", "observed_diff_compressed_minus_baseline")))
+        + ", max(CASE WHEN draw=0 THEN n END)::BIGINT AS n_examples_aligned, (SELECT count(DISTINCT subject_id) FROM pairs p WHERE p.task=ab.task AND p.model=ab.model AND p.high_repeat_group=ab.high_repeat_group) AS n_patients_aligned,"
+        " max(CASE WHEN draw=0 THEN n_positive END)::BIGINT AS n_positive_aligned, " + _rounded(f"avg({_D})", "bootstrap_mean_diff") + ", "
+        + _rounded(f"quantile_cont({_D},0.025)", "ci_low") + ", " + _rounded(f"quantile_cont({_D},0.975)", "ci_high") + ", " + _rounded(f"stddev_samp({_D})", "bootstrap_std_diff") + ", "
+        + _rounded(f"least(1, 2*least(avg(({_D}<=0)::INT), avg(({_D}>=0)::INT)))", "p_two_sided_zero_diff") + f", count({_D}) AS n_bootstrap_valid,"
+        " CASE WHEN high_repeat_group THEN 'high_repeat_top10' ELSE 'other_90' END AS subgroup FROM ab GROUP BY ALL",
+        "v_predictions", "v_audit_held", extra=_boot(_SUB_PAIRS, _SUB_KEYS, "subject_id", _LONG_EXPR),
+    ),
+)
+def paired_vs_baseline_by_subgroup(spark, sf_dir):
+    """All seeds, in the high-repeat group and outside it."""
+    aligned = J.align_to_baseline(V.predictions(spark, sf_dir), "raw")
+    held = _audit_held(spark, sf_dir)
+    return B.paired_vs_baseline_by_subgroup(aligned, held, ["task", "model", "seed", "calibration"], FRACS, n_draws=B_DRAWS)
+
+
 _FUSION_CMP = [("tabular_only", "fusion_tabular_sequence"), ("sequence_only", "fusion_tabular_sequence")]
 _FU_KEYS = "task seed baseline_variant candidate_variant"
 _FU_PAIRS = """pairs AS (SELECT b.task, b.seed, b.variant AS baseline_variant, c.variant AS candidate_variant, b.row_id, b.subject_id, b.y_true, c.risk AS risk_a, b.risk AS risk_b
@@ -836,6 +863,21 @@ def fusion_bootstrap(spark, sf_dir):
     return B.fusion_summary(samples, paired, B_DRAWS)
 
 
+_FU_ENSEMBLE = _FU_PAIRS.replace("v_fusion", "ens")
+_FU_ENS = "ens AS (SELECT task, -1 AS seed, row_id, subject_id, y_true, variant, avg(risk) AS risk FROM v_fusion GROUP BY ALL),\n" + _boot(
+    _FU_ENSEMBLE, _FU_KEYS, "subject_id", _PAIR_EXPR, clip=True
+)
+
+
+@query("fusion_bootstrap_ensemble", with_views(_FU_SUMMARY, "v_fusion", extra=_FU_ENS))
+def fusion_bootstrap_ensemble(spark, sf_dir):
+    """Scores averaged over seeds: a table without a seed, reported under -1."""
+    rows = ["task", "row_id", "subject_id", "y_true"]
+    mean = V.fusion_predictions(spark, sf_dir).groupBy(*rows, "variant").agg(F.avg("risk").alias("risk"))
+    paired = J.paired_variants(mean, _FUSION_CMP, rows)
+    return B.fusion_summary(B.fusion_samples(paired, n_draws=B_DRAWS), paired, B_DRAWS)
+
+
 @query(
     "fusion_bootstrap_samples",
     with_views(

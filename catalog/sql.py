@@ -158,8 +158,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         """SELECT 'vectors' AS task, CASE WHEN vec_id%50%2=0 THEN 'tuning' ELSE 'held_out' END AS split, seed, vec_id AS row_id,
  vec_id%50 AS subject_id, (label<3)::INT AS y_true, (label+vec_id%3)::DOUBLE AS tab__0000, 1.0::DOUBLE AS tab__0001,
  CASE WHEN vec_id%4<>0 THEN (vec_id%11)::DOUBLE END AS tab__0002,
- list_transform(embedding[1:4], lambda x: x::DOUBLE+seed*0.01::DOUBLE) AS seq_emb,
- list_transform(embedding[5:7], lambda x: x::DOUBLE-seed*0.01::DOUBLE) AS numseq_emb
+ list_transform(embedding, lambda x: x::DOUBLE+seed*0.01::DOUBLE) AS seq_emb,
+ list_transform(embedding, lambda x: x::DOUBLE*x::DOUBLE-seed*0.01::DOUBLE) AS numseq_emb
  FROM embeddings, (VALUES (42),(43)) s(seed)""",
     ),
 }

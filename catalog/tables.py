@@ -16,19 +16,20 @@ from seqrisk.sources import writers as Q
 
 
 def _flat(df, *keep):
-    """Packed rows as comparable numbers: list lengths and sums."""
-    return df.select(
-        *keep,
-        F.size("codes").alias("n_codes"),
-        F.concat_ws(",", F.slice("codes", 1, 3)).alias("first_codes"),
-        F.aggregate("days_before_prediction", F.lit(0.0), lambda a, d: a + d).alias("day_sum"),
+    """Every element of the packed arrays; an example without events keeps one row."""
+    arrays = ["codes", "days_before_prediction", "delta_days", "numeric_values"]
+    rows = df.select(*keep, F.posexplode_outer(F.arrays_zip(*arrays)).alias("pos", "e"))
+    return rows.select(
+        *keep, "pos", F.col("e.codes").alias("code"), F.col("e.days_before_prediction").alias("day"),
+        F.col("e.delta_days").alias("delta"), F.col("e.numeric_values").alias("num"),
     )
 
 
+_LONGEST = "greatest(len(codes), len(days_before_prediction), len(delta_days), len(numeric_values))"
 _PACKED_SQL = (
-    "SELECT " + cols("task version split first_codes", "row_id subject_id label n_codes", "day_sum")
-    + " FROM (SELECT *, len(codes) AS n_codes, array_to_string(codes[1:3], ',') AS first_codes,"
-    " coalesce(list_sum(days_before_prediction), 0) AS day_sum FROM ({src}))"
+    "SELECT " + cols("task version split code", "row_id subject_id label pos", "day delta num")
+    + " FROM (SELECT *, codes[pos+1] AS code, days_before_prediction[pos+1] AS day, delta_days[pos+1] AS delta, numeric_values[pos+1] AS num"
+    f" FROM (SELECT *, unnest(CASE WHEN {_LONGEST}=0 THEN [NULL::BIGINT] ELSE range(0, {_LONGEST}) END) AS pos FROM ({{src}})))"
 )
 
 
@@ -213,14 +214,14 @@ def prefix_features(spark, sf_dir):
     return W.prefix_features(V.tabular_features(spark, sf_dir), 42)
 
 
-_EMB = " ".join([f"seq_emb__{i:04d}" for i in range(4)] + [f"numseq_emb__{i:04d}" for i in range(3)])
+_EMB = " ".join([f"seq_emb__{i:04d}" for i in range(V.WIDTH)] + [f"numseq_emb__{i:04d}" for i in range(V.WIDTH)])
 
 
 @query(
     "unpack_embedding",
     with_views(
         "SELECT " + cols("task split", "seed row_id", _EMB) + " FROM (SELECT task, split, seed, row_id, "
-        + ", ".join([f"seq_emb[{i + 1}] AS seq_emb__{i:04d}" for i in range(4)] + [f"numseq_emb[{i + 1}] AS numseq_emb__{i:04d}" for i in range(3)]) + " FROM v_embedding)",
+        + ", ".join([f"seq_emb[{i + 1}] AS seq_emb__{i:04d}" for i in range(V.WIDTH)] + [f"numseq_emb[{i + 1}] AS numseq_emb__{i:04d}" for i in range(V.WIDTH)]) + " FROM v_embedding)",
         "v_embedding",
     ),
 )
@@ -229,14 +230,14 @@ def unpack_embedding(spark, sf_dir):
 
 
 def _unpacked(df):
-    return W.unpack_embedding(W.unpack_embedding(df, "seq_emb", 4, "seq_emb__"), "numseq_emb", 3, "numseq_emb__")
+    return W.unpack_embedding(W.unpack_embedding(df, "seq_emb", V.WIDTH, "seq_emb__"), "numseq_emb", V.WIDTH, "numseq_emb__")
 
 
 @query(
     "feature_groups",
     with_views(
-        "SELECT variant, n_features, count(*) AS n_rows FROM v_embedding, (VALUES ('tabular_features_only', 3::BIGINT), ('sequence_embedding_only', 4), ('numeric_sequence_embedding_only', 3),"
-        " ('tabular_plus_sequence_embedding', 7), ('tabular_plus_numeric_sequence_embedding', 6), ('tabular_plus_sequence_numeric_embeddings', 10)) t(variant, n_features) GROUP BY ALL",
+        "SELECT variant, n_features, count(*) AS n_rows FROM v_embedding, (VALUES ('tabular_features_only', 3::BIGINT), ('sequence_embedding_only', 64), ('numeric_sequence_embedding_only', 64),"
+        " ('tabular_plus_sequence_embedding', 67), ('tabular_plus_numeric_sequence_embedding', 67), ('tabular_plus_sequence_numeric_embeddings', 131)) t(variant, n_features) GROUP BY ALL",
         "v_embedding",
     ),
 )
@@ -267,20 +268,20 @@ def usable_columns(spark, sf_dir):
     with_views(
         "SELECT task, split, row_id, subject_id, " + cols("", "seed y_true", "tab__0000 tab__0001 tab__0002 " + _EMB) + " FROM (SELECT task, split, row_id, subject_id, y_true, -1 AS seed,"
         " arg_min(tab__0000, seed) AS tab__0000, arg_min(tab__0001, seed) AS tab__0001, arg_min(tab__0002, seed) AS tab__0002, "
-        + ", ".join([f"avg(seq_emb[{i + 1}]) AS seq_emb__{i:04d}" for i in range(4)] + [f"avg(numseq_emb[{i + 1}]) AS numseq_emb__{i:04d}" for i in range(3)])
+        + ", ".join([f"avg(seq_emb[{i + 1}]) AS seq_emb__{i:04d}" for i in range(V.WIDTH)] + [f"avg(numseq_emb[{i + 1}]) AS numseq_emb__{i:04d}" for i in range(V.WIDTH)])
         + " FROM v_embedding GROUP BY task, split, row_id, subject_id, y_true)",
         "v_embedding",
     ),
 )
 def ensemble_features(spark, sf_dir):
     tabs = [f"tab__{i:04d}" for i in range(3)]
-    return _unpacked(J.ensemble_features(V.embedding_features(spark, sf_dir), tabs, {"seq_emb": 4, "numseq_emb": 3}))
+    return _unpacked(J.ensemble_features(V.embedding_features(spark, sf_dir), tabs, {"seq_emb": V.WIDTH, "numseq_emb": V.WIDTH}))
 
 
 @query(
     "feature_manifest",
     with_views(
-        "SELECT task, seed::BIGINT AS seed, count(*) AS n_rows, 3::BIGINT AS n_tabular_features, 4::BIGINT AS n_sequence_embedding_features, 3::BIGINT AS n_numeric_sequence_embedding_features FROM v_embedding GROUP BY ALL",
+        "SELECT task, seed::BIGINT AS seed, count(*) AS n_rows, 3::BIGINT AS n_tabular_features, 64::BIGINT AS n_sequence_embedding_features, 64::BIGINT AS n_numeric_sequence_embedding_features FROM v_embedding GROUP BY ALL",
         "v_embedding",
     ),
 )

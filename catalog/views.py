@@ -267,6 +267,10 @@ def tabular_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("empty", F.lit(None).cast("double")).withColumn("constant", F.lit(1.0))
 
 
+#: Width of the vectors in the given table.
+WIDTH = 64
+
+
 def embedding_features(spark: SparkSession, sf_dir: str, seeds=(42, 43)) -> DataFrame:
     """Feature table of the fusion models: three ``tab__`` columns and two embedding arrays."""
     e = F.col("embedding")
@@ -284,6 +288,6 @@ def embedding_features(spark: SparkSession, sf_dir: str, seeds=(42, 43)) -> Data
         e,
     ).select(
         "task", "split", "seed", "row_id", "subject_id", "y_true", "tab__0000", "tab__0001", "tab__0002",
-        F.transform(F.slice("embedding", F.lit(1), F.lit(4)), lambda x: x.cast("double") + F.col("seed") * 0.01).alias("seq_emb"),
-        F.transform(F.slice("embedding", F.lit(5), F.lit(3)), lambda x: x.cast("double") - F.col("seed") * 0.01).alias("numseq_emb"),
+        F.transform("embedding", lambda x: x.cast("double") + F.col("seed") * 0.01).alias("seq_emb"),
+        F.transform("embedding", lambda x: x.cast("double") * x.cast("double") - F.col("seed") * 0.01).alias("numseq_emb"),
     )

@@ -16,7 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqrisk.operators.joins import paired_variants
+from seqrisk.functions.scalars import subgroup_label
+from seqrisk.operators.joins import paired_variants, require_rows
 from seqrisk.operators.ranking import (
     BASE_METRICS,
     LOWER_IS_BETTER,
@@ -29,6 +30,7 @@ from seqrisk.operators.ranking import (
 )
 from seqrisk.plans.joins import local_table, lookup_join, stored, wide_partitions
 from seqrisk.plans.ordered import GROUP, dense_index, group_struct, hash_text, never_null, ungroup
+from seqrisk.schemas import ENSEMBLE_SEED, default_columns
 
 PAIR_METRICS = BASE_METRICS + ["top_5pct_precision", "top_10pct_precision", "top_20pct_precision"]
 PERCENTS = [5, 10, 20]
@@ -384,15 +386,41 @@ def paired_vs_baseline(
     return out.withColumn("subgroup", F.lit(subgroup)) if subgroup else out
 
 
+def paired_vs_baseline_by_subgroup(
+    aligned: DataFrame,
+    group: DataFrame,
+    keys: Sequence[str],
+    fracs: Sequence[float],
+    *,
+    n_draws: int = 1000,
+    seed: int = 42,
+) -> DataFrame:
+    """``paired_vs_baseline`` in the high-repeat group and outside it, each resampled on its own.
+
+    ``group`` has ``high_repeat_group`` per (task, row_id, subject_id); rows it lacks take no part, and
+    no row at all is an error.
+    """
+    on = ["task", "row_id", "subject_id"]
+    flagged = require_rows(aligned.join(group.select(*on, "high_repeat_group"), on), "Subgroup merge")
+    by = [*keys, "high_repeat_group"]
+    out = paired_vs_baseline(flagged, by, fracs, n_draws=n_draws, seed=seed)
+    return out.withColumn("subgroup", subgroup_label("high_repeat_group"))
+
+
 FUSION_KEYS = ["task", "seed", "baseline_variant", "candidate_variant"]
 
 
+def _seeded(paired: DataFrame) -> DataFrame:
+    """Pairs of an ensemble have no seed and are reported under the ensemble's number."""
+    return default_columns(paired, {"seed": F.lit(ENSEMBLE_SEED)})
+
+
 def fusion_samples(paired: DataFrame, *, n_draws: int = 2000, seed: int = 42) -> DataFrame:
     """Every replicate of every (task, seed, comparison); replicate 0 is the observed data.
 
     ``paired`` has ``risk_baseline`` and ``risk_candidate`` per row beside the comparison's keys.
     """
-    rows = paired.select(
+    rows = _seeded(paired).select(
         *FUSION_KEYS,
         "row_id",
         "subject_id",
@@ -422,7 +450,7 @@ def fusion_samples(paired: DataFrame, *, n_draws: int = 2000, seed: int = 42) ->
 
 def fusion_sample_units(paired: DataFrame, *, n_draws: int = 2000, seed: int = 42) -> DataFrame:
     """Per replicate: subjects drawn, and how many different ones."""
-    weights = draw_weights(paired, FUSION_KEYS, "subject_id", n_draws, seed)
+    weights = draw_weights(_seeded(paired), FUSION_KEYS, "subject_id", n_draws, seed)
     drawn = weights.select(GROUP, F.inline("draws"))
     out = drawn.groupBy(GROUP, F.col("draw").alias("bootstrap_id")).agg(
         F.sum("w").alias("n_subjects_sampled"), F.count(F.lit(1)).alias("n_unique_subjects_sampled")
@@ -454,7 +482,7 @@ def fusion_summary(samples: DataFrame, paired: DataFrame, n_draws: int) -> DataF
         F.avg((gain > 0).cast("double")).alias("prob_improvement"),
         _two_sided(gain).alias("p_two_sided_improvement"),
     )
-    sizes = _unit_counts(paired, FUSION_KEYS, "subject_id", "n_subjects")
+    sizes = _unit_counts(_seeded(paired), FUSION_KEYS, "subject_id", "n_subjects")
     return _attach(summary, sizes, FUSION_KEYS).select(
         *by,
         "n_rows",
@@ -489,8 +517,8 @@ def pairwise_comparisons(
     """Every named pair of configurations in both subgroups, resampled by subject together.
 
     ``configs`` entries have key, task, family, version, model; ``comparisons`` entries have
-    comparison, description, task, a, b (config keys). Unknown keys are rejected before any job, a
-    pair without common rows is absent from the result.
+    comparison, description, task, a, b (config keys). Unknown keys are rejected before any job, and a
+    comparison without common rows is an error.
     """
     known = {c["key"]: c for c in configs}
     if len(known) != len(configs):
@@ -530,4 +558,9 @@ def pairwise_comparisons(
         F.col("risk_candidate").alias("risk_a"),
         F.col("risk_baseline").alias("risk_b"),
     )
+    paired = stored(paired)
+    present = {r["comparison"] for r in paired.select("comparison").distinct().collect()}
+    missing = sorted({c["comparison"] for c in comparisons} - present)
+    if missing:
+        raise ValueError(f"No common rows in comparisons {missing}")
     return cluster_delta(paired, ["task", "group_name", *titles], n_draws=n_draws, seed=seed)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqrisk.operators.joins import threshold_flag, validated_left_join
+from seqrisk.operators.joins import require_rows, threshold_flag, validated_left_join
 from seqrisk.operators.ranking import metrics_by_group
 from seqrisk.plans.ordered import exact_quantiles
 
@@ -41,14 +41,15 @@ def audit_high_repeat(audit: DataFrame, thresholds: DataFrame, tasks: Sequence[s
     return flagged.where(F.col("split") == "held_out")
 
 
-def subgroup_join(pred: DataFrame, audit_held_out: DataFrame) -> DataFrame:
-    """Predictions of held-out audit rows, with the flag and the audit measures."""
+def subgroup_join(pred: DataFrame, audit_held_out: DataFrame, check: bool = True) -> DataFrame:
+    """Predictions of held-out audit rows, with the flag and the audit measures; none is an error."""
     extra = [
         "high_repeat_group", "repeat_removed_first_last", "raw_sequence_length_non_static",
         "n_diag_codes_persistent_365d",
     ]
     on = ["task", "row_id", "subject_id"]
-    return pred.join(audit_held_out.select(*on, *extra), on)
+    joined = pred.join(audit_held_out.select(*on, *extra), on)
+    return require_rows(joined, "Audit merge") if check else joined
 
 
 def high_repeat_group(
