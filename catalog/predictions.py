@@ -806,8 +806,8 @@ def paired_vs_baseline(spark, sf_dir):
     return B.paired_vs_baseline(aligned, ["task", "model", "seed", "calibration"], FRACS, n_draws=B_DRAWS, subgroup="whole")
 
 
-_SUB_KEYS = "task model seed calibration high_repeat_group compressed_version baseline_version"
-_SUB_PAIRS = _ALIGNED + (
+_GROUPED_KEYS = "task model seed calibration high_repeat_group compressed_version baseline_version"
+_GROUPED_PAIRS = _ALIGNED + (
     ", pairs AS (SELECT a.*, h.high_repeat_group, risk_compressed AS risk_a, risk_raw AS risk_b FROM aligned a"
     " JOIN v_audit_held h USING (task, row_id, subject_id))"
 )
@@ -823,7 +823,7 @@ _SUB_PAIRS = _ALIGNED + (
         + _rounded(f"quantile_cont({_D},0.025)", "ci_low") + ", " + _rounded(f"quantile_cont({_D},0.975)", "ci_high") + ", " + _rounded(f"stddev_samp({_D})", "bootstrap_std_diff") + ", "
         + _rounded(f"least(1, 2*least(avg(({_D}<=0)::INT), avg(({_D}>=0)::INT)))", "p_two_sided_zero_diff") + f", count({_D}) AS n_bootstrap_valid,"
         " CASE WHEN high_repeat_group THEN 'high_repeat_top10' ELSE 'other_90' END AS subgroup FROM ab GROUP BY ALL",
-        "v_predictions", "v_audit_held", extra=_boot(_SUB_PAIRS, _SUB_KEYS, "subject_id", _LONG_EXPR),
+        "v_predictions", "v_audit_held", extra=_boot(_GROUPED_PAIRS, _GROUPED_KEYS, "subject_id", _LONG_EXPR),
     ),
 )
 def paired_vs_baseline_by_subgroup(spark, sf_dir):
