@@ -36,7 +36,7 @@ def test_query(spark, duck, name):
 
 def test_entry_is_a_query_and_only_fits_lack_sql(spark):
     assert entry_module.entry(spark).columns == ["subject_id", "n_remaining"]
-    without = set(entry_module.queries()) - set(entry_module.oracle_sql())
+    without = set(entry_module.QUERIES) - set(entry_module.ORACLE)
     assert without == {"gbt_scores", "rf_scores", "logreg_scores", "platt", "score_fusion", "embedding_fusion", "meta_model_sweep"}
 
 
