@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,42 @@ from seqrisk.plans.joins import release, stored
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system.
+
+    Workers are used again by later tasks, beside the executor's own heap; without this each keeps the most
+    it ever had.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose texts are about to go to Python, after the session's Arrow batches were made smaller.
+
+    Ten thousand whole texts, Spark's default, are tens of megabytes in the executor and again in
+    each worker. A number that the caller has chosen stays.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, "1000")
+    return docs
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function for mapInArrow that gives memory back when its task ends."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add the 0-based position under a total order, without bringing the rows into one task.
 

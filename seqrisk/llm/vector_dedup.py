@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrisk.llm.common import connected
+from seqrisk.llm.common import connected, tidy
 from seqrisk.llm.registry import query, table
 from seqrisk.llm.simhash import _fold
 from seqrisk.llm.vectors import kmeans, matrix, per_cell, sound
@@ -17,15 +17,18 @@ from seqrisk.plans.joins import lookup_join, stored
 
 COSINE = 0.93
 #: Vectors of a cluster shard aimed at, all shards together, and values of the sample that trains their centres.
-SHARD, MOST_SHARDS, SAMPLE_VALUES = 1000, 2048, 4_000_000
-#: A vector belongs to all shards whose centre is at most this much less similar than its own's.
-MARGIN = 0.15
+SHARD, MOST_SHARDS, SAMPLE_VALUES = 2000, 2048, 4_000_000
+#: A vector belongs to all shards whose centre is at most this much less similar than its own's. A pair is
+#: lost only if neither end comes to the other's shard.
+MARGIN = 0.07
 #: Vectors of one cell; larger shards are dealt out as pairs of parts.
-PART = 2048
+PART = 4096
 #: Candidates of the pruning, kept neighbours, pruning factor, and medoids from which a search starts.
-POOL, DEGREE, ALPHA, MEDOIDS = 48, 24, 1.2, 32
+POOL, DEGREE, ALPHA, MEDOIDS = 32, 24, 1.2, 32
 #: Expansions of a search, besides those within the radius.
-BEAM = 24
+BEAM = 16
+#: Doublings of a cell's beam at most.
+WIDENINGS = 3
 #: Queries audited in each cell and over all vectors, and the recall aimed at.
 CELL_AUDIT, AUDIT, RECALL = 64, 1024, 0.99
 
@@ -46,30 +49,32 @@ def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
     n = len(x)
     if n == 1:
         return [np.zeros(0, np.int64)]
+    x = x.astype(np.float32)
     pool = min(POOL, n - 1)
-    far = np.concatenate([medoids(x), np.random.default_rng(1).integers(0, n, 8)])
+    far = np.concatenate([medoids(x)[: POOL // 2], np.random.default_rng(1).integers(0, n, 8)])
     lists: list[np.ndarray] = []
-    for at in range(0, n, 512):
-        rows = np.arange(at, min(n, at + 512))
+    for at in range(0, n, 256):
+        rows = np.arange(at, min(n, at + 256))
+        here = np.arange(len(rows))
         sims = x[rows] @ x.T
-        sims[np.arange(len(rows)), rows] = -2
+        sims[here, rows] = -2
         near = np.argpartition(-sims, pool - 1, axis=1)[:, :pool]
         cand = np.concatenate([near, np.broadcast_to(far, (len(rows), len(far)))], axis=1)
         dist = 1 - np.take_along_axis(sims, cand, axis=1)
         dist[cand == rows[:, None]] = np.inf
         order = np.argsort(dist, axis=1, kind="stable")
         cand, dist = np.take_along_axis(cand, order, axis=1), np.take_along_axis(dist, order, axis=1)
+        own = x[cand]
+        between = 1 - own @ own.transpose(0, 2, 1)
         alive, kept = np.isfinite(dist), np.zeros(dist.shape, bool)
         for _ in range(DEGREE):
             first = alive.argmax(axis=1)
-            some = np.flatnonzero(alive[np.arange(len(rows)), first])
-            if not len(some):
+            some = alive[here, first]
+            if not some.any():
                 break
-            pick = cand[some, first[some]]
-            kept[some, first[some]] = True
-            between = 1 - np.einsum("rd,rcd->rc", x[pick], x[cand[some]], optimize=True)
-            alive[some] &= ALPHA * between > dist[some]
-            alive[some, first[some]] = False
+            kept[here[some], first[some]] = True
+            alive &= ALPHA * between[here, first] > dist
+            alive[here, first] = False
         lists += [cand[i, kept[i]] for i in range(len(rows))]
     source = np.repeat(np.arange(n), [len(a) for a in lists])
     target = np.concatenate(lists)
@@ -140,18 +145,14 @@ def _searcher(cosine: float, beam: int):
             at = np.minimum(np.searchsorted(ids, a), len(ids) - 1)
             lists.append(order[at[ids[at] == a]])
         start = medoids(x)
-        width = beam
-        sample = np.unique(np.linspace(0, len(q) - 1, CELL_AUDIT).astype(int))
-        truth = unit[q[sample]] @ x.T >= cosine
-        while True:
-            got = range_search(unit[q[sample]], x, lists, start, cosine, width)
-            if len(got) >= RECALL * truth.sum() or width >= len(x):
-                break
-            width *= 2
-        found = range_search(unit[q], x, lists, start, cosine, width)
-        one, two = q[found[:, 0]], c[found[:, 1]]
         label = np.arange(len(node))
-        _fold(label, one, two)
+        sample = q[np.unique(np.linspace(0, len(q) - 1, CELL_AUDIT).astype(int))]
+        a, b = np.nonzero(unit[sample] @ x.T >= cosine)
+        for wide in range(WIDENINGS + 1):  # until the audited queries are put together with all they link to
+            found = range_search(unit[q], x, lists, start, cosine, beam << wide)
+            _fold(label, q[found[:, 0]], c[found[:, 1]])
+            if (label[sample[a]] == label[c[b]]).sum() >= RECALL * len(a):
+                break
         # Verification: all pairs of what the search has put together, query against owned candidate.
         links = np.zeros(len(node), np.int64)
         is_q, owned = np.zeros(len(node), bool), np.zeros(len(node), bool)
@@ -215,7 +216,7 @@ def _sharded(classes: DataFrame, centres: dict[str, np.ndarray], margin: float)
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "owner", "visits"])
 
     return classes.select("node", "grp", "unit", "size").mapInArrow(
-        run, "node long, grp string, unit array<double>, size long, owner int, visits array<int>"
+        tidy(run), "node long, grp string, unit array<double>, size long, owner int, visits array<int>"
     )
 
 
@@ -259,7 +260,7 @@ def _audit(classes: DataFrame, links: DataFrame, cosine: float) -> float:
                     near = (units @ x.T >= cosine) & (np.array(nodes)[:, None] != node)
                     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(near @ size)], ["node", "true"])
 
-    true = classes.select("node", "grp", "unit", "size").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
+    true = classes.select("node", "grp", "unit", "size").mapInArrow(tidy(run), "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
     found = links.groupBy("node").agg(F.sum("links").alias("found"))
     got = true.join(found, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("found", F.lit(0)))).alias("f")).first()
     return got["f"] / got["t"] if got["t"] else 1.0

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqrisk.llm.common import tidy
 from seqrisk.llm.registry import query, table
 from seqrisk.llm.vectors import kmeans, matrix, nearest, per_cell, sound
 from seqrisk.plans.joins import lookup_join, stored
@@ -126,7 +127,7 @@ def _calibrated(index: DataFrame, queries: DataFrame, tree: Tree, k: int, recall
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["i", "s", "leaf"])
 
     first = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s")))
-    true = index.select("v", "leaf").mapInArrow(run, "i long, s double, leaf long").withColumn("_nth", first).where(F.col("_nth") <= k)
+    true = index.select("v", "leaf").mapInArrow(tidy(run), "i long, s double, leaf long").withColumn("_nth", first).where(F.col("_nth") <= k)
     order = [{leaf: n for n, leaf in enumerate(found)} for found in tree.visited(q, tree.leaves)]
     needed = sorted(order[r["i"]][r["leaf"]] + 1 for r in true.select("i", "leaf").collect())
     return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else 1
@@ -163,7 +164,7 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, recall: float) -> Da
             leaf = tree.leaf_of(matrix(batch.column(1))) if batch.num_rows else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], ["node", "v", "ids", "leaf"])
 
-    index = stored(vectors.select("node", "v", "ids").mapInArrow(place, "node long, v array<double>, ids array<long>, leaf int"))
+    index = stored(vectors.select("node", "v", "ids").mapInArrow(tidy(place), "node long, v array<double>, ids array<long>, leaf int"))
     visits = _calibrated(index, queries, tree, k, recall)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +172,7 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, recall: float) -> Da
             leaves = tree.visited(matrix(batch.column(1)), visits) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], ["query_id", "v", "leaves"])
 
-    routed = queries.select("query_id", "v").mapInArrow(route, "query_id long, v array<double>, leaves array<int>")
+    routed = queries.select("query_id", "v").mapInArrow(tidy(route), "query_id long, v array<double>, leaves array<int>")
     routed = stored(routed.withColumn("leaf", F.explode("leaves")).drop("leaves"))
     many = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("cparts"))
     asked = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("qparts"))

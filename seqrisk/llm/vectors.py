@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqrisk.llm.common import tidy
+
 
 def sound(vector: Column) -> Column:
     """Not NULL, not empty, not zero, all components finite numbers."""
@@ -78,4 +80,4 @@ def per_cell(
                 begin = i
         yield from close()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema)
