@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqrisk.llm.common import give_back, tidy
 from seqrisk.llm.registry import query, table
 
 #: Labelled documents per language that the fit reads at most, in expectation.
@@ -189,7 +190,7 @@ def fit_language(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
             on = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(on), pa.string()), pa.array(on), pa.array(total[on])], ["lang", "k", "n"])
 
-    summed = chosen.mapInArrow(run, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
+    summed = chosen.mapInArrow(tidy(run), "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
     size = BUCKETS + letters().scripts
     total = np.zeros((size, len(langs)))
     for r in summed.toLocalIterator():
@@ -215,7 +216,9 @@ def language_spans(model: LanguageModel, text: Column) -> Column:
             for spans in model.spans(part, tables):
                 out.append([{"begin": b, "end": e, "lang": model.langs[k], "letters": n} for b, e, k, n in spans])
         kind = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("letters", pa.int32())])
-        return pa.array(out, pa.list_(kind))
+        made = pa.array(out, pa.list_(kind))
+        give_back()
+        return made
 
     return run(F.coalesce(text.cast("string"), F.lit("")))
 

@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqrisk.llm.common import small_batches, tidy
 from seqrisk.llm.registry import query, table
 from seqrisk.plans.joins import local_table, stored
 
@@ -29,7 +30,7 @@ GROUPS = 64
 #: rounded ones use up the stock unevenly; the rest is left to best fit, which evens it out.
 SHARE = 0.8
 #: Pre-tokens whose ids a Python worker keeps.
-CACHE = 300_000
+CACHE = 100_000
 
 
 class Encoder:
@@ -79,16 +80,6 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder; kept beside the tokenizer library, so that the next task finds it warm."""
-    import tokenizers
-
-    kept = vars(tokenizers).setdefault("_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
-
-
 def token_pieces(
     docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False
 ) -> DataFrame:
@@ -99,7 +90,7 @@ def token_pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = Encoder(tokenizer).encode
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -123,7 +114,7 @@ def token_pieces(
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_nth"] + ["ids"] * with_ids
     kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5] + [pa.list_(pa.int64())] * with_ids
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _part long, _nth long" + ", ids array<long>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], float]]:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrisk.llm.common import connected
+from seqrisk.llm.common import connected, give_back, small_batches, tidy
 from seqrisk.llm.registry import query, table
 from seqrisk.plans.joins import lookup_join, stored
 
@@ -81,8 +81,8 @@ def signed_passages(docs: DataFrame, least: int = LEAST_WORDS, shingle: int = SH
 
     names = ["doc_id", "paragraph", "begin", "end", "words", "node", "bands"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, paragraph int, begin long, end long, words int, node long, bands array<long>"
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        tidy(run), "doc_id long, paragraph int, begin long, end long, words int, node long, bands array<long>"
     )
 
 
@@ -101,7 +101,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, least: int, shingle: int) -
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
 
     found = lookup_join(docs.select(F.col("doc_id").cast("long").alias("_of"), F.col("text").cast("string").alias("_text")), wanted, F.col("_of").eqNullSafe(F.col("_doc")))
-    return found.select("_text", "_numbers").mapInArrow(run, "node long, grams array<long>").groupBy("node").agg(F.first("grams").alias("grams"))
+    return found.select("_text", "_numbers").mapInArrow(tidy(run), "node long, grams array<long>").groupBy("node").agg(F.first("grams").alias("grams"))
 
 
 def linked_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -168,7 +168,7 @@ def verified_links(members: DataFrame, similarity: float) -> DataFrame:
             yield links()
 
     dealt = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def repeated_passages(
@@ -222,7 +222,9 @@ def without_passages(text: Column, nodes: Column, least: int = LEAST_WORDS) -> C
             cut = {n for n, _, _, words in passages(data, least) if node_of(words) in gone}
             left = b"\n".join(line for n, line in enumerate(data.split(b"\n")) if n not in cut)
             out.append(left.decode() if left.strip() else None)
-        return pa.array(out, pa.string())
+        made = pa.array(out, pa.string())
+        give_back()
+        return made
 
     return run(text, nodes)
 

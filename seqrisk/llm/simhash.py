@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrisk.llm.common import connected
+from seqrisk.llm.common import connected, small_batches, tidy
 from seqrisk.llm.registry import query, table
 from seqrisk.plans.joins import lookup_join, stored
 
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _exceeds(counter: list[np.ndarray], radius: int) -> np.ndarray:
@@ -236,7 +236,7 @@ def simhash_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         "key", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "fp"
     )
     cells = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "part")
-    return cells.mapInArrow(_compare(radius), "a long, b long")
+    return cells.mapInArrow(tidy(_compare(radius)), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
