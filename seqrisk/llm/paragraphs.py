@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from seqrisk.llm.common import connected, give_back, small_batches, tidy
 from seqrisk.llm.registry import query, table
+from seqrisk.llm.runs import FEW, shared_runs, text_id
 from seqrisk.plans.joins import lookup_join, stored
 
 #: Words of the shortest paragraph (line) that counts as a passage.
@@ -171,11 +172,27 @@ def verified_links(members: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
+PASSAGE = ["doc_id", "paragraph", "begin", "end", "words", "node", "component_id", "keep_doc", "removed"]
+
+
 def repeated_passages(
     docs: DataFrame, least: int = LEAST_WORDS, shingle: int = SHINGLE, similarity: float = SIMILARITY
 ) -> DataFrame:
     """Passages that are in several documents: ``doc_id, paragraph, begin, end, words, node, component_id, keep_doc, removed``.
 
+    Similar lines (``repeated_lines``), and runs of 50 or more words that are shared word for word at any place of a line or
+    across line breaks (``shared_runs``). A run's ``paragraph`` is the line it begins in, its component its words. Runs and
+    lines may overlap.
+    """
+    runs = shared_runs(docs.select("doc_id", "text")).withColumn("component_id", F.col("node"))
+    return repeated_lines(docs, least, shingle, similarity).unionByName(runs.select(*PASSAGE))
+
+
+def repeated_lines(
+    docs: DataFrame, least: int = LEAST_WORDS, shingle: int = SHINGLE, similarity: float = SIMILARITY
+) -> DataFrame:
+    """Lines that are in several documents: ``doc_id, paragraph, begin, end, words, node, component_id, keep_doc, removed``.
+
     A passage is a line of at least ``least`` words, ``begin`` and ``end`` its place in UTF-8 bytes. Lines with the
     same words (ASCII case aside) are one node, so copies are compared once. Nodes that collide in a band are
     joined by bucket and verified by exact Jaccard similarity of their word shingles, read from the text
@@ -211,31 +228,54 @@ def repeated_passages(
     )
 
 
-def without_passages(text: Column, nodes: Column, least: int = LEAST_WORDS) -> Column:
-    """The text without the lines that are one of the nodes; NULL if nothing but white space is left."""
+def left_of(data: bytes, gone: set[int], runs: list[tuple[int, int]], least: int) -> bytes:
+    """The text without the lines that are one of the nodes and without the runs; where a run is cut, the line ends."""
+    cut = {n for n, _, _, words in passages(data, least) if node_of(words) in gone} if gone else set()
+    out, begin, at = [], 0, 0
+    runs = sorted(runs)
+    for n, line in enumerate(data.split(b"\n")):
+        end = begin + len(line)
+        pieces, here, touched = [], begin, False
+        while at < len(runs) and runs[at][1] <= begin:
+            at += 1
+        for first, last in runs[at:]:
+            if first >= end:
+                break
+            touched |= last > begin
+            pieces.append(data[here : max(here, first)])
+            here = max(here, min(last, end))
+        pieces.append(data[here:end])
+        if n not in cut:
+            out += [x for x in (p.strip() for p in pieces) if x] if touched else [line]
+        begin = end + 1
+    return b"\n".join(out)
+
+
+def without_passages(text: Column, nodes: Column, runs: Column, least: int = LEAST_WORDS) -> Column:
+    """The text without the nodes' lines and the runs (``begin, end``); NULL if nothing but white space is left."""
 
     @F.arrow_udf("string")
-    def run(texts: pa.Array, removed: pa.Array) -> pa.Array:
+    def run(texts: pa.Array, removed: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for text, gone in zip(texts.cast(pa.large_binary()), removed.to_pylist()):
-            data, gone = text.as_py() or b"", set(gone or ())
-            cut = {n for n, _, _, words in passages(data, least) if node_of(words) in gone}
-            left = b"\n".join(line for n, line in enumerate(data.split(b"\n")) if n not in cut)
+        for text, gone, cuts in zip(texts.cast(pa.large_binary()), removed.to_pylist(), spans.to_pylist()):
+            left = left_of(text.as_py() or b"", set(gone or ()), [(c["begin"], c["end"]) for c in cuts or ()], least)
             out.append(left.decode() if left.strip() else None)
         made = pa.array(out, pa.string())
         give_back()
         return made
 
-    return run(text, nodes)
+    return run(text, nodes, runs)
 
 
 def documents_without_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the marked passages cut from ``text`` and ``n_chars`` counted again; emptied documents go."""
-    gone = repeated_passages(docs, least).where("removed")
-    per_doc = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("node").alias("_gone"))
-    joined = lookup_join(docs, per_doc, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    lines = repeated_lines(docs, least).where("removed").select("doc_id", "node", F.lit(None).cast("struct<text_id:long,begin:long,end:long>").alias("run"))
+    runs = shared_runs(docs.select("doc_id", "text")).where("removed").select("doc_id", F.lit(None).cast("long").alias("node"), F.struct("text_id", "begin", "end").alias("run"))
+    per_doc = lines.unionByName(runs).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("node").alias("_gone"), F.collect_set("run").alias("_runs"))
+    joined = lookup_join(docs, per_doc, F.col("doc_id").eqNullSafe(F.col("_doc")), "left", max_rows=FEW)
+    joined = joined.withColumn("_runs", F.filter("_runs", lambda r: r["text_id"] == text_id(F.col("text"))))
     cut = F.col("_gone").isNotNull()
-    text = F.when(cut, without_passages(F.when(cut, F.col("text")), F.col("_gone"), least)).otherwise(F.col("text"))
+    text = F.when(cut, without_passages(F.when(cut, F.col("text")), F.col("_gone"), F.col("_runs"), least)).otherwise(F.col("text"))
     kept = joined.withColumn("_text", text).where(~cut | F.col("_text").isNotNull())
     changed = {"text": F.col("_text"), "n_chars": F.when(cut, F.length("_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
     return kept.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col(c) for c in docs.columns])
