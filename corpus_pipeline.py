@@ -34,7 +34,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents with their sequence and place."""
-    return packed_sequences(docs)
+    return packed_sequences(docs, markers=True)
 
 
 STAGES = [

@@ -38,7 +38,8 @@ class Encoder:
 
     Merges never leave a pre-token, so each distinct pre-token is encoded once and kept. Texts of Latin-1
     characters are cut by the tokenizer's own pattern, spelled out for those; any other text, and any
-    with unusual white space, is cut by the tokenizer. Marker strings of special tokens are ordinary text.
+    with unusual white space, is cut by the tokenizer. Marker strings of special tokens are ordinary text,
+    or with ``markers`` the tokens that the file names for them: the library's default.
     """
 
     LATIN = re.compile(
@@ -48,10 +49,12 @@ class Encoder:
     )
     OTHER = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u0100-\U0010ffff]")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, markers: bool = False):
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(path)
+        self.whole = whole = Tokenizer.from_file(path)
+        added = [t.content for t in whole.get_added_tokens_decoder().values()] if markers else []
+        self.marker = re.compile("|".join(map(re.escape, added))) if added else None
         self.model, self.split = whole.model, whole.pre_tokenizer.pre_tokenize_str
         self.known: dict[str, bytes] = {}
         # Byte-level vocabularies spell a byte as its character if that is printable, else as one from 256 on.
@@ -60,6 +63,8 @@ class Encoder:
         self.blank = chr(self.spelled[32])
 
     def encode(self, text: str) -> bytes:
+        if self.marker and self.marker.search(text):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if self.OTHER.search(text):
             return b"".join(self._ids(spelled) for spelled, _ in self.split(text))
         cuts = self.LATIN.findall(text)
@@ -81,7 +86,7 @@ class Encoder:
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, markers: bool = False
 ) -> DataFrame:
     """Pieces of at most ``capacity`` tokens of each row: ``doc_id, piece, start, length, ids_crc32, _part, _nth``.
 
@@ -90,7 +95,7 @@ def token_pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer).encode
+        encode = Encoder(tokenizer, markers).encode
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -269,18 +274,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
 
 
 def packed_sequences(
-    docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False
+    docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, markers: bool = False
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``) per piece of ``docs`` (doc_id, text).
 
     Every row is packed on its own, also where ids or whole rows repeat. A NULL or empty text is the end
-    token alone; texts of any length are tokenised whole; NULL ids stay NULL; an empty table gives no rows;
+    token alone; ``markers`` as in ``Encoder``; texts of any length are tokenised whole; NULL ids stay NULL; an empty table gives no rows;
     other columns are ignored.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    return pack(stored(token_pieces(docs, path, capacity, end_id, with_ids)), capacity)
+    return pack(stored(token_pieces(docs, path, capacity, end_id, with_ids, markers)), capacity)
 
 
 @query("op4_linear_grouping_pack")
 def op4_linear_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_sequences(table(spark, sf_dir, "documents"))
+    return packed_sequences(table(spark, sf_dir, "documents"), markers=True)
