@@ -6,7 +6,7 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqrisk.plans.joins import release, stored
@@ -94,9 +94,7 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _round(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
-    """The distinct edges, stored, with their count and a checksum."""
-    seen = Observation()
-    checked = edges.distinct().observe(
-        seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("sum")
-    )
-    return stored(checked), (seen.get["n"], seen.get["sum"])
+    """The distinct edges, stored, with their count and a checksum, both read back from the stored files."""
+    kept = stored(edges.distinct())
+    mark = kept.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    return kept, (mark[0], mark[1])
