@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import views as V
 from catalog.registry import query
-from catalog.sql import cols, draw_ctes, ranking_ctes, with_views
+from catalog.sql import cols, ranking_ctes, with_views
 from seqrisk.functions import scalars as P
 from seqrisk.operators import filters as X
 from seqrisk.operators import joins as J
@@ -22,7 +22,6 @@ TOPS = "top_5pct_precision top_10pct_precision top_20pct_precision"
 MODEL = "task family source version model seed"
 RUN = "task version model seed calibration"
 FRACS = [0.05, 0.10, 0.20]
-B_DRAWS = 20
 
 
 def _top(names: list[str]) -> str:
@@ -40,11 +39,6 @@ def _rounded(expr: str, name: str) -> str:
     return f"round(CAST({expr} AS DOUBLE), 6)+0.0::DOUBLE AS {name}"
 
 
-def _unrounded(sql: str) -> str:
-    """The same select with its numbers left as they are, for use inside another query."""
-    return sql.replace("round(CAST(", "CAST(").replace(" AS DOUBLE), 6)+0.0::DOUBLE AS ", " AS DOUBLE) AS ")
-
-
 # ------------------------------------------------------------------ scalar functions on scores
 
 _SCALARS = {
@@ -250,19 +244,20 @@ def _one(pred, version, model):
     return pred.where((F.col("version") == version) & (F.col("model") == model))
 
 
-def _two(spark, sf_dir):
-    pred = V.predictions(spark, sf_dir, seeds=(42,))
-    return _one(pred, "compressed_dedup", "rnn"), _one(pred, "raw", "rnn")
+def _pairs(spark, sf_dir):
+    pred = V.predictions(spark, sf_dir)
+    sides = _one(pred, "compressed_dedup", "rnn"), _one(pred, "raw", "rnn")
+    return J.paired_join(*sides, keys=["task", "seed", "row_id", "subject_id", "y_true"])
 
 
-_PAIR = """pairs AS (SELECT a.task, a.row_id, a.subject_id, a.y_true, a.risk AS risk_a, b.risk AS risk_b FROM v_predictions a JOIN v_predictions b
- ON a.task=b.task AND a.row_id=b.row_id AND a.subject_id=b.subject_id AND a.y_true=b.y_true
- WHERE a.seed=42 AND b.seed=42 AND a.model='rnn' AND b.model='rnn' AND a.version='compressed_dedup' AND b.version='raw')"""
+_PAIR = """a AS MATERIALIZED (SELECT * FROM v_predictions WHERE model='rnn' AND version='compressed_dedup'),
+b AS MATERIALIZED (SELECT * FROM v_predictions WHERE model='rnn' AND version='raw'),
+pairs AS (SELECT a.task, a.seed, a.row_id, a.subject_id, a.y_true, a.risk AS risk_a, b.risk AS risk_b FROM a JOIN b USING (task, seed, row_id, subject_id, y_true))"""
 
 
-@query("paired_join", with_views("SELECT " + cols("task", "row_id subject_id y_true", "risk_a risk_b") + " FROM pairs", "v_predictions", extra=_PAIR))
+@query("paired_join", with_views("SELECT " + cols("task", "seed row_id subject_id y_true", "risk_a risk_b") + " FROM pairs", "v_predictions", extra=_PAIR))
 def paired_join(spark, sf_dir):
-    return J.paired_join(*_two(spark, sf_dir))
+    return _pairs(spark, sf_dir)
 
 
 @query("three_way_join", with_views("SELECT " + cols("task split", "seed row_id subject_id y_true", "p_tabular p_sequence p_numeric_sequence") + " FROM v_base WHERE row_id%3<>0", "v_base"))
@@ -311,9 +306,10 @@ def validated_left_join(spark, sf_dir):
     return J.validated_left_join(J.validated_left_join(orders, customers, ["subject_id"]), nations, ["key"]).drop("key")
 
 
-_ALIGNED = """aligned AS (SELECT o.task, o.model, o.seed, o.calibration, o.version AS compressed_version, 'raw' AS baseline_version, o.row_id, o.subject_id,
- o.y_true, o.risk AS risk_compressed, r.risk AS risk_raw FROM v_predictions o JOIN v_predictions r
- USING (task, model, seed, calibration, row_id, subject_id) WHERE r.version='raw' AND o.version<>'raw')"""
+_ALIGNED = """o AS MATERIALIZED (SELECT * FROM v_predictions WHERE version<>'raw'),
+r AS MATERIALIZED (SELECT * FROM v_predictions WHERE version='raw'),
+aligned AS (SELECT o.task, o.model, o.seed, o.calibration, o.version AS compressed_version, 'raw' AS baseline_version, o.row_id, o.subject_id,
+ o.y_true, o.risk AS risk_compressed, r.risk AS risk_raw FROM o JOIN r USING (task, model, seed, calibration, row_id, subject_id))"""
 
 
 @query("align_to_baseline", with_views("SELECT " + cols("task model calibration compressed_version baseline_version", "seed row_id subject_id y_true", "risk_compressed risk_raw") + " FROM aligned", "v_predictions", extra=_ALIGNED))
@@ -323,7 +319,7 @@ def align_to_baseline(spark, sf_dir):
 
 def _repeated(spark, sf_dir):
     """Predictions loaded twice in part, with an explicit load order."""
-    pred = V.predictions(spark, sf_dir, seeds=(42,))
+    pred = V.predictions(spark, sf_dir)
     again = F.when(F.col("row_id") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     twice = pred.select("*", F.explode(again).alias("load_order"))
     return twice.withColumn("risk", F.col("risk") + F.col("load_order") * 0.001)
@@ -331,7 +327,7 @@ def _repeated(spark, sf_dir):
 
 for _keep, _sign in (("last", "+(CASE WHEN row_id%4=0 THEN 0.001::DOUBLE ELSE 0 END)"), ("first", "")):
 
-    @query(f"dedup_keep_{_keep}", with_views(f"SELECT {_PRED} FROM (SELECT * REPLACE (risk{_sign} AS risk) FROM v_predictions WHERE seed=42)", "v_predictions"))
+    @query(f"dedup_keep_{_keep}", with_views(f"SELECT {_PRED} FROM (SELECT * REPLACE (risk{_sign} AS risk) FROM v_predictions)", "v_predictions"))
     def _dedup(spark, sf_dir, keep=_keep):
         keys = ["task", "family", "source", "version", "model", "seed", "calibration", "row_id", "subject_id"]
         return J.dedup(_repeated(spark, sf_dir), keys, ["load_order"], keep).drop("load_order")
@@ -669,56 +665,19 @@ def union_tables(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ resampling
+#
+# Full numbers of replicates (1000, in the fusion comparison 2000) and all seeds. The draws come from numpy generators, which SQL
+# does not have; tests/test_resampling.py compares with copied rows.
 
 
-def _stacked(keys: str, unit: str) -> str:
-    ks = keys.split()
-    on = " AND ".join(f"p.{c}=d.{c}" for c in ks)
-    kk = ", ".join("p." + c for c in ks)
-    return (
-        f"stacked AS (SELECT {kk}, draw, side, p.row_id, p.y_true, d.w, CASE side WHEN 'a' THEN risk_a ELSE risk_b END AS risk"
-        f" FROM pairs p JOIN draws d ON {on} AND p.{unit}=d.u, (VALUES ('a'),('b')) t(side))"
-    )
-
-
-_PAIR_EXPR = {**{m: m for m in M.BASE_METRICS}, **{t: f"e_{i}/k_{i}" for i, t in enumerate(TOPS.split())}}
-
-
-def _ab(keys: str, exprs: dict[str, str]) -> str:
-    """CTE ab: (keys, draw, metric, va, vb, n, n_positive)."""
-    k = ", ".join(keys.split())
-    long = " UNION ALL ".join(f"SELECT {k}, draw, side, n, n_positive, '{m}' AS metric, ({e})::DOUBLE AS value FROM metrics" for m, e in exprs.items())
-    return f"ab AS (SELECT {k}, draw, metric, max(value) FILTER (side='a') AS va, max(value) FILTER (side='b') AS vb, max(n) AS n, max(n_positive) AS n_positive FROM ({long}) GROUP BY ALL)"
-
-
-def _boot(pairs: str, keys: str, unit: str, exprs: dict[str, str], **kw) -> str:
-    return ",\n".join(
-        [pairs, draw_ctes("pairs", keys, unit, B_DRAWS, 42), _stacked(keys, unit),
-         ranking_ctes("stacked", keys + " draw side", FRACS, weight="w", **kw), _ab(keys, exprs)]
-    )
-
-
-def _delta_select(keys: str, extra: str = "") -> str:
-    d = "CASE WHEN draw>0 THEN va-vb END"
-    return (
-        f"SELECT {', '.join(keys.split())}, metric, " + _rounded("max(CASE WHEN draw=0 THEN va-vb END)", "point_delta_a_minus_b") + ", "
-        + _rounded(f"avg({d})", "bootstrap_mean_delta") + ", " + _rounded(f"CASE WHEN count({d})=1 THEN 0 ELSE stddev_samp({d}) END", "bootstrap_std_delta") + ", "
-        + _rounded(f"quantile_cont({d},0.025)", "ci_low") + ", " + _rounded(f"quantile_cont({d},0.975)", "ci_high")
-        + f", count({d}) AS n_bootstrap_valid, max(CASE WHEN draw=0 THEN n END)::BIGINT AS n_paired_examples, max(CASE WHEN draw=0 THEN n_positive END)::BIGINT AS n_paired_positive{extra} FROM ab GROUP BY ALL"
-    )
-
-
-@query("row_bootstrap", with_views(_delta_select("task"), "v_predictions", extra=_boot(_PAIR, "task", "row_id", _PAIR_EXPR, clip=True, pct=True)))
+@query("row_bootstrap")
 def row_bootstrap(spark, sf_dir):
-    return B.paired_delta(J.paired_join(*_two(spark, sf_dir)), ["task"], n_draws=B_DRAWS)
-
-
-_CLUSTER_EXTRA = f", {B_DRAWS}::BIGINT AS n_bootstrap_requested, 'subject_id' AS bootstrap_unit, (SELECT count(DISTINCT subject_id) FROM pairs p WHERE p.task=ab.task) AS n_paired_patients"
+    return B.paired_delta(_pairs(spark, sf_dir), ["task", "seed"])
 
 
-@query("cluster_bootstrap", with_views(_delta_select("task", _CLUSTER_EXTRA), "v_predictions", extra=_boot(_PAIR, "task", "subject_id", _PAIR_EXPR, clip=True, pct=True)))
+@query("cluster_bootstrap")
 def cluster_bootstrap(spark, sf_dir):
-    return B.cluster_delta(J.paired_join(*_two(spark, sf_dir)), ["task"], n_draws=B_DRAWS)
+    return B.cluster_delta(_pairs(spark, sf_dir), ["task", "seed"])
 
 
 COMPARISONS = [
@@ -726,185 +685,76 @@ COMPARISONS = [
     {"comparison": "dedup_vs_raw", "description": "compressed against raw sequence", "task": "urgent", "a": "urgent_dedup", "b": "urgent_raw"},
     {"comparison": "trees_vs_numeric", "description": "tabular against numeric sequence", "task": "routine", "a": "routine_trees", "b": "routine_numeric"},
 ]
-_CMP_SQL = "(VALUES " + ",".join(f"('{c['comparison']}','{c['description']}','{c['a']}','{c['b']}')" for c in COMPARISONS) + ") x(comparison, description, ka, kb)"
-_CMP_KEYS = "task group_name comparison description model_a model_b"
-_CMP_PAIRS = f"""keyed AS (SELECT e.*, c.key, e.family||': '||e.version||' + '||e.model AS label FROM v_ensemble e JOIN {_CONFIG_SQL} USING (family, task, version, model)),
-pairs AS (SELECT a.task, a.group_name, comparison, description, a.label AS model_a, b.label AS model_b, a.row_id, a.subject_id, a.y_true, a.risk AS risk_a, b.risk AS risk_b
- FROM {_CMP_SQL} JOIN keyed a ON a.key=ka JOIN keyed b ON b.key=kb AND a.task=b.task AND a.row_id=b.row_id AND a.subject_id=b.subject_id AND a.y_true=b.y_true AND a.group_name=b.group_name)"""
-_CMP_EXTRA = _CLUSTER_EXTRA.replace("p.task=ab.task", "p.comparison=ab.comparison AND p.group_name=ab.group_name")
 
 
-def _pairwise(spark, sf_dir):
-    ens = A.ensemble_predictions(_sub(spark, sf_dir))
-    return B.pairwise_comparisons(ens, CONFIGS, COMPARISONS, n_draws=B_DRAWS)
-
-
-@query("pairwise_comparisons", with_views(_delta_select(_CMP_KEYS, _CMP_EXTRA), "v_ensemble", extra=_boot(_CMP_PAIRS, _CMP_KEYS, "subject_id", _PAIR_EXPR, clip=True, pct=True)))
+@query("pairwise_comparisons")
 def pairwise_comparisons(spark, sf_dir):
-    return _pairwise(spark, sf_dir)
+    return B.pairwise_comparisons(A.ensemble_predictions(_sub(spark, sf_dir)), CONFIGS, COMPARISONS)
 
 
-@query(
-    "format_delta_ci",
-    with_views(
-        "SELECT task, group_name, comparison, printf('%+.3f [%+.3f, %+.3f]', point_delta_a_minus_b, ci_low, ci_high) AS delta_auprc_with_ci FROM ("
-        + _unrounded(_delta_select(_CMP_KEYS)) + ") WHERE metric='auprc'",
-        "v_ensemble", extra=_boot(_CMP_PAIRS, _CMP_KEYS, "subject_id", _PAIR_EXPR, clip=True, pct=True),
-    ),
-)
+@query("format_delta_ci")
 def format_delta_ci(spark, sf_dir):
-    rows = _pairwise(spark, sf_dir).where(F.col("metric") == "auprc")
+    rows = pairwise_comparisons(spark, sf_dir).where(F.col("metric") == "auprc")
     text = P.format_delta_ci("point_delta_a_minus_b", "ci_low", "ci_high")
     return rows.select("task", "group_name", "comparison", text.alias("delta_auprc_with_ci"))
 
 
-_CI_KEYS = "task version model"
-_CI = ",\n".join(
-    [
-        "pairs AS (SELECT * FROM v_predictions WHERE seed=42)",
-        draw_ctes("pairs", _CI_KEYS, "subject_id", B_DRAWS, 42),
-        "stacked AS (SELECT p.task, p.version, p.model, draw, p.row_id, p.y_true, p.risk, d.w FROM pairs p JOIN draws d ON p.task=d.task AND p.version=d.version AND p.model=d.model AND p.subject_id=d.u)",
-        ranking_ctes("stacked", _CI_KEYS + " draw", FRACS, weight="w"),
-        f"ab AS ({_long_sql('task, version, model, draw')})",
-    ]
-)
-_DRAWN = "CASE WHEN draw>0 THEN value END"
-
-
-@query(
-    "patient_bootstrap_ci",
-    with_views(
-        "SELECT task, version, model, metric, " + _rounded("max(CASE WHEN draw=0 THEN value END)", "observed") + ", " + _rounded(f"avg({_DRAWN})", "bootstrap_mean") + ", "
-        + _rounded(f"quantile_cont({_DRAWN},0.025)", "ci_low") + ", " + _rounded(f"quantile_cont({_DRAWN},0.975)", "ci_high") + ", "
-        + _rounded(f"stddev_samp({_DRAWN})", "bootstrap_std") + f", count({_DRAWN}) AS n_bootstrap_valid FROM ab GROUP BY ALL",
-        "v_predictions", extra=_CI,
-    ),
-)
+@query("patient_bootstrap_ci")
 def patient_bootstrap_ci(spark, sf_dir):
-    return B.patient_bootstrap_ci(V.predictions(spark, sf_dir, seeds=(42,)), _CI_KEYS.split(), FRACS, n_draws=B_DRAWS)
+    return B.patient_bootstrap_ci(V.predictions(spark, sf_dir), ["task", "version", "model", "seed"], FRACS)
 
 
-_VS_KEYS = "task model seed calibration compressed_version baseline_version"
-_VS_PAIRS = _ALIGNED + ", pairs AS (SELECT *, risk_compressed AS risk_a, risk_raw AS risk_b FROM aligned WHERE seed=42)"
-_D = "CASE WHEN draw>0 THEN va-vb END"
+_VS_KEYS = ["task", "model", "seed", "calibration"]
 
 
-@query(
-    "paired_vs_baseline",
-    with_views(
-        "SELECT task, model, seed::BIGINT AS seed, calibration, compressed_version, baseline_version, metric, metric NOT IN ('brier','logloss') AS higher_is_better, "
-        + ", ".join(_rounded(f"max(CASE WHEN draw=0 THEN {e} END)", n) for e, n in (("vb", "baseline_value"), ("va", "compressed_value"), ("va-vb", "observed_diff_compressed_minus_baseline")))
-        + ", max(CASE WHEN draw=0 THEN n END)::BIGINT AS n_examples_aligned, (SELECT count(DISTINCT subject_id) FROM pairs p WHERE p.task=ab.task AND p.model=ab.model) AS n_patients_aligned,"
-        " max(CASE WHEN draw=0 THEN n_positive END)::BIGINT AS n_positive_aligned, " + _rounded(f"avg({_D})", "bootstrap_mean_diff") + ", "
-        + _rounded(f"quantile_cont({_D},0.025)", "ci_low") + ", " + _rounded(f"quantile_cont({_D},0.975)", "ci_high") + ", " + _rounded(f"stddev_samp({_D})", "bootstrap_std_diff") + ", "
-        + _rounded(f"least(1, 2*least(avg(({_D}<=0)::INT), avg(({_D}>=0)::INT)))", "p_two_sided_zero_diff") + f", count({_D}) AS n_bootstrap_valid, 'whole' AS subgroup FROM ab GROUP BY ALL",
-        "v_predictions", extra=_boot(_VS_PAIRS, _VS_KEYS, "subject_id", _LONG_EXPR),
-    ),
-)
+@query("paired_vs_baseline")
 def paired_vs_baseline(spark, sf_dir):
-    aligned = J.align_to_baseline(V.predictions(spark, sf_dir, seeds=(42,)), "raw")
-    return B.paired_vs_baseline(aligned, ["task", "model", "seed", "calibration"], FRACS, n_draws=B_DRAWS, subgroup="whole")
-
-
-_GROUPED_KEYS = "task model seed calibration high_repeat_group compressed_version baseline_version"
-_GROUPED_PAIRS = _ALIGNED + (
-    ", pairs AS (SELECT a.*, h.high_repeat_group, risk_compressed AS risk_a, risk_raw AS risk_b FROM aligned a"
-    " JOIN v_audit_held h USING (task, row_id, subject_id))"
-)
+    aligned = J.align_to_baseline(V.predictions(spark, sf_dir), "raw")
+    return B.paired_vs_baseline(aligned, _VS_KEYS, FRACS, subgroup="whole")
 
 
-@query(
-    "paired_vs_baseline_by_subgroup",
-    with_views(
-        "SELECT task, model, seed::BIGINT AS seed, calibration, high_repeat_group, compressed_version, baseline_version, metric, metric NOT IN ('brier','logloss') AS higher_is_better, "
-        + ", ".join(_rounded(f"max(CASE WHEN draw=0 THEN {e} END)", n) for e, n in (("vb", "baseline_value"), ("va", "compressed_value"), ("va-vb", "observed_diff_compressed_minus_baseline")))
-        + ", max(CASE WHEN draw=0 THEN n END)::BIGINT AS n_examples_aligned, (SELECT count(DISTINCT subject_id) FROM pairs p WHERE p.task=ab.task AND p.model=ab.model AND p.high_repeat_group=ab.high_repeat_group) AS n_patients_aligned,"
-        " max(CASE WHEN draw=0 THEN n_positive END)::BIGINT AS n_positive_aligned, " + _rounded(f"avg({_D})", "bootstrap_mean_diff") + ", "
-        + _rounded(f"quantile_cont({_D},0.025)", "ci_low") + ", " + _rounded(f"quantile_cont({_D},0.975)", "ci_high") + ", " + _rounded(f"stddev_samp({_D})", "bootstrap_std_diff") + ", "
-        + _rounded(f"least(1, 2*least(avg(({_D}<=0)::INT), avg(({_D}>=0)::INT)))", "p_two_sided_zero_diff") + f", count({_D}) AS n_bootstrap_valid,"
-        " CASE WHEN high_repeat_group THEN 'high_repeat_top10' ELSE 'other_90' END AS subgroup FROM ab GROUP BY ALL",
-        "v_predictions", "v_audit_held", extra=_boot(_GROUPED_PAIRS, _GROUPED_KEYS, "subject_id", _LONG_EXPR),
-    ),
-)
+@query("paired_vs_baseline_by_subgroup")
 def paired_vs_baseline_by_subgroup(spark, sf_dir):
-    """All seeds, in the high-repeat group and outside it."""
+    """In the high-repeat group and outside it."""
     aligned = J.align_to_baseline(V.predictions(spark, sf_dir), "raw")
-    held = _audit_held(spark, sf_dir)
-    return B.paired_vs_baseline_by_subgroup(aligned, held, ["task", "model", "seed", "calibration"], FRACS, n_draws=B_DRAWS)
+    return B.paired_vs_baseline_by_subgroup(aligned, _audit_held(spark, sf_dir), _VS_KEYS, FRACS)
 
 
 _FUSION_CMP = [("tabular_only", "fusion_tabular_sequence"), ("sequence_only", "fusion_tabular_sequence")]
-_FU_KEYS = "task seed baseline_variant candidate_variant"
-_FU_PAIRS = """pairs AS (SELECT b.task, b.seed, b.variant AS baseline_variant, c.variant AS candidate_variant, b.row_id, b.subject_id, b.y_true, c.risk AS risk_a, b.risk AS risk_b
- FROM v_fusion b JOIN v_fusion c USING (task, seed, row_id, subject_id, y_true) WHERE b.variant IN ('tabular_only','sequence_only') AND c.variant='fusion_tabular_sequence')"""
-_FU = _boot(_FU_PAIRS, _FU_KEYS, "subject_id", _PAIR_EXPR, clip=True)
-_IMP = "CASE WHEN metric IN ('brier','logloss') THEN vb-va ELSE va-vb END"
-_GAIN = f"CASE WHEN draw>0 THEN {_IMP} END"
-_FU_SUMMARY = (
-    "SELECT task, seed::BIGINT AS seed, baseline_variant, candidate_variant, metric, CASE WHEN metric IN ('brier','logloss') THEN 'lower' ELSE 'higher' END AS direction,"
-    " max(CASE WHEN draw=0 THEN n END)::BIGINT AS n_rows, (SELECT count(DISTINCT subject_id) FROM pairs p WHERE p.task=ab.task) AS n_subjects, max(CASE WHEN draw=0 THEN n_positive END)::BIGINT AS n_positive, "
-    + _rounded("max(CASE WHEN draw=0 THEN n_positive/n END)", "event_rate") + ", "
-    + ", ".join(_rounded(f"max(CASE WHEN draw=0 THEN {e} END)", n) for e, n in (("vb", "baseline_observed"), ("va", "candidate_observed"), ("va-vb", "delta_candidate_minus_baseline_observed"), (_IMP, "improvement_observed")))
-    + ", " + ", ".join(_rounded(f"quantile_cont({e},{q})", n) for e, q, n in ((_D, 0.025, "delta_ci_low"), (_D, 0.975, "delta_ci_high"), (_GAIN, 0.025, "improvement_ci_low"), (_GAIN, 0.975, "improvement_ci_high")))
-    + ", " + _rounded(f"avg(({_GAIN}>0)::INT)", "prob_improvement") + ", " + _rounded(f"least(1, 2*least(avg(({_GAIN}<=0)::INT), avg(({_GAIN}>=0)::INT)))", "p_two_sided_improvement")
-    + f", {B_DRAWS}::BIGINT AS n_boot FROM ab GROUP BY ALL"
-)
+FUSION_DRAWS = 2000
 
 
 def _fusion(spark, sf_dir):
     pred = V.fusion_predictions(spark, sf_dir)
     paired = J.paired_variants(pred, _FUSION_CMP, ["task", "seed", "row_id", "subject_id", "y_true"])
-    return paired, B.fusion_samples(paired, n_draws=B_DRAWS)
+    return paired, B.fusion_samples(paired, n_draws=FUSION_DRAWS)
 
 
-@query("fusion_bootstrap", with_views(_FU_SUMMARY, "v_fusion", extra=_FU))
+@query("fusion_bootstrap")
 def fusion_bootstrap(spark, sf_dir):
     paired, samples = _fusion(spark, sf_dir)
-    return B.fusion_summary(samples, paired, B_DRAWS)
+    return B.fusion_summary(samples, paired, FUSION_DRAWS)
 
 
-_FU_ENSEMBLE = _FU_PAIRS.replace("v_fusion", "ens")
-_FU_ENS = "ens AS (SELECT task, -1 AS seed, row_id, subject_id, y_true, variant, avg(risk) AS risk FROM v_fusion GROUP BY ALL),\n" + _boot(
-    _FU_ENSEMBLE, _FU_KEYS, "subject_id", _PAIR_EXPR, clip=True
-)
-
-
-@query("fusion_bootstrap_ensemble", with_views(_FU_SUMMARY, "v_fusion", extra=_FU_ENS))
+@query("fusion_bootstrap_ensemble")
 def fusion_bootstrap_ensemble(spark, sf_dir):
     """Scores averaged over seeds: a table without a seed, reported under -1."""
     rows = ["task", "row_id", "subject_id", "y_true"]
     mean = V.fusion_predictions(spark, sf_dir).groupBy(*rows, "variant").agg(F.avg("risk").alias("risk"))
     paired = J.paired_variants(mean, _FUSION_CMP, rows)
-    return B.fusion_summary(B.fusion_samples(paired, n_draws=B_DRAWS), paired, B_DRAWS)
+    return B.fusion_summary(B.fusion_samples(paired, n_draws=FUSION_DRAWS), paired, FUSION_DRAWS)
 
 
-@query(
-    "fusion_bootstrap_samples",
-    with_views(
-        "SELECT task, seed::BIGINT AS seed, baseline_variant, candidate_variant, draw::BIGINT AS bootstrap_id, metric, CASE WHEN metric IN ('brier','logloss') THEN 'lower' ELSE 'higher' END AS direction, "
-        + ", ".join(_rounded(e, n) for e, n in (("vb", "baseline_value"), ("va", "candidate_value"), ("va-vb", "delta_candidate_minus_baseline"), (_IMP, "improvement"), ("n_positive/n", "event_rate")))
-        + ", n::BIGINT AS n_rows, n_positive::BIGINT AS n_positive, n_subjects_sampled::BIGINT AS n_subjects_sampled, n_unique_subjects_sampled FROM ab JOIN"
-        " (SELECT task, seed, baseline_variant, candidate_variant, draw, sum(w) AS n_subjects_sampled, count(*) AS n_unique_subjects_sampled FROM draws GROUP BY ALL) u USING (task, seed, baseline_variant, candidate_variant, draw) WHERE draw>0",
-        "v_fusion", extra=_FU,
-    ),
-)
+@query("fusion_bootstrap_samples")
 def fusion_bootstrap_samples(spark, sf_dir):
     paired, samples = _fusion(spark, sf_dir)
-    units = B.fusion_sample_units(paired, n_draws=B_DRAWS)
+    units = B.fusion_sample_units(paired, n_draws=FUSION_DRAWS)
     return samples.where(F.col("bootstrap_id") > 0).join(units, [*B.FUSION_KEYS, "bootstrap_id"])
 
 
-_SUM_KEYS = "task baseline_variant candidate_variant metric direction"
-_SUM_VALUES = "baseline_observed candidate_observed delta_candidate_minus_baseline_observed improvement_observed prob_improvement p_two_sided_improvement".split()
-
-
-@query(
-    "bootstrap_across_seeds",
-    with_views(f"SELECT {', '.join(_SUM_KEYS.split())}, count(DISTINCT seed) AS n_seeds, " + ", ".join(_four(c) for c in _SUM_VALUES) + f" FROM ({_unrounded(_FU_SUMMARY)}) GROUP BY ALL", "v_fusion", extra=_FU),
-)
+@query("bootstrap_across_seeds")
 def bootstrap_across_seeds(spark, sf_dir):
-    paired, samples = _fusion(spark, sf_dir)
-    return A.bootstrap_across_seeds(B.fusion_summary(samples, paired, B_DRAWS))
+    return A.bootstrap_across_seeds(fusion_bootstrap(spark, sf_dir))
 
 
 @query(

@@ -281,16 +281,3 @@ m_o AS (SELECT {k}, y, w, sum(w) OVER (PARTITION BY {k} ORDER BY s DESC, md5(row
 m_t AS (SELECT {k}, {tops} FROM m_o GROUP BY ALL),
 metrics AS (SELECT * FROM m_b JOIN m_t USING ({k}))"""
     )
-
-
-def draw_ctes(src: str, keys: str, unit: str, n_draws: int, seed: int) -> str:
-    """CTE ``draws``: (keys, unit, draw, w) with replacement, replicate 0 being the data itself."""
-    ks = keys.split()
-    k = ", ".join(ks)
-    name = f"concat_ws('|', {seed}, {k}, b, i)"
-    return f"""d_u AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY substr(md5(u::VARCHAR),1,3), u)-1 AS i,
-  count(*) OVER (PARTITION BY {k}) AS n FROM (SELECT DISTINCT {k}, {unit} AS u FROM {src})),
-d_p AS (SELECT {k}, b, ('0x'||substr(md5({name}),1,8))::BIGINT % n AS i FROM d_u, range(1,{n_draws + 1}) t(b)),
-d_w AS (SELECT {k}, b, i, count(*) AS w FROM d_p GROUP BY ALL),
-draws AS (SELECT {", ".join("d_u." + c for c in ks)}, u, b AS draw, w FROM d_w JOIN d_u USING ({k}, i)
-  UNION ALL SELECT {k}, u, 0, 1 FROM d_u)"""

@@ -272,7 +272,11 @@ def metrics_by_group(
     clip: bool = False,
 ) -> DataFrame:
     """Every registered metric for any key list; NULL keys form groups of their own."""
-    wide = ranking_frame(df, keys, frac_limits(fracs), weight=weight, clip=clip)
+    return registered_metrics(ranking_frame(df, keys, frac_limits(fracs), weight=weight, clip=clip), keys, fracs)
+
+
+def registered_metrics(wide: DataFrame, keys: Sequence[str], fracs: Sequence[float]) -> DataFrame:
+    """Every registered metric from a frame with ``k_i`` and ``events_i`` per fraction."""
     tops = []
     for i, f in enumerate(fracs):
         pct = round(f * 100)
@@ -294,7 +298,11 @@ def evaluate_predictions(
 ) -> DataFrame:
     """Base metrics and the precision of the top 5, 10 and 20 percent."""
     limits = frac_limits(SUBGROUP_FRACS) if limits is None else list(limits)
-    wide = ranking_frame(df, keys, limits, weight=weight, clip=clip)
+    return evaluated_metrics(ranking_frame(df, keys, limits, weight=weight, clip=clip), keys, limits)
+
+
+def evaluated_metrics(wide: DataFrame, keys: Sequence[str], limits: Sequence[Limit]) -> DataFrame:
+    """Base metrics and precisions from a frame with ``k_i`` and ``events_i`` per limit."""
     return wide.select(
         *keys,
         "n",

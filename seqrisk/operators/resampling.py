@@ -1,12 +1,9 @@
 """Paired bootstrap over rows or subjects, for any number of comparisons at once.
 
-A draw gives each unit an integer weight instead of copying rows; metrics are then evaluated with
-weights. Draw ``j`` of replicate ``b`` picks unit ``hash(seed, comparison, b, j) % n``: each replicate
-is a sample of size n with replacement, repeatable on any cluster. The draws are made by the units
-themselves (each unit makes one draw per replicate), so they are as spread out as the data.
-
-A unit's replicates are collected into one array (about as many entries as replicates), which means
-one join between units and rows rather than one per replicate. Replicate 0 is the observed data.
+A draw gives each unit an integer weight instead of copying rows: n draws with replacement from the n units of a
+comparison, repeatable on any cluster. A unit's weights in all replicates are one byte string, a row meets them in
+one join and is ordered once, and the metrics of all replicates are evaluated together (``plans.replicates``).
+Replicate 0 is the observed data.
 """
 
 from __future__ import annotations
@@ -16,20 +13,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqrisk.functions.scalars import subgroup_label
+from seqrisk.functions.scalars import EPS, clip_prob, subgroup_label
 from seqrisk.operators.joins import paired_variants, require_rows
 from seqrisk.operators.ranking import (
     BASE_METRICS,
     LOWER_IS_BETTER,
     Limit,
+    evaluated_metrics,
     frac_limits,
-    metrics_by_group,
     percent_limits,
-    evaluate_predictions,
+    registered_metrics,
     unpivot_metrics,
 )
-from seqrisk.plans.joins import local_table, lookup_join, stored, wide_partitions
-from seqrisk.plans.ordered import GROUP, dense_index, group_struct, hash_text, never_null, ungroup
+from seqrisk.plans.joins import local_table, lookup_join, stored
+from seqrisk.plans.ordered import GROUP, dense_index, group_struct, hash_text, never_null
+from seqrisk.plans.replicates import drawn_units, replicate_metrics, unit_vectors
 from seqrisk.schemas import ENSEMBLE_SEED, default_columns
 
 PAIR_METRICS = BASE_METRICS + ["top_5pct_precision", "top_10pct_precision", "top_20pct_precision"]
@@ -40,50 +38,37 @@ def _key_text(keys: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.col(GROUP)[k].cast("string") for k in keys]) if keys else F.lit("")
 
 
+def _units(df: DataFrame, keys: Sequence[str], unit: str, names: DataFrame | None = None) -> DataFrame:
+    """(_g, _u, _i, _i__n, _name): the units of each comparison, numbered in hash order.
+
+    The text that seeds a comparison is its keys, or the ``_name`` that ``names`` (one row per comparison) gives its number.
+    """
+    units = df.select(group_struct(keys).alias(GROUP), F.col(unit).alias("_u")).distinct()
+    place = hash_text(F.col("_u"))
+    indexed = dense_index(
+        units, [F.col("_u")], never_null(F.substring(place, 1, 3), F.lit("")), "_i"
+    )
+    if names is None:
+        return indexed.select(GROUP, "_u", "_i", "_i__n", _key_text(keys).alias("_name"))
+    return lookup_join(indexed.select(GROUP, "_u", "_i", "_i__n"), names, [GROUP], at_hand=True)
+
+
 def draw_weights(
     df: DataFrame,
     keys: Sequence[str],
     unit: str,
     n_draws: int,
     seed: int,
-    names: DataFrame | None = None,
 ) -> DataFrame:
     """(_g, unit, draws): how often each unit of a comparison is drawn in each replicate.
 
-    ``draws`` is array<struct<draw, w>> and starts with replicate 0, weight 1. The text that seeds a
-    comparison is its keys, or the ``_name`` that ``names`` (one row per comparison) gives its number.
+    ``draws`` is array<struct<draw, w>> without the replicates that leave the unit out, and starts with replicate 0, weight 1.
     """
-    units = df.select(group_struct(keys).alias(GROUP), F.col(unit).alias("_u")).distinct()
-    place = hash_text(F.col("_u"))
-    indexed = dense_index(
-        units, [F.col("_u")], never_null(F.substring(place, 1, 3), F.lit("")), "_i"
-    )
-    if names is None:
-        named = indexed.select(GROUP, "_i", "_i__n", _key_text(keys).alias("_name"))
-    else:
-        named = lookup_join(indexed.select(GROUP, "_i", "_i__n"), names, [GROUP], at_hand=True)
-    # Units are few bytes but many draws: a fixed partition count keeps adaptive execution from
-    # merging them into a handful of tasks by size.
-    spread = named.repartition(wide_partitions(df), GROUP, "_i")
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("_name"), F.col("_b"), F.col("_i"))
-    pick = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.col("_i__n")
-    drawn = spread.select(
-        "*", F.explode(F.sequence(F.lit(1), F.lit(n_draws))).alias("_b")
-    ).select(GROUP, pick.alias("_i"), "_b")
-    # One exchange on the drawn unit serves both the count per replicate and the array.
-    per_unit = (
-        drawn.repartition(GROUP, "_i")
-        .groupBy(GROUP, "_i", "_b")
-        .agg(F.count(F.lit(1)).alias("_w"))
-        .groupBy(GROUP, "_i")
-        .agg(F.collect_list(F.struct(F.col("_b").alias("draw"), F.col("_w").alias("w"))).alias("_d"))
-    )
-    observed = F.array(F.struct(F.lit(0).alias("draw"), F.lit(1).cast("long").alias("w")))
-    empty = F.slice(observed, 1, 0)
-    # The arrays are far larger than their estimate, so neither join may turn into a broadcast.
-    return indexed.join(per_unit.hint("merge"), [GROUP, "_i"], "left").select(
-        GROUP, "_u", F.concat(observed, F.coalesce("_d", empty)).alias("draws")
-    )
+    vectors = unit_vectors(_units(df, keys, unit), n_draws, seed)
+    digits = F.transform(F.sequence(F.lit(0), F.lit(n_draws)), lambda b: F.struct(
+        b.alias("draw"), F.conv(F.substring(F.hex("_w"), 2 * b + 1, 2), 16, 10).cast("long").alias("w")
+    ))
+    return vectors.select(GROUP, "_u", F.filter(digits, lambda d: d["w"] > 0).alias("draws"))
 
 
 def _numbered(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -111,31 +96,48 @@ def _renamed(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return joined.select(*[F.col("_keys")[k].alias(k) for k in keys], *rest)
 
 
-def _weighted_rows(
-    rows: DataFrame, table: DataFrame, keys: Sequence[str], unit: str, n_draws: int, seed: int
-) -> DataFrame:
-    """Numbered rows times the replicates they take part in: adds ``draw`` and ``w``."""
+def _vectors(rows: DataFrame, table: DataFrame, keys: Sequence[str], unit: str, n_draws: int, seed: int) -> DataFrame:
+    """(_g, _u, _w), stored: a byte per replicate for every unit of the numbered comparisons."""
     names = table.select(
         F.struct("_k").alias(GROUP),
         F.concat_ws("|", *[F.col("_keys")[k].cast("string") for k in keys]).alias("_name"),
     )
-    weights = stored(draw_weights(rows, ["_k"], unit, n_draws, seed, names))
-    keyed = rows.withColumn(GROUP, F.struct("_k")).withColumn("_u", F.col(unit))
-    joined = keyed.join(weights.hint("merge"), [GROUP, "_u"])
-    return joined.select(*[c for c in rows.columns if c != unit or unit == "row_id"], F.inline("draws"))
+    return stored(unit_vectors(_units(rows, ["_k"], unit, names), n_draws, seed))
 
 
-def _metric_table(
-    rows: DataFrame, keys: Sequence[str], limits: Sequence[Limit] | None, fracs: Sequence[float] | None
+def _replicates(
+    rows: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str],
+    unit: str,
+    n_draws: int,
+    seed: int,
+    scores: Sequence[str],
+    limits: Sequence[Limit] | None,
+    fracs: Sequence[float] | None,
 ) -> tuple[DataFrame, list[str]]:
-    """Per key and replicate: every metric, on clipped scores when limits are named in percent."""
-    by = [*keys, "draw"]
-    if fracs is not None:
-        wide = metrics_by_group(rows, by, fracs, weight="w")
-    else:
-        wide = evaluate_predictions(rows, by, limits=limits, weight="w", clip=True)
-    names = [c for c in wide.columns if c not in {*by, "n", "n_positive", "event_rate"}]
-    return wide, names
+    """Per comparison, side (the place in ``scores``) and replicate: every metric, and the metrics' names.
+
+    On clipped scores when limits are named in percent. A row meets its unit's weights once, by a merge that
+    adaptive execution splits where a unit is hot.
+    """
+    clip = fracs is None
+    limits = frac_limits(fracs) if limits is None else list(limits)
+    keyed = rows.withColumn(GROUP, F.struct("_k")).withColumn("_u", F.col(unit))
+    joined = keyed.join(_vectors(rows, table, keys, unit, n_draws, seed).hint("merge"), [GROUP, "_u"])
+
+    def score(name: str) -> Column:
+        absent = F.raise_error(F.lit(f"{name} is NULL")).cast("double")
+        known = F.coalesce(F.col(name).cast("double"), absent)
+        return (clip_prob(known) if clip else known).alias("_s")
+
+    sides = F.inline(F.array(*[F.struct(F.lit(n).alias("side"), score(name)) for n, name in enumerate(scores)]))
+    stacked = joined.select("_k", "row_id", F.col("y_true").cast("int").alias("_y"), "_w", sides)
+    order = [F.col("_k"), F.col("side"), F.desc("_s"), hash_text(F.col("row_id")), F.col("row_id")]
+    by = ["_k", "side", "draw"]
+    wide = replicate_metrics(stacked, order, n_draws, [(x.frac, x.pct) for x in limits], EPS)
+    wide = evaluated_metrics(wide, by, limits) if clip else registered_metrics(wide, by, fracs)
+    return wide, [c for c in wide.columns if c not in {*by, "n", "n_positive", "event_rate"}]
 
 
 def resampled_pairs(
@@ -152,24 +154,16 @@ def resampled_pairs(
     plain, table = _numbered(
         paired.select(*keys, "row_id", "y_true", "risk_a", "risk_b", *({unit} - {"row_id"})), keys
     )
-    rows = _weighted_rows(plain, table, keys, unit, n_draws, seed)
-    sides = F.inline(
-        F.array(
-            F.struct(F.lit("a").alias("side"), F.col("risk_a").alias("risk")),
-            F.struct(F.lit("b").alias("side"), F.col("risk_b").alias("risk")),
-        )
-    )
-    stacked = rows.select("_k", "row_id", "y_true", "draw", "w", sides)
-    wide, names = _metric_table(stacked, ["_k", "side"], limits, fracs)
+    wide, names = _replicates(plain, table, keys, unit, n_draws, seed, ["risk_a", "risk_b"], limits, fracs)
 
-    def of(side: str, name: str) -> Column:
+    def of(side: int, name: str) -> Column:
         return F.max(F.when(F.col("side") == side, F.col(name)))
 
     both = wide.groupBy("_k", "draw").agg(
         F.max("n").alias("n"),
         F.max("n_positive").alias("n_positive"),
-        *[of("a", m).alias(f"a_{m}") for m in names],
-        *[of("b", m).alias(f"b_{m}") for m in names],
+        *[of(0, m).alias(f"a_{m}") for m in names],
+        *[of(1, m).alias(f"b_{m}") for m in names],
     )
     each = F.inline(
         F.array(
@@ -291,8 +285,7 @@ def patient_bootstrap_ci(
 ) -> DataFrame:
     """Observed value and bootstrap interval of every registered metric per key."""
     plain, table = _numbered(df.select(*keys, "row_id", "y_true", "risk", *({unit} - {"row_id"})), keys)
-    rows = _weighted_rows(plain, table, keys, unit, n_draws, seed)
-    wide, names = _metric_table(rows, ["_k"], None, fracs)
+    wide, names = _replicates(plain, table, keys, unit, n_draws, seed, ["risk"], None, fracs)
     long = _renamed(
         unpivot_metrics(wide.select("_k", "draw", *names), ["_k", "draw"], names), table, keys
     )
@@ -450,12 +443,16 @@ def fusion_samples(paired: DataFrame, *, n_draws: int = 2000, seed: int = 42) ->
 
 def fusion_sample_units(paired: DataFrame, *, n_draws: int = 2000, seed: int = 42) -> DataFrame:
     """Per replicate: subjects drawn, and how many different ones."""
-    weights = draw_weights(_seeded(paired), FUSION_KEYS, "subject_id", n_draws, seed)
-    drawn = weights.select(GROUP, F.inline("draws"))
-    out = drawn.groupBy(GROUP, F.col("draw").alias("bootstrap_id")).agg(
-        F.sum("w").alias("n_subjects_sampled"), F.count(F.lit(1)).alias("n_unique_subjects_sampled")
+    plain, table = _numbered(_seeded(paired).select(*FUSION_KEYS, "subject_id"), FUSION_KEYS)
+    vectors = _vectors(plain, table, FUSION_KEYS, "subject_id", n_draws, seed)
+    drawn = drawn_units(vectors.select(F.col(GROUP)["_k"].alias("_k"), "_w"), "_k", n_draws)
+    out = drawn.select(
+        "_k",
+        F.col("draw").alias("bootstrap_id"),
+        F.col("n_sampled").alias("n_subjects_sampled"),
+        F.col("n_unique").alias("n_unique_subjects_sampled"),
     )
-    return ungroup(out, FUSION_KEYS)
+    return _renamed(out, table, FUSION_KEYS)
 
 
 def fusion_summary(samples: DataFrame, paired: DataFrame, n_draws: int) -> DataFrame:

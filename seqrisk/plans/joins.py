@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from seqrisk.session import ensure_checkpoint_dir
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def lookup_join(
@@ -27,14 +28,28 @@ def lookup_join(
 ) -> DataFrame:
     """Join a code-sized table.
 
-    The table is stored, so that what it is derived from runs once, and its rows are counted, never
-    past the limit. Within it the table is broadcast and the fact rows stay where they are; past it
-    both sides are shuffled and merged, and adaptive execution splits hot keys. ``at_hand`` says that
-    reading the table twice is cheap (a file, a stored table, a local list).
+    The table is stored, so that what it is derived from runs once, and its rows and their bytes are added up,
+    never past the limit of rows. Within ``max_rows`` and ``BROADCAST_BYTES`` the table is broadcast and the fact rows
+    stay where they are; past either both sides are shuffled and merged, and adaptive execution splits hot keys.
+    ``at_hand`` says that reading the table twice is cheap (a file, a stored table, a local list).
     """
     table = table if at_hand else stored(table)
-    rows = table.limit(max_rows + 1).count()
-    return big.join(F.broadcast(table) if rows <= max_rows else table.hint("merge"), on, how)
+    long = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in table.schema.fields), F.lit(0))
+    seen = table.select(long.cast("long").alias("_bytes")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("_bytes")).first()
+    small = seen[0] <= max_rows and (seen[1] or 0) <= BROADCAST_BYTES
+    return big.join(F.broadcast(table) if small else table.hint("merge"), on, how)
+
+
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes; entries of arrays and maps count by their fixed width."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType | T.MapType):
+        each = len(kind.elementType.fields) if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) else 2
+        return F.coalesce(F.size(c), F.lit(0)) * (8 * each) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(c.getField(f.name), f.dataType) for f in kind.fields), F.lit(8))
+    return F.lit(8)
 
 
 def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
