@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from catalog import views as V
 from catalog.registry import query
 from seqrisk.operators import features as W
+from seqrisk.operators import joins as J
 from seqrisk.operators import models as L
 from seqrisk.operators.summary import ensemble_base_scores
 
-ARRAYS = {"seq_emb": ("seq_emb__", 4), "numseq_emb": ("numseq_emb__", 3)}
+ARRAYS = {"seq_emb": ("seq_emb__", V.WIDTH), "numseq_emb": ("numseq_emb__", V.WIDTH)}
+SEEDS = (42, 43)
 
 
 def _features(spark, sf_dir):
@@ -18,19 +20,16 @@ def _features(spark, sf_dir):
     return df, [c for c in W.feature_columns(df) if c not in ("empty", "constant")]
 
 
-# Fewer rounds and trees than the defaults keep a trial run short.
 @query("gbt_scores")
 def gbt_scores(spark, sf_dir):
     df, columns = _features(spark, sf_dir)
-    config = {**L.TABULAR_MODELS["HistGradientBoosting"], "rounds": 5, "depth": 3}
-    return L.tabular_scores(df, config, 42, columns)
+    return L.tabular_scores(df, "HistGradientBoosting", 42, columns)
 
 
 @query("rf_scores")
 def rf_scores(spark, sf_dir):
     df, columns = _features(spark, sf_dir)
-    config = {**L.TABULAR_MODELS["RandomForest_balanced"], "trees": 20, "depth": 5}
-    return L.tabular_scores(df, config, 42, columns)
+    return L.tabular_scores(df, "RandomForest_balanced", 42, columns)
 
 
 @query("logreg_scores")
@@ -58,17 +57,28 @@ def score_fusion(spark, sf_dir):
     return L.score_fusion(base.unionByName(ensemble_base_scores(base)), "logit", balanced=True)
 
 
+def _fusion_features(spark, sf_dir):
+    """Every seed, and the ensemble of the seeds under -1."""
+    single = V.embedding_features(spark, sf_dir, SEEDS)
+    tabs = [c for c in single.columns if c.startswith(W.PREFIXES["tabular"])]
+    ensemble = J.ensemble_features(single, tabs, {name: size for name, (_, size) in ARRAYS.items()})
+    return single.unionByName(ensemble), [*SEEDS, -1]
+
+
 @query("embedding_fusion")
 def embedding_fusion(spark, sf_dir):
-    return L.embedding_fusion(V.embedding_features(spark, sf_dir), ARRAYS, ["vectors"], [42], c=0.1)
+    df, seeds = _fusion_features(spark, sf_dir)
+    return L.embedding_fusion(df, ARRAYS, ["vectors"], seeds, c=0.1)
 
 
 @query("meta_model_sweep")
 def meta_model_sweep(spark, sf_dir):
-    models = {
-        **L.select_meta_models(["lr_l2_C1"]),
-        "histgb_small": {**L.META_MODELS["histgb_small"], "rounds": 3, "depth": 3},
-        "rf_small": {**L.META_MODELS["rf_small"], "trees": 10},
-    }
-    variants = {v: W.FEATURE_VARIANTS[v] for v in ("tabular_features_only", "tabular_plus_sequence_numeric_embeddings")}
-    return L.meta_model_sweep(V.embedding_features(spark, sf_dir), ARRAYS, ["vectors"], [42], models, variants)
+    """All models, variants and seeds."""
+    df, seeds = _fusion_features(spark, sf_dir)
+    return L.meta_model_sweep(df, ARRAYS, ["vectors"], seeds)
+
+
+@query("embedding_fusion_metrics")
+def embedding_fusion_metrics(spark, sf_dir):
+    """Held-out metrics of every fit of the fusion, with what it was fitted on."""
+    return L.fusion_metrics(embedding_fusion(spark, sf_dir))

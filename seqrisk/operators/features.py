@@ -95,6 +95,16 @@ def usable_columns(train: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if c in usable]
 
 
+def usable_places(train: DataFrame, column: str) -> list[int]:
+    """``usable_columns`` for the places of an array of clean numbers; entries are counted map-side."""
+    each = train.select(F.posexplode(column).alias("place", "v")).groupBy("place")
+    rows = each.agg(F.count("v").alias("n"), F.stddev_pop("v").alias("std")).where((F.col("n") > 0) & (F.col("std") > MIN_STD))
+    found = sorted(r["place"] for r in rows.collect())
+    if not found:
+        raise ValueError("No usable feature columns after dropping empty and constant columns")
+    return found
+
+
 def balanced_weights(df: DataFrame, keys: Sequence[str] = (), label: str = "y_true") -> DataFrame:
     """Per group: class counts (at least 1) and the weight of each class.
 

@@ -1,6 +1,6 @@
 """Models on feature tables.
 
-Large fits (trees, wide logistic regression) are MLlib estimators. The many small fits of calibration
+Trees are histogram trees (``operators.trees``), wide logistic regressions MLlib estimators. The many small fits of calibration
 and score fusion, one per (task, model, seed, …) on one or two scores, are solved together: every
 Newton step is one grouped aggregation over all of them.
 """
@@ -14,23 +14,25 @@ from itertools import product
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqrisk.functions.scalars import logit, safe_float, score_transform
-from seqrisk.operators.features import FEATURE_VARIANTS, PREFIXES, balanced_weights, usable_columns
+from seqrisk.operators.features import FEATURE_VARIANTS, PREFIXES, balanced_weights, usable_places
 from seqrisk.operators.filters import union_tables
+from seqrisk.operators.ranking import evaluate_predictions
+from seqrisk.operators.newton import fit_logistic
+from seqrisk.operators.trees import CELLS, fit_trees, tree_risk
 from seqrisk.plans.joins import local_table, stored
-from seqrisk.plans.ordered import GROUP, exact_quantiles, group_struct
+from seqrisk.plans.ordered import GROUP, group_struct
+from seqrisk.plans.selection import array_quantiles
 
-# Tabular models and meta models by name. The boosted trees keep the names that configurations
-# and result tables match on; the learner behind them here is MLlib's, so their numbers are other ones.
+# Tabular models and meta models by name.
 TABULAR_MODELS = {
-    "HistGradientBoosting": {"kind": "boosted", "rate": 0.05, "rounds": 200, "depth": 5, "leaf": 20, "balanced": True},
+    "HistGradientBoosting": {"kind": "boosted", "rate": 0.05, "rounds": 200, "leaves": 31, "leaf": 20, "l2": 0.1, "balanced": True},
     "RandomForest_balanced": {"kind": "forest", "trees": 400, "depth": 12, "leaf": 10, "balanced": True},
     "LogisticRegression_balanced": {"kind": "logreg", "C": 1.0, "fill": 0.0, "balanced": True},
 }
@@ -39,9 +41,9 @@ META_MODELS = {
     "lr_l2_C003": {"kind": "logreg", "C": 0.03},
     "lr_l2_C01": {"kind": "logreg", "C": 0.1},
     "lr_l2_C1": {"kind": "logreg", "C": 1.0},
-    "histgb_small": {"kind": "boosted", "rate": 0.05, "rounds": 100, "depth": 4, "leaf": 30},
-    "histgb_medium": {"kind": "boosted", "rate": 0.05, "rounds": 200, "depth": 5, "leaf": 20},
-    "rf_small": {"kind": "forest", "trees": 300, "depth": 6, "leaf": 20},
+    "histgb_small": {"kind": "boosted", "rate": 0.05, "rounds": 100, "leaves": 15, "leaf": 30, "l2": 0.1},
+    "histgb_medium": {"kind": "boosted", "rate": 0.05, "rounds": 200, "leaves": 31, "leaf": 20, "l2": 0.1},
+    "rf_small": {"kind": "forest", "trees": 300, "depth": 6, "leaf": 20, "fill": "median"},
 }
 SCORE_VARIANTS = {
     "tabular_only": ["p_tabular"],
@@ -56,50 +58,67 @@ ROW = ["row_id", "subject_id", "y_true"]
 MAX_FITS = 100_000
 
 
-# ---------------------------------------------------------------- one MLlib fit
+# ---------------------------------------------------------------- one large fit
 
 
-def _estimator(config: Mapping, seed: int, n_rows: int, weight_sum: float):
-    common = {"featuresCol": "features", "labelCol": "y_true", "weightCol": "_weight"}
-    kind = config["kind"]
-    if kind == "boosted":
-        return GBTClassifier(
-            stepSize=config["rate"],
-            maxIter=config["rounds"],
-            maxDepth=config["depth"],
-            minInstancesPerNode=config["leaf"],
-            seed=seed,
-            **common,
-        )
-    if kind == "forest":
-        return RandomForestClassifier(
-            numTrees=config["trees"],
-            maxDepth=config["depth"],
-            minInstancesPerNode=config["leaf"],
-            featureSubsetStrategy="sqrt",
-            seed=seed,
-            **common,
-        )
-    if kind == "logreg":
-        # MLlib averages the loss and scales by the sample deviation; the penalty makes up for both.
-        scaled = (n_rows - 1) / n_rows if n_rows > 1 else 1.0
-        return LogisticRegression(
-            regParam=scaled / (config["C"] * weight_sum),
-            standardization=False,
-            maxIter=config.get("max_iter", 500),
-            tol=1e-9,
-            **common,
-        )
-    raise ValueError(f"Unknown model kind: {kind}")
+#: The features of a row as one array, NULL where a number is missing.
+X = "_x"
+
+
+def packed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The feature columns as the array ``_x``."""
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, F.array(*[safe_float(c) for c in columns]).alias(X))
 
 
 def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Exact medians of many columns from one plan; one number per column is read back."""
-    long = df.select(*[safe_float(c).alias(c) for c in columns]).unpivot(
-        [], list(columns), "feature", "value"
+    """Exact medians of many columns; columns without a number have none."""
+    found = array_quantiles(packed(df.select(*columns), columns), X, len(columns), 0.5)
+    return {c: m for c, m in zip(columns, found) if m is not None}
+
+
+def _spread_logistic(train: DataFrame, columns: Sequence[str], c: float, weight: Column, n_rows: int) -> tuple[float, np.ndarray]:
+    """Intercept and factors of an L2 logistic regression on standardised columns, over rows in many tasks."""
+    # MLlib averages the loss and scales by the sample deviation; the penalty makes up for both.
+    scaled = (n_rows - 1) / n_rows if n_rows > 1 else 1.0
+    learner = LogisticRegression(
+        regParam=scaled / (c * float(n_rows)),
+        standardization=False,
+        maxIter=500,
+        tol=1e-9,
+        featuresCol="features",
+        labelCol="y_true",
+        weightCol="_weight",
     )
-    medians = exact_quantiles(long, ["feature"], "value", {"median": 0.5})
-    return {r["feature"]: r["median"] for r in medians.collect()}
+    stages = [
+        VectorAssembler(inputCols=list(columns), outputCol="_raw"),
+        StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
+        learner,
+    ]
+    rows = train.withColumn("_weight", weight).withColumn("y_true", F.col("y_true").cast("double"))
+    _, scaler, fitted = Pipeline(stages=stages).fit(rows).stages
+    # The fitted model holds its training summary and with it the session, which must not travel to the executors.
+    deviation, mean = scaler.std.toArray(), scaler.mean.toArray()
+    factors = np.divide(fitted.coefficients.toArray(), deviation, out=np.zeros(len(deviation)), where=deviation > 0)
+    return float(fitted.intercept - factors @ mean), factors
+
+
+def _numbers(values: Sequence[float]) -> Column:
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
+def _logistic_risk(others: DataFrame, use: Sequence[int], fill: Sequence[float], start: float, factors: np.ndarray) -> DataFrame:
+    """Scores as plain column expressions."""
+    x = F.transform(_positions(use), lambda i: F.get(X, i))
+    known = F.zip_with(x, _numbers(fill), lambda v, m: F.coalesce(v, m))
+    parts = F.zip_with(known, _numbers(factors), lambda v, f: v * f)
+    raw = F.aggregate(parts, F.lit(start), lambda total, v: total + v)
+    keep = [c for c in others.columns if c != X]
+    return others.select(*keep, (1 / (1 + F.exp(-raw))).alias("risk"))
+
+
+def _positions(use: Sequence[int]) -> Column:
+    return F.expr("array(" + ", ".join(map(str, use)) + ")")
 
 
 def fit_predict(
@@ -110,41 +129,54 @@ def fit_predict(
     seed: int,
     balanced: bool = False,
     fill: Mapping[str, float] | None = None,
+    cells: int = CELLS,
 ) -> DataFrame:
     """Train on ``train`` and return ``others`` without the features but with ``risk``.
 
-    Both carry ``y_true`` and the feature columns. Missing numbers take the training median unless
-    fill values are given, because the tree learners do not accept missing values.
+    Both carry ``row_id``, ``y_true`` and the feature columns. Trees take missing numbers as they are, unless their ``fill``
+    says otherwise; elsewhere these take the training median or the fill values that are given. Forests balance the classes per tree.
+    A training table of up to ``cells`` numbers is fitted inside a task, a larger one stays spread out.
     """
     columns = list(columns)
-    fill = column_medians(train, columns) if fill is None else fill
-    n_rows = train.count()
-    if balanced:
-        weights = balanced_weights(train).first()
-        weight = F.when(F.col("y_true") == 1, F.lit(weights["weight_pos"])).otherwise(
-            F.lit(weights["weight_neg"])
-        )
-    else:
-        weight = F.lit(1.0)
+    fills = None if fill is None else [fill.get(c) for c in columns]
+    return fit_packed(packed(train, columns), packed(others, columns), range(len(columns)), config, seed, balanced, fills, cells=cells)
 
-    def prepared(df: DataFrame) -> DataFrame:
-        keep = [c for c in df.columns if c not in columns]
-        return df.select(
-            *keep, *[F.coalesce(safe_float(c), F.lit(float(fill.get(c) or 0.0))).alias(c) for c in columns]
-        )
 
-    stages = [VectorAssembler(inputCols=columns, outputCol="_raw")]
-    if config["kind"] == "logreg":
-        stages.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True))
+def fit_packed(
+    train: DataFrame,
+    others: DataFrame,
+    use: Sequence[int],
+    config: Mapping,
+    seed: int,
+    balanced: bool = False,
+    fill: Sequence[float | None] | None = None,
+    n_rows: int | None = None,
+    cells: int = CELLS,
+) -> DataFrame:
+    """``fit_predict`` on the places ``use`` of the array ``_x``; ``fill`` has a value per place that is used."""
+    kind, use = config["kind"], list(use)
+    if kind not in ("boosted", "forest", "logreg"):
+        raise ValueError(f"Unknown model kind: {kind}")
+    fills = None
+    if kind == "logreg" or "fill" in config:
+        if fill is None:
+            medians = array_quantiles(train, X, max(use) + 1, 0.5)
+            fill = [medians[i] for i in use]
+        fills = [float(v or 0.0) for v in fill]
+    weight = F.lit(1.0)
+    if balanced and kind != "forest":
+        weights = balanced_weights(train).first()
+        weight = F.when(F.col("y_true") == 1, F.lit(weights["weight_pos"])).otherwise(F.lit(weights["weight_neg"]))
+    n_rows = train.count() if n_rows is None else n_rows
+    if kind != "logreg":
+        return tree_risk(others, X, use, fit_trees(train, X, use, config, seed, balanced, weight, fills, n_rows, cells), fills)
+    if n_rows * len(use) <= cells:
+        found = fit_logistic(train, X, use, fills, config["C"], weight)
     else:
-        stages[0].setOutputCol("features")
-    stages.append(_estimator(config, seed, n_rows, float(n_rows)))
-    model = Pipeline(stages=stages).fit(
-        prepared(train).withColumn("_weight", weight).withColumn("y_true", F.col("y_true").cast("double"))
-    )
-    keep = [c for c in others.columns if c not in columns]
-    scored = model.transform(prepared(others))
-    return scored.select(*keep, vector_to_array("probability")[1].alias("risk"))
+        columns = [f"_{i}" for i in use]
+        wide = train.select("y_true", *[F.coalesce(F.get(X, F.lit(i)), F.lit(m)).alias(c) for i, m, c in zip(use, fills, columns)])
+        found = _spread_logistic(wide, columns, config["C"], weight, n_rows)
+    return _logistic_risk(others, use, fills, *found)
 
 
 def tabular_scores(
@@ -357,17 +389,14 @@ def score_fusion(
 # ---------------------------------------------------------------- wide fusion
 
 
-def _spread_features(features: DataFrame, arrays: Mapping[str, tuple[str, int]]) -> DataFrame:
-    """Embedding arrays to prefixed columns."""
-    rest = [c for c in features.columns if c not in arrays]
-    return features.select(
-        *rest,
-        *[
-            F.get(name, i).cast("double").alias(f"{prefix}{i:04d}")
-            for name, (prefix, size) in arrays.items()
-            for i in range(size)
-        ],
-    )
+def _packed_features(features: DataFrame, arrays: Mapping[str, tuple[str, int]]) -> tuple[DataFrame, list[str]]:
+    """Ids with all features in the array ``_x``, and the features' names: ``tab__`` columns, then the prefixed embeddings."""
+    tabular = [c for c in features.columns if c.startswith(PREFIXES["tabular"])]
+    names = tabular + [f"{prefix}{i:04d}" for prefix, size in arrays.values() for i in range(size)]
+    spread = [F.transform(_positions(range(size)), lambda i, name=name: F.get(name, i).cast("double")) for name, (_, size) in arrays.items()]
+    x = F.concat(F.array(*[F.col(c).cast("double") for c in tabular]), *spread) if tabular else F.concat(*spread)
+    ids = [c for c in features.columns if c not in arrays and c not in tabular]
+    return features.select(*ids, F.transform(x, lambda v: safe_float(v)).alias(X)), names
 
 
 def _run_all(jobs: Sequence[Callable[[], DataFrame]], parallelism: int) -> DataFrame:
@@ -384,41 +413,42 @@ def meta_model_sweep(
     models: Mapping[str, Mapping] = META_MODELS,
     variants: Mapping[str, Sequence[str]] = FEATURE_VARIANTS,
     balanced: bool = False,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Held-out risk of every meta model × feature variant × (task, seed), fitted on tuning.
 
     ``features`` has ``tab__`` columns and embedding arrays; ``arrays`` gives each array's column
     prefix and length. Usable columns and medians are found once per (task, seed).
     """
-    # Many fits read parts of this table; each scans only its rows and columns.
-    wide = stored(_spread_features(features, arrays))
+    # Many fits read parts of this table.
+    wide, names = _packed_features(features, arrays)
+    wide = stored(wide.select("task", "seed", "split", *ROW, X))
 
     def prepare(task: str, seed: int):
         part = wide.where((F.col("task") == task) & (F.col("seed") == seed))
         tuning = part.where(F.col("split") == "tuning")
         held = part.where(F.col("split") == "held_out")
-        columns = [c for c in wide.columns if "__" in c]
-        usable = usable_columns(tuning, columns)
+        usable = usable_places(tuning, X)
         if held.isEmpty():
             raise ValueError(f"Missing held_out rows for task={task}, seed={seed}")
-        return tuning, held, usable, column_medians(tuning, usable)
+        return tuning.select(*ROW, X), held.select(*ROW, X), usable, array_quantiles(tuning, X, len(names), 0.5), tuning.count()
 
     def fit(task, seed, ready, name, config, variant, groups) -> DataFrame:
-        tuning, held, usable, medians = ready
+        tuning, held, usable, medians, n_rows = ready
         prefixes = tuple(PREFIXES[g] for g in groups)
-        columns = [c for c in usable if c.startswith(prefixes)]
-        if not columns:
+        use = [i for i in usable if names[i].startswith(prefixes)]
+        if not use:
             raise ValueError(f"No columns resolved for groups={list(groups)}")
-        scored = fit_predict(
-            tuning.select(*ROW, *columns), held.select(*ROW, *columns), columns, config, seed, balanced, medians
-        )
+        scored = fit_packed(tuning, held, use, config, seed, balanced, [medians[i] for i in use], n_rows)
         return scored.select(
             F.lit(task).alias("task"),
             F.lit(seed).alias("seed"),
             F.lit(variant).alias("variant"),
             F.lit(name).alias("meta_model"),
-            F.lit(len(columns)).alias("n_features_used"),
+            F.lit(config["kind"]).alias("meta_model_kind"),
+            F.lit(",".join(groups)).alias("feature_groups"),
+            F.lit(sum(c.startswith(prefixes) for c in names)).alias("n_features_raw"),
+            F.lit(len(use)).alias("n_features_used"),
             *ROW,
             "risk",
         )
@@ -441,13 +471,19 @@ def embedding_fusion(
     c: float = 1.0,
     variants: Mapping[str, Sequence[str]] = FEATURE_VARIANTS,
     balanced: bool = False,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Every feature variant with one logistic regression."""
     models = {"logistic_regression": {"kind": "logreg", "C": c}}
     return meta_model_sweep(features, arrays, tasks, seeds, models, variants, balanced, parallelism)
 
 
+def fusion_metrics(scored: DataFrame) -> DataFrame:
+    """One row per fit of ``meta_model_sweep`` or ``embedding_fusion``: its metadata and its held-out metrics."""
+    fit = ["task", "seed", "variant", "feature_groups", "meta_model", "meta_model_kind", "n_features_raw", "n_features_used"]
+    return evaluate_predictions(scored, fit)
+
+
 def select_meta_models(names: Sequence[str]) -> dict[str, Mapping]:
     unknown = sorted(set(names) - set(META_MODELS))
     if unknown:

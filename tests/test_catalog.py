@@ -13,7 +13,7 @@ NAMES = [
     "remaining_after_dedup", "compress_versions", "compression_audit", "collect_sequence", "delta_days", "tail_truncate", "build_vocab",
     "choose_codes", "scan_predictions", "scan_with_source_file", "sink_tables", "sink_metadata", "parse_list_cell", "seeded_subsample",
     "topk_table", "metric_by_name", "subgroup_metrics", "seed_summary", "stability_summary", "high_repeat_group", "sequence_cost_summary",
-    "row_bootstrap", "paired_vs_baseline", "fusion_bootstrap", "usable_columns", "ensemble_features",
+    "align_to_baseline", "paired_join", "usable_columns", "ensemble_features",
 ]
 
 
@@ -34,13 +34,17 @@ def test_query(spark, duck, name):
     assert canonical(got).equals(canonical(want))
 
 
-def test_entry_is_a_query_and_only_fits_lack_sql(spark):
+def test_entry_is_a_query_and_only_fits_and_draws_lack_sql(spark):
     assert entry_module.entry(spark).columns == ["subject_id", "n_remaining"]
-    without = set(entry_module.QUERIES) - set(entry_module.ORACLE)
-    assert without == {"gbt_scores", "rf_scores", "logreg_scores", "platt", "score_fusion", "embedding_fusion", "meta_model_sweep"}
+    fits = {"gbt_scores", "rf_scores", "logreg_scores", "platt", "score_fusion", "embedding_fusion", "meta_model_sweep", "embedding_fusion_metrics"}
+    draws = {
+        "row_bootstrap", "cluster_bootstrap", "pairwise_comparisons", "format_delta_ci", "patient_bootstrap_ci", "paired_vs_baseline",
+        "paired_vs_baseline_by_subgroup", "fusion_bootstrap", "fusion_bootstrap_ensemble", "fusion_bootstrap_samples", "bootstrap_across_seeds",
+    }
+    assert set(entry_module.QUERIES) - set(entry_module.ORACLE) == fits | draws
 
 
-@pytest.mark.parametrize("name,keys", [("gbt_scores", 2), ("embedding_fusion", 6), ("meta_model_sweep", 6)])
+@pytest.mark.parametrize("name,keys", [("gbt_scores", 2), ("rf_scores", 2), ("embedding_fusion", 18), ("meta_model_sweep", 126)])
 def test_fits_score_every_row_once(spark, name, keys):
     out = entry_module.queries()[name](spark, SF_DIR)
     by = [c for c in ("task", "variant", "meta_model", "seed") if c in out.columns]

@@ -59,12 +59,13 @@ def test_one_class_is_an_error(spark):
         L.grouped_logistic(df, ["g"], "x", 1)
 
 
+@pytest.mark.parametrize("cells", [L.CELLS, 0])
 @pytest.mark.parametrize("balanced", [False, True])
-def test_wide_logistic_matches_direct_solution(spark, balanced):
+def test_wide_logistic_matches_direct_solution(spark, balanced, cells):
     x, y = data(4, 150, 3)
     rows = [(i, i, int(yi), *map(float, xi)) for i, (xi, yi) in enumerate(zip(x, y))]
     df = spark.createDataFrame(rows, "row_id long, subject_id long, y_true int, a double, b double, c double")
-    got = L.fit_predict(df, df, ["a", "b", "c"], {"kind": "logreg", "C": 0.5}, 1, balanced)
+    got = L.fit_predict(df, df, ["a", "b", "c"], {"kind": "logreg", "C": 0.5}, 1, balanced, cells=cells)
     s = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum())) if balanced else np.ones(len(y))
     z = (x - x.mean(0)) / x.std(0)
     beta = solve(z, y, s, 0.5)
