@@ -393,7 +393,11 @@ def _packed_features(features: DataFrame, arrays: Mapping[str, tuple[str, int]])
     """Ids with all features in the array ``_x``, and the features' names: ``tab__`` columns, then the prefixed embeddings."""
     tabular = [c for c in features.columns if c.startswith(PREFIXES["tabular"])]
     names = tabular + [f"{prefix}{i:04d}" for prefix, size in arrays.values() for i in range(size)]
-    spread = [F.transform(_positions(range(size)), lambda i, name=name: F.get(name, i).cast("double")) for name, (_, size) in arrays.items()]
+
+    def entries(name: str, size: int) -> Column:
+        return F.transform(_positions(range(size)), lambda i: F.get(name, i).cast("double"))
+
+    spread = [entries(name, size) for name, (_, size) in arrays.items()]
     x = F.concat(F.array(*[F.col(c).cast("double") for c in tabular]), *spread) if tabular else F.concat(*spread)
     ids = [c for c in features.columns if c not in arrays and c not in tabular]
     return features.select(*ids, F.transform(x, lambda v: safe_float(v)).alias(X)), names
