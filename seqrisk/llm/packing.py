@@ -27,8 +27,9 @@ SMALL = 8
 #: Groups of equal cardinality whose lengths are rounded up to one size.
 GROUPS = 64
 #: Part of each configuration's sequences that are filled by it. Real lengths that fit better than the
-#: rounded ones use up the stock unevenly; the rest is left to best fit, which evens it out.
-SHARE = 0.8
+#: rounded ones use up the stock unevenly; the rest is left to best fit, which evens it out. Of these plans the
+#: one with the fewest sequences is taken; 0 is best fit alone.
+SHARES = (0.8, 0.4, 0.0)
 #: Pre-tokens whose ids a Python worker keeps.
 CACHE = 100_000
 
@@ -38,8 +39,8 @@ class Encoder:
 
     Merges never leave a pre-token, so each distinct pre-token is encoded once and kept. Texts of Latin-1
     characters are cut by the tokenizer's own pattern, spelled out for those; any other text, and any
-    with unusual white space, is cut by the tokenizer. Marker strings of special tokens are ordinary text,
-    or with ``markers`` the tokens that the file names for them: the library's default.
+    with unusual white space, is cut by the tokenizer. Marker strings of special tokens are the tokens that the file
+    names for them, as in the library's default setting.
     """
 
     LATIN = re.compile(
@@ -49,11 +50,11 @@ class Encoder:
     )
     OTHER = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u0100-\U0010ffff]")
 
-    def __init__(self, path: str, markers: bool = False):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = whole = Tokenizer.from_file(path)
-        added = [t.content for t in whole.get_added_tokens_decoder().values()] if markers else []
+        added = [t.content for t in whole.get_added_tokens_decoder().values()]
         self.marker = re.compile("|".join(map(re.escape, added))) if added else None
         self.model, self.split = whole.model, whole.pre_tokenizer.pre_tokenize_str
         self.known: dict[str, bytes] = {}
@@ -86,7 +87,7 @@ class Encoder:
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, markers: bool = False
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False
 ) -> DataFrame:
     """Pieces of at most ``capacity`` tokens of each row: ``doc_id, piece, start, length, ids_crc32, _part, _nth``.
 
@@ -95,7 +96,7 @@ def token_pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, markers).encode
+        encode = Encoder(tokenizer).encode
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -162,13 +163,36 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     return [(basis[:, j].astype(int).tolist(), float(amounts[j])) for j in range(k) if cost[j] > 0 and amounts[j] > 0]
 
 
-def packing_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, share: float = SHARE) -> tuple[list[tuple], int]:
+def packing_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[list[tuple], int]:
     """Where the items of each length go: rows ``(length, first, last, sequence, offset)``, and the sequences.
 
     Items of a length are told apart by rank; ranks from ``first`` to before ``last`` lie one each in the
     sequences from ``sequence`` on, all at ``offset``. Input and output are as long as there are
-    lengths and runs of equal sequences, never as there are items.
+    lengths and runs of equal sequences, never as there are items. The best of the plans for ``SHARES``, so never
+    worse than best fit.
     """
+    # Large lengths, longest first, in groups of equal cardinality; each group has the size of its longest.
+    large = sorted(s for s, n in counts.items() if n and capacity // SMALL < s < capacity)
+    width = max(1, -(-sum(counts[s] for s in large) // groups))
+    sizes: list[int] = []
+    demand: list[int] = []
+    for s in reversed(large):
+        n = counts[s]
+        while n:
+            if not demand or demand[-1] == width:
+                sizes.append(s)
+                demand.append(0)
+            take = min(n, width - demand[-1])
+            demand[-1] += take
+            n -= take
+    solution = configurations(sizes, demand, capacity) if sizes else []
+    return min((_filled(counts, capacity, sizes, solution, share) for share in SHARES), key=lambda plan: plan[1])
+
+
+def _filled(
+    counts: dict[int, int], capacity: int, sizes: list[int], solution: list[tuple[list[int], float]], share: float
+) -> tuple[list[tuple], int]:
+    """The plan that fills a share of the solution's sequences with real lengths and leaves the rest to best fit."""
     left = {s: n for s, n in counts.items() if n}
     used = dict.fromkeys(left, 0)
     rows: list[tuple] = []
@@ -184,21 +208,8 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int =
         if n and room:
             runs.setdefault(room, []).append([sequence, n])
 
-    # Large lengths, longest first, in groups of equal cardinality; each group has the size of its longest.
     large = sorted(s for s in left if capacity // SMALL < s < capacity)
-    width = max(1, -(-sum(left[s] for s in large) // groups))
-    sizes: list[int] = []
-    demand: list[int] = []
-    for s in reversed(large):
-        n = left[s]
-        while n:
-            if not demand or demand[-1] == width:
-                sizes.append(s)
-                demand.append(0)
-            take = min(n, width - demand[-1])
-            demand[-1] += take
-            n -= take
-    for config, amount in sorted(configurations(sizes, demand, capacity), key=lambda x: -x[1]) if sizes else ():
+    for config, amount in sorted(solution, key=lambda x: -x[1]):
         times = int(amount * share)
         if not times:
             continue
@@ -274,12 +285,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
 
 
 def packed_sequences(
-    docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, markers: bool = False
+    docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``) per piece of ``docs`` (doc_id, text).
 
     Every row is packed on its own, also where ids or whole rows repeat. A NULL or empty text is the end
-    token alone; ``markers`` as in ``Encoder``; texts of any length are tokenised whole; NULL ids stay NULL; an empty table gives no rows;
+    token alone; texts of any length are tokenised whole; NULL ids stay NULL; an empty table gives no rows;
     other columns are ignored.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
@@ -288,4 +299,4 @@ def packed_sequences(
 
 @query("op4_linear_grouping_pack")
 def op4_linear_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_sequences(table(spark, sf_dir, "documents"), markers=True)
+    return packed_sequences(table(spark, sf_dir, "documents"))

@@ -13,9 +13,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def library():
-    whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
-    return whole
+    return Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=300, deadline=None)
@@ -55,6 +53,20 @@ def test_near_the_lower_bound():
     assert sequences <= 1.01 * sum(k * n for k, n in counts.items()) / 1024
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 100), st.integers(1, 200), max_size=40), st.integers(2, 20))
+def test_never_worse_than_best_fit(counts, groups):
+    """Against best fit decreasing, one item at a time."""
+    rooms = []
+    for length in sorted((k for k, n in counts.items() for _ in range(n)), reverse=True):
+        fitting = [r for r in rooms if r >= length]
+        room = min(fitting) if fitting else 100
+        if fitting:
+            rooms.remove(room)
+        rooms.append(room - length)
+    assert packing_plan(counts, capacity=100, groups=groups)[1] <= len(rooms)
+
+
 def test_pieces_of_all_documents(docs, no_docs):
     rows = packed_sequences(docs, with_ids=True).collect()
     pieces = defaultdict(list)
