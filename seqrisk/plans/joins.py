@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from seqrisk.session import ensure_checkpoint_dir
 
 BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def lookup_join(
