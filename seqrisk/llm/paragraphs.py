@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqrisk.llm.common import connected, give_back, small_batches, tidy
 from seqrisk.llm.registry import query, table
-from seqrisk.llm.runs import FEW, shared_runs, text_id
+from seqrisk.llm.runs import shared_runs, text_id
 from seqrisk.plans.joins import lookup_join, stored
 
 #: Words of the shortest paragraph (line) that counts as a passage.
@@ -272,7 +272,7 @@ def documents_without_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> Data
     lines = repeated_lines(docs, least).where("removed").select("doc_id", "node", F.lit(None).cast("struct<text_id:long,begin:long,end:long>").alias("run"))
     runs = shared_runs(docs.select("doc_id", "text")).where("removed").select("doc_id", F.lit(None).cast("long").alias("node"), F.struct("text_id", "begin", "end").alias("run"))
     per_doc = lines.unionByName(runs).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("node").alias("_gone"), F.collect_set("run").alias("_runs"))
-    joined = lookup_join(docs, per_doc, F.col("doc_id").eqNullSafe(F.col("_doc")), "left", max_rows=FEW)
+    joined = lookup_join(docs, per_doc, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     joined = joined.withColumn("_runs", F.filter("_runs", lambda r: r["text_id"] == text_id(F.col("text"))))
     cut = F.col("_gone").isNotNull()
     text = F.when(cut, without_passages(F.when(cut, F.col("text")), F.col("_gone"), F.col("_runs"), least)).otherwise(F.col("text"))

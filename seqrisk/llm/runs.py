@@ -18,8 +18,6 @@ from seqrisk.plans.joins import lookup_join, stored
 RUN = 50
 #: Words of an anchor: every window of ``RUN`` words picks the least of its ``RUN - GRAM + 1`` word groups.
 GRAM = 20
-#: Rows with arrays, and windows, that are broadcast at most.
-FEW = 50_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -144,7 +142,7 @@ def _pieces(blocks: DataFrame) -> DataFrame:
     )
     each = kinds.where("_several").select("anchor", "block", "first", "last", "nameless", F.posexplode("windows").alias("at", "window"))
     shared = _ends(each, "anchor", "window").where(_SHARED).select("anchor", "window", F.col("first").alias("keep_doc"))
-    held = lookup_join(each.select("anchor", "block", "at", "window"), shared, ["anchor", "window"], max_rows=FEW)
+    held = lookup_join(each.select("anchor", "block", "at", "window"), shared, ["anchor", "window"])
     island = F.col("at") - F.row_number().over(Window.partitionBy("anchor", "block", "keep_doc").orderBy("at"))
     part = held.withColumn("_island", island).groupBy("anchor", "block", "keep_doc", "_island").agg(
         F.min("at").alias("lo"), F.max("at").alias("hi"), F.min_by("window", "at").alias("head"), F.max_by("window", "at").alias("tail")
@@ -167,8 +165,8 @@ def shared_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
         F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text")
     ).agg(F.collect_set("anchor").alias("_anchors"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_id") == F.col("_text"))
-    blocks = stored(_blocks(lookup_join(_named(docs), wanted, same, max_rows=FEW), run, gram))
-    parts = lookup_join(blocks.drop("windows"), _pieces(blocks), ["anchor", "block"], max_rows=FEW).select(
+    blocks = stored(_blocks(lookup_join(_named(docs), wanted, same), run, gram))
+    parts = lookup_join(blocks.drop("windows"), _pieces(blocks), ["anchor", "block"]).select(
         "doc_id", "text_id", "keep_doc", (F.col("place") + F.col("lo")).alias("lo"), (F.col("place") + F.col("hi")).alias("hi"), "head", "tail",
         F.get("begins", "lo").alias("begin"), F.get("ends", "hi").alias("end"), F.get("lines", "lo").alias("line"),
     )
