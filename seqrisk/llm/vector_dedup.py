@@ -153,6 +153,10 @@ def _searcher(cosine: float, beam: int):
             _fold(label, q[found[:, 0]], c[found[:, 1]])
             if (label[sample[a]] == label[c[b]]).sum() >= RECALL * len(a):
                 break
+        else:  # the search does not do here: all pairs of the cell, which is bounded
+            for at in range(0, len(q), 512):
+                one, two = np.nonzero(unit[q[at : at + 512]] @ x.T >= cosine)
+                _fold(label, q[at + one], c[two])
         # Verification: all pairs of what the search has put together, query against owned candidate.
         links = np.zeros(len(node), np.int64)
         is_q, owned = np.zeros(len(node), bool), np.zeros(len(node), bool)
@@ -242,8 +246,15 @@ def _links(classes: DataFrame, cosine: float, margin: float, beam: int) -> DataF
 
 
 def _audit(classes: DataFrame, links: DataFrame, cosine: float) -> float:
-    """Share of the true links of a bounded sample of vectors that were found, by brute force in blocks."""
-    picked = classes.orderBy(F.xxhash64("node", F.lit(5))).limit(AUDIT).select("node", "grp", "unit").collect()
+    """Share of the true links of a bounded sample of vectors that were found, by brute force in blocks.
+
+    Half of the sample is any vectors, half such that have links: where links are rare, the first half alone would have none
+    to measure by.
+    """
+    linked = links.where(F.col("links") > 0).select("node").distinct()
+    own = classes.join(linked.orderBy(F.xxhash64("node", F.lit(5))).limit(AUDIT // 2).hint("broadcast"), "node", "left_semi")
+    some = classes.orderBy(F.xxhash64("node", F.lit(5))).limit(AUDIT // 2)
+    picked = some.select("node", "grp", "unit").unionByName(own.select("node", "grp", "unit")).dropDuplicates(["node"]).collect()
     by_grp: dict[str, tuple[list, np.ndarray]] = {}
     for r in picked:
         by_grp.setdefault(r["grp"], ([], []))[0].append(r["node"])
@@ -274,7 +285,8 @@ def vector_components(vectors: DataFrame, cosine: float = COSINE, recall: float
     graph, a class's lists of all shards are united, and each shard is searched from its medoids for all its
     members. What the searches put together is verified pair by pair in double precision. A link counts in the
     shard that owns the other end, so pairs are counted where they are found and not sent. Recall is audited by brute force, in each
-    cell and over all vectors; below the aim the search is run again with a wider overlap and beam.
+    cell (which is compared pair by pair if a wider beam does not help) and over all vectors; below the aim the search is run
+    again with a wider overlap and beam, and a recall that stays below it is an error.
 
     Vectors that are NULL, empty, zero or hold NULL or non-finite components, and those with a NULL label,
     link with nothing; neither do vectors of different length. Rows that repeat are rows; a NULL vec_id names no
@@ -296,8 +308,11 @@ def vector_components(vectors: DataFrame, cosine: float = COSINE, recall: float
     margin, beam = MARGIN, BEAM
     while True:
         links = _links(classes, cosine, margin, beam)
-        if _audit(classes, links, cosine) >= recall or margin > 2:
+        got = _audit(classes, links, cosine)
+        if got >= recall:
             break
+        if margin > 2:  # every vector has been to every shard
+            raise ValueError(f"only {got:.4f} of the audited links were found, {recall} are asked for")
         margin, beam = margin * 2, beam * 2
     roots = connected(links.select("node", "root"), "node", "root").withColumnRenamed("node", "_node")
     counts = links.groupBy(F.col("node").alias("_linked")).agg(F.sum("links").alias("links"))

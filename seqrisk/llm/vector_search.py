@@ -72,19 +72,24 @@ class Tree:
             todo += [(c, rows[own == n]) for n, c in enumerate(self.children[at]) if (own == n).any()]
         return out
 
-    def visited(self, q: np.ndarray, visits: int) -> list[list[int]]:
-        """First leaves of each query: the open node with the largest inner product is opened next."""
-        near = q @ np.array(self.centres).T
+    def visited(self, q: np.ndarray, visits: int, held: np.ndarray | None = None, least: int = 0) -> list[list[int]]:
+        """First leaves of each query: the open node with the largest inner product is opened next.
+
+        A query goes on beyond ``visits`` until its leaves hold ``least`` ids, given how many each leaf has (``held``).
+        Centres are scored where a node is opened.
+        """
+        centres = {at: np.array([self.centres[c] for c in self.children[at]]) for at in range(len(self.children)) if self.children[at]}
         out = []
-        for row in near.tolist():
-            heap, found = [(0.0, 0)], []
-            while heap and len(found) < visits:
+        for row in q:
+            heap, found, ids = [(0.0, 0)], [], 0
+            while heap and (len(found) < visits or ids < least):
                 _, at = heapq.heappop(heap)
                 if self.children[at]:
-                    for c in self.children[at]:
-                        heapq.heappush(heap, (-row[c], c))
+                    for near, c in zip((-(centres[at] @ row)).tolist(), self.children[at]):
+                        heapq.heappush(heap, (near, c))
                 else:
                     found.append(self.leaf[at])
+                    ids += int(held[self.leaf[at]]) if held is not None else 0
             out.append(found)
         return out
 
@@ -108,26 +113,27 @@ def _grown(vectors: DataFrame) -> tuple[Tree, int]:
 
 
 def _calibrated(index: DataFrame, queries: DataFrame, tree: Tree, k: int, recall: float) -> int:
-    """Leaf visits at which a bounded sample of queries finds ``recall`` of its true neighbours."""
+    """Leaf visits at which a bounded sample of queries finds ``recall`` of its true neighbours, itself not counted."""
     sample = queries.orderBy(F.xxhash64("query_id", F.lit(9)), "query_id").limit(CALIBRATION).collect()
     if not sample:
         return 1
-    q = np.array([r["v"] for r in sample])
+    q, own = np.array([r["v"] for r in sample]), [[r["query_id"]] for r in sample]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple[float, int]]] = [[] for _ in range(len(q))]
         for batch in batches:
-            x, leaf = matrix(batch.column(0)), batch.column(1).to_numpy()
+            x, leaf, ids = matrix(batch.column(0)), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for at in range(0, len(x), 4096):
-                pick, score = top_products(q, x[at : at + 4096], k)
+                pick, score = top_products(q, x[at : at + 4096], k + 1)
                 for i in range(len(q)):
-                    best[i] = heapq.nlargest(k, [*best[i], *zip(score[i].tolist(), leaf[at + pick[i]].tolist())])
+                    others = [(s, int(leaf[at + p])) for s, p in zip(score[i].tolist(), pick[i].tolist()) if ids[at + p] != own[i]]
+                    best[i] = heapq.nlargest(k, [*best[i], *others])
         rows = [(i, s, leaf) for i, b in enumerate(best) for s, leaf in b]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["i", "s", "leaf"])
 
     first = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s")))
-    true = index.select("v", "leaf").mapInArrow(tidy(run), "i long, s double, leaf long").withColumn("_nth", first).where(F.col("_nth") <= k)
+    true = index.select("v", "leaf", "ids").mapInArrow(tidy(run), "i long, s double, leaf long").withColumn("_nth", first).where(F.col("_nth") <= k)
     order = [{leaf: n for n, leaf in enumerate(found)} for found in tree.visited(q, tree.leaves)]
     needed = sorted(order[r["i"]][r["leaf"]] + 1 for r in true.select("i", "leaf").collect())
     return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else 1
@@ -166,10 +172,13 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, recall: float) -> Da
 
     index = stored(vectors.select("node", "v", "ids").mapInArrow(tidy(place), "node long, v array<double>, ids array<long>, leaf int"))
     visits = _calibrated(index, queries, tree, k, recall)
+    held = np.zeros(tree.leaves, np.int64)
+    for r in index.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect():
+        held[r["leaf"]] = r["n"]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = tree.visited(matrix(batch.column(1)), visits) if batch.num_rows else []
+            leaves = tree.visited(matrix(batch.column(1)), visits, held, k + 1) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], ["query_id", "v", "leaves"])
 
     routed = queries.select("query_id", "v").mapInArrow(tidy(route), "query_id long, v array<double>, leaves array<int>")
@@ -198,7 +207,7 @@ def nearest_vectors(vectors: DataFrame, asked: DataFrame, k: int = 20, recall: f
 
     Both have vec_id and embedding. A tree is trained on a bounded sample; every vector goes to its leaf; a query
     visits leaves in best-bin-first order, as many as a bounded set of calibration queries, compared with all
-    vectors by brute force, needs for the recall. Products are exact, in double precision; ties go to the smaller id.
+    vectors by brute force, needs for the recall, and on until they hold more than ``k`` ids. Products are exact, in double precision; ties go to the smaller id.
 
     Equal vectors are one entry with its ``k + 1`` smallest ids, which is all that ties can ask for. The query's own
     id is no candidate; rows that share an id and a vector count once, and a query id with several vectors

@@ -104,3 +104,38 @@ def test_empty_tables(table):
     assert S.nearest_vectors(none, none).count() == 0 and S.nearest_vectors(table, none).count() == 0
     alone = table.where("vec_id = 3").limit(1)
     assert S.nearest_vectors(alone, alone).count() == 0
+
+
+def test_queries_in_small_leaves_get_all_their_neighbours(spark, monkeypatch):
+    """Leaves of a few vectors and a recall that one leaf would do for: still k rows for every query."""
+    monkeypatch.setattr(S, "LEAF", 4)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(240, 6))
+    df = spark.createDataFrame([(n, v.tolist(), 0) for n, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = S.nearest_vectors(df, df.where("vec_id % 10 = 0"), k=12, recall=0.05)
+    assert {r["count"] for r in found.groupBy("query_id").count().collect()} == {12} and found.select("query_id").distinct().count() == 24
+    tree = S.Tree.grown(x, 4)
+    held = np.bincount(tree.leaf_of(x), minlength=tree.leaves)
+    for leaves in tree.visited(x[:20], 1, held, 13):
+        assert held[leaves].sum() >= 13 and held[leaves[:-1]].sum() < 13
+
+
+def test_audit_measures_where_links_are_rare(spark):
+    """Three linked vectors among 3000: a sample of any vectors has none of them; one of their links is missing."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 32))
+    x[1], x[2] = x[0] + 0.01 * rng.normal(size=(2, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    classes = spark.createDataFrame([(n, "g", v.tolist(), 1) for n, v in enumerate(x)], "node long, grp string, unit array<double>, size long")
+
+    def links(*counts):
+        return spark.createDataFrame([(n, c, 0) for n, c in enumerate(counts) if c], "node long, links long, root long")
+
+    assert D._audit(classes, links(2, 2, 2), 0.93) == 1.0
+    assert D._audit(classes, links(1, 2, 1), 0.93) == pytest.approx(4 / 6)
+
+
+def test_recall_that_stays_low_is_an_error(table, monkeypatch):
+    monkeypatch.setattr(D, "_audit", lambda *_: 0.5)
+    with pytest.raises(ValueError, match="only 0.5000 of the audited links"):
+        D.vector_components(table)
