@@ -268,7 +268,7 @@ def visit_bucket(
 def flag_compressible(events: DataFrame, codes: DataFrame) -> DataFrame:
     """Add ``compressible``: the event's code is in the code table."""
     listed = codes.select("code").distinct().withColumn("_listed", F.lit(True))
-    joined = lookup_join(events, listed, ["code"], "left")
+    joined = lookup_join(events, listed, ["code"], "left", at_hand=codes.isLocal())
     return joined.select(
         *events.columns, F.coalesce("_listed", F.lit(False)).alias("compressible")
     )

@@ -33,7 +33,7 @@ def lookup_join(
     stay where they are; past either both sides are shuffled and merged, and adaptive execution splits hot keys.
     ``at_hand`` says that reading the table twice is cheap (a file, a stored table, a local list).
     """
-    table = table if at_hand else stored(table)
+    table = table if at_hand or table.isLocal() else stored(table)
     long = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in table.schema.fields), F.lit(0))
     seen = table.select(long.cast("long").alias("_bytes")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("_bytes")).first()
     small = seen[0] <= max_rows and (seen[1] or 0) <= BROADCAST_BYTES

@@ -59,12 +59,12 @@ def leaf_weights(name: str, seed: int, n: int, leaf: int, n_draws: int) -> np.nd
         else:
             first, drawn = middle, drawn - left
     units = min(n, last * LEAF) - first * LEAF
-    picks = _generator(seed, name, first, "leaf").integers(0, units, int(drawn.sum()))
-    cells = np.bincount(np.repeat(np.arange(n_draws), drawn) * units + picks, minlength=n_draws * units)
+    picks = _generator(seed, name, first, "leaf").integers(0, units, int(drawn.sum()), dtype=np.uint16)
+    cells = np.bincount(np.repeat(np.arange(n_draws) * units, drawn) + picks, minlength=n_draws * units)
     if cells.max(initial=0) > 255:
         raise ValueError("a unit was drawn more than 255 times")
     out = np.ones((units, n_draws + 1), np.uint8)
-    out[:, 1:] = cells.reshape(n_draws, units).T
+    out[:, 1:] = cells.astype(np.uint8).reshape(n_draws, units).T
     return out
 
 
