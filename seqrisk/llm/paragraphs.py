@@ -24,7 +24,7 @@ BANDS, ROWS = 12, 4
 #: Different paragraphs of one bucket that one task compares; larger buckets are compared part by part.
 PART = 4096
 
-_MIX = (np.random.default_rng(6).integers(1, 1 << 63, 2 * BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_MIX = np.random.default_rng(6).integers(0, 1 << 32, 2 * BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 
 
 def passages(data: bytes, least: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
@@ -48,8 +48,8 @@ def node_of(words: list[bytes]) -> int:
 
 
 def band_keys(hashes: list[np.ndarray]) -> np.ndarray:
-    """Band keys of each set: rows of a band are minima under different mixings."""
-    flat = np.concatenate(hashes)
+    """Band keys of each set: rows of a band are minima of the hashes' upper halves under different mixings."""
+    flat = (np.concatenate(hashes) >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(h) for h in hashes])[:-1]])
     keys = np.zeros((len(hashes), BANDS), np.uint64)
     for band in range(BANDS):
@@ -57,7 +57,7 @@ def band_keys(hashes: list[np.ndarray]) -> np.ndarray:
         for row in range(ROWS):
             k = band * ROWS + row
             low = np.minimum.reduceat((flat ^ _MIX[2 * k]) * _MIX[2 * k + 1], starts)
-            key = (key ^ (low >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
+            key = (key ^ low.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
         keys[:, band] = key
     return keys.view(np.int64)
