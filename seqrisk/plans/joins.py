@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -107,3 +107,21 @@ def released():
         yield
     finally:
         release(*_OPEN.pop())
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, stored; the tables that it has stored on the way are removed.
+
+    For results that are much smaller than what leads to them.
+    """
+    _OPEN.append([])
+    try:
+        out = make()
+        between, _OPEN[-1] = _OPEN[-1], []
+        kept = stored(out)
+        _OPEN[-1] = between
+    finally:
+        release(*_OPEN.pop())
+    if _OPEN:
+        _OPEN[-1].append(kept)
+    return kept

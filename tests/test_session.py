@@ -5,6 +5,7 @@ from types import SimpleNamespace
 
 import pytest
 
+from seqrisk.plans import joins
 from seqrisk.plans.joins import release, released, stored
 from seqrisk.session import ensure_checkpoint_dir
 
@@ -41,3 +42,19 @@ def test_stored_tables_are_removed(spark):
         path = inner.stored_path.removeprefix("file:")
         assert inner.count() == 3
     assert not os.path.exists(path)
+
+
+def test_settled_results_outlive_what_led_to_them(spark):
+    paths = []
+
+    def make():
+        table = joins.stored(spark.range(5))
+        paths.append(table.stored_path)
+        return table.where("id > 1")
+
+    out = joins.settled(make)
+    assert out.count() == 3 and not os.path.exists(paths[0]) and os.path.exists(out.stored_path)
+    with joins.released():
+        inner = joins.settled(make)
+        assert inner.count() == 3
+    assert not os.path.exists(inner.stored_path)
