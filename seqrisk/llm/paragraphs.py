@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from seqrisk.llm.common import connected, give_back, small_batches, tidy
 from seqrisk.llm.registry import query, table
 from seqrisk.llm.runs import shared_runs, text_id
-from seqrisk.plans.joins import lookup_join, stored
+from seqrisk.plans.joins import lookup_join, release, settled, stored
 
 #: Words of the shortest paragraph (line) that counts as a passage.
 LEAST_WORDS = 20
@@ -201,10 +201,16 @@ def repeated_lines(
     passages; rows with a NULL id never keep, rows that share an id are one document; long texts are read whole; an
     empty table gives no rows; other columns are ignored.
     """
-    found = stored(signed_passages(docs.select("doc_id", "text"), least, shingle))
-    keyed = found.select("node", F.explode("bands").alias("key"))
+    return settled(lambda: _repeated_lines(docs, least, shingle, similarity))
+
+
+def _repeated_lines(docs: DataFrame, least: int, shingle: int, similarity: float) -> DataFrame:
+    signed = stored(signed_passages(docs.select("doc_id", "text"), least, shingle))
+    found = stored(signed.drop("bands"))
+    keyed = signed.select("node", F.explode("bands").alias("key"))
     collide = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
     members = stored(lookup_join(keyed, collide, ["key"]).distinct())
+    release(signed)
     nodes = stored(members.select("node").distinct())
     at = lookup_join(found.select("node", "doc_id", "paragraph"), nodes, ["node"], at_hand=True)
     wanted = (
@@ -222,7 +228,7 @@ def repeated_lines(
         F.min("first").alias("keep_doc"), F.max("last").alias("last"), F.sum("nameless").alias("nameless")
     ).where((F.col("keep_doc") != F.col("last")) | (F.col("keep_doc").isNotNull() & (F.col("nameless") > 0)))
     repeated = placed.select("node", "component_id").join(shared.select("component_id", "keep_doc"), "component_id")
-    return lookup_join(found.drop("bands"), repeated, ["node"]).select(
+    return lookup_join(found, repeated, ["node"]).select(
         "doc_id", "paragraph", "begin", "end", "words", "node", "component_id", "keep_doc",
         (~F.col("doc_id").eqNullSafe(F.col("keep_doc"))).alias("removed"),
     )

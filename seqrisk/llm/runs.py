@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqrisk.llm.common import small_batches, tidy
-from seqrisk.plans.joins import lookup_join, stored
+from seqrisk.plans.joins import lookup_join, release, settled, stored
 
 #: Words of the shortest run.
 RUN = 50
@@ -83,8 +83,11 @@ def _anchors(docs: DataFrame, run: int, gram: int) -> DataFrame:
 
 def _blocks(texts: DataFrame, run: int, gram: int) -> DataFrame:
     """Windows in a row with the same anchor, one of ``_anchors``, as one row: first place, windows' hashes, bytes and lines."""
-    names = ["doc_id", "text_id", "place", "anchor", "block", "windows", "begins", "ends", "lines"]
-    schema = "doc_id long, text_id long, place int, anchor long, block long, windows array<long>, begins array<int>, ends array<int>, lines array<int>"
+    names = ["doc_id", "text_id", "place", "anchor", "block", "head", "tail", "n", "windows", "begins", "ends", "lines"]
+    schema = (
+        "doc_id long, text_id long, place int, anchor long, block long, head long, tail long, n int,"
+        " windows array<long>, begins array<int>, ends array<int>, lines array<int>"
+    )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +109,8 @@ def _blocks(texts: DataFrame, run: int, gram: int) -> DataFrame:
                 block = [xxhash.xxh64_intdigest(windows[i:j].tobytes()) for i, j in zip(heads, tails)]
                 cuts = pa.array(np.append(heads, len(at)).astype(np.int32))
                 ids = [pa.repeat(batch.column(k)[n], len(heads)) for k in (0, 1)]
-                cols = [pa.array(x) for x in (at[heads].astype(np.int32), own[at[heads]], np.array(block, np.uint64).view(np.int64))]
+                plain = (at[heads].astype(np.int32), own[at[heads]], np.array(block, np.uint64).view(np.int64), windows[heads], windows[tails - 1], (tails - heads).astype(np.int32))
+                cols = [pa.array(x) for x in plain]
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (windows, begin, end, line)]
                 yield pa.RecordBatch.from_arrays([*ids, *cols, *lists], names)
 
@@ -132,15 +136,23 @@ def _pieces(blocks: DataFrame) -> DataFrame:
     Equal blocks are one row. Where an anchor has one block only, its documents are those of each of its windows;
     the blocks of other anchors, at the ends of runs, are compared window by window.
     """
-    kinds = stored(_ends(blocks.select(*_by_id("anchor", "block")), "anchor", "block"))
-    of = blocks.groupBy("anchor", "block").agg(F.first("windows").alias("windows"))
+    ids = blocks.select(*_by_id("anchor", "block", "head", "tail", "n"))
+    kinds = ids.groupBy("anchor", "block").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("nameless").alias("nameless"),
+        F.min("head").alias("head"), F.min("tail").alias("tail"), F.min("n").alias("n"),
+    )
+    kinds = stored(kinds)
     several = kinds.groupBy("anchor").agg(F.min("block").alias("_lo"), F.max("block").alias("_hi")).where("_lo != _hi").select("anchor", F.lit(True).alias("_several"))
-    kinds = stored(lookup_join(kinds.join(of, ["anchor", "block"]), several, ["anchor"], "left"))
+    several = stored(several)
+    kinds = stored(lookup_join(kinds, several, ["anchor"], "left", at_hand=True))
     whole = kinds.where("_several is null").where(_SHARED).select(
-        "anchor", "block", F.lit(0).alias("lo"), (F.size("windows") - 1).alias("hi"), F.col("windows")[0].alias("head"),
-        F.element_at("windows", -1).alias("tail"), F.col("first").alias("keep_doc"),
+        "anchor", "block", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"), "head", "tail", F.col("first").alias("keep_doc")
     )
-    each = kinds.where("_several").select("anchor", "block", "first", "last", "nameless", F.posexplode("windows").alias("at", "window"))
+    # Only these blocks' windows are looked at one by one.
+    of = lookup_join(blocks.select("anchor", "block", "windows"), several.select("anchor"), ["anchor"], at_hand=True)
+    of = of.groupBy(F.col("anchor").alias("_a"), F.col("block").alias("_b")).agg(F.first("windows").alias("windows"))
+    opened = kinds.where("_several").join(of, (F.col("anchor") == F.col("_a")) & (F.col("block") == F.col("_b")))
+    each = opened.select("anchor", "block", "first", "last", "nameless", F.posexplode("windows").alias("at", "window"))
     shared = _ends(each, "anchor", "window").where(_SHARED).select("anchor", "window", F.col("first").alias("keep_doc"))
     held = lookup_join(each.select("anchor", "block", "at", "window"), shared, ["anchor", "window"])
     island = F.col("at") - F.row_number().over(Window.partitionBy("anchor", "block", "keep_doc").orderBy("at"))
@@ -158,6 +170,10 @@ def shared_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     for sixteen words; then the windows at anchors of several documents, which are compared by anchor and hash, 128
     bits. Every step is linear in the windows: a window meets the smallest id, not the other windows.
     """
+    return settled(lambda: _shared_runs(docs, run, gram))
+
+
+def _shared_runs(docs: DataFrame, run: int, gram: int) -> DataFrame:
     found = stored(_anchors(docs, run, gram))
     each = found.select("doc_id", "text_id", F.explode("anchors").alias("anchor"))
     shared = _ends(each.select(*_by_id("anchor")), "anchor").where(_SHARED).select("anchor")
@@ -166,7 +182,8 @@ def shared_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     ).agg(F.collect_set("anchor").alias("_anchors"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_id") == F.col("_text"))
     blocks = stored(_blocks(lookup_join(_named(docs), wanted, same), run, gram))
-    parts = lookup_join(blocks.drop("windows"), _pieces(blocks), ["anchor", "block"]).select(
+    release(found)
+    parts = lookup_join(blocks.drop("windows", "head", "tail", "n"), _pieces(blocks), ["anchor", "block"]).select(
         "doc_id", "text_id", "keep_doc", (F.col("place") + F.col("lo")).alias("lo"), (F.col("place") + F.col("hi")).alias("hi"), "head", "tail",
         F.get("begins", "lo").alias("begin"), F.get("ends", "hi").alias("end"), F.get("lines", "lo").alias("line"),
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seqrisk.llm.common import connected, small_batches, tidy
 from seqrisk.llm.paragraphs import verified_links
 from seqrisk.llm.registry import query, table
-from seqrisk.plans.joins import lookup_join, stored
+from seqrisk.plans.joins import lookup_join, settled, stored
 
 RADIUS = 4
 SHINGLE = 4
@@ -339,6 +339,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, prin
     of their own, but a class that only such rows have is not compared. Very long texts are read whole, rows that repeat stay rows,
     an empty table gives none, other columns are ignored.
     """
+    return settled(lambda: _near_copies(docs, shingle, similarity, prints))
+
+
+def _near_copies(docs: DataFrame, shingle: int, similarity: float, prints: int) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(_classes(plain, shingle, prints))
     classes = stored(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("prints").alias("prints")))
