@@ -211,6 +211,11 @@ def _repeated_lines(docs: DataFrame, least: int, shingle: int, similarity: float
     collide = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
     members = stored(lookup_join(keyed, collide, ["key"]).distinct())
     release(signed)
+    # Similar paragraphs collide in most bands: of the buckets that hold the same nodes one is enough.
+    marks = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi")
+    )
+    members = stored(lookup_join(members, marks.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key"), ["key"]))
     nodes = stored(members.select("node").distinct())
     at = lookup_join(found.select("node", "doc_id", "paragraph"), nodes, ["node"], at_hand=True)
     wanted = (
