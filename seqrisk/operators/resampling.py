@@ -1,8 +1,8 @@
 """Paired bootstrap over rows or subjects, for any number of comparisons at once.
 
 A draw gives each unit an integer weight instead of copying rows: n draws with replacement from the n units of a
-comparison, repeatable on any cluster. A unit's weights in all replicates are one byte string, a row meets them in
-one join and is ordered once, and the metrics of all replicates are evaluated together (``plans.replicates``).
+comparison, repeatable on any cluster. A row meets its unit's number in one join and is ordered once; the tasks that hold
+the ordered rows make the weights and evaluate the metrics of all replicates together (``plans.replicates``).
 Replicate 0 is the observed data.
 """
 
@@ -27,7 +27,7 @@ from seqrisk.operators.ranking import (
 )
 from seqrisk.plans.joins import local_table, lookup_join, stored
 from seqrisk.plans.ordered import GROUP, dense_index, group_struct, hash_text, never_null
-from seqrisk.plans.replicates import drawn_units, replicate_metrics, unit_vectors
+from seqrisk.plans.replicates import corrected_units, drawn_units, replicate_metrics, unit_vectors
 from seqrisk.schemas import ENSEMBLE_SEED, default_columns
 
 PAIR_METRICS = BASE_METRICS + ["top_5pct_precision", "top_10pct_precision", "top_20pct_precision"]
@@ -64,7 +64,7 @@ def draw_weights(
 
     ``draws`` is array<struct<draw, w>> without the replicates that leave the unit out, and starts with replicate 0, weight 1.
     """
-    vectors = unit_vectors(_units(df, keys, unit), n_draws, seed)
+    vectors = unit_vectors(corrected_units(stored(_units(df, keys, unit)), n_draws, seed), n_draws, seed)
     digits = F.transform(F.sequence(F.lit(0), F.lit(n_draws)), lambda b: F.struct(
         b.alias("draw"), F.conv(F.substring(F.hex("_w"), 2 * b + 1, 2), 16, 10).cast("long").alias("w")
     ))
@@ -96,13 +96,13 @@ def _renamed(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return joined.select(*[F.col("_keys")[k].alias(k) for k in keys], *rest)
 
 
-def _vectors(rows: DataFrame, table: DataFrame, keys: Sequence[str], unit: str, n_draws: int, seed: int) -> DataFrame:
-    """(_g, _u, _w), stored: a byte per replicate for every unit of the numbered comparisons."""
+def _drawable(rows: DataFrame, table: DataFrame, keys: Sequence[str], unit: str, n_draws: int, seed: int) -> DataFrame:
+    """(_g, _u, _i, _i__n, _name, _fix), stored: the units of the numbered comparisons and what their weights are made from."""
     names = table.select(
         F.struct("_k").alias(GROUP),
         F.concat_ws("|", *[F.col("_keys")[k].cast("string") for k in keys]).alias("_name"),
     )
-    return stored(unit_vectors(_units(rows, ["_k"], unit, names), n_draws, seed))
+    return stored(corrected_units(stored(_units(rows, ["_k"], unit, names)), n_draws, seed))
 
 
 def _replicates(
@@ -118,13 +118,14 @@ def _replicates(
 ) -> tuple[DataFrame, list[str]]:
     """Per comparison, side (the place in ``scores``) and replicate: every metric, and the metrics' names.
 
-    On clipped scores when limits are named in percent. A row meets its unit's weights once, by a merge that
+    On clipped scores when limits are named in percent. A row meets its unit's number once, by a merge that
     adaptive execution splits where a unit is hot.
     """
     clip = fracs is None
     limits = frac_limits(fracs) if limits is None else list(limits)
     keyed = rows.withColumn(GROUP, F.struct("_k")).withColumn("_u", F.col(unit))
-    joined = keyed.join(_vectors(rows, table, keys, unit, n_draws, seed).hint("merge"), [GROUP, "_u"])
+    units = _drawable(rows, table, keys, unit, n_draws, seed)
+    joined = keyed.join(units.select(GROUP, "_u", "_i", "_fix").hint("merge"), [GROUP, "_u"])
 
     def score(name: str) -> Column:
         absent = F.raise_error(F.lit(f"{name} is NULL")).cast("double")
@@ -132,10 +133,11 @@ def _replicates(
         return (clip_prob(known) if clip else known).alias("_s")
 
     sides = F.inline(F.array(*[F.struct(F.lit(n).alias("side"), score(name)) for n, name in enumerate(scores)]))
-    stacked = joined.select("_k", "row_id", F.col("y_true").cast("int").alias("_y"), "_w", sides)
+    stacked = joined.select("_k", "row_id", F.col("y_true").cast("int").alias("_y"), "_i", "_fix", sides)
     order = [F.col("_k"), F.col("side"), F.desc("_s"), hash_text(F.col("row_id")), F.col("row_id")]
     by = ["_k", "side", "draw"]
-    wide = replicate_metrics(stacked, order, n_draws, [(x.frac, x.pct) for x in limits], EPS)
+    names = stored(units.select(F.col(GROUP)["_k"].alias("_k"), "_name", F.col("_i__n").alias("_n")).distinct())
+    wide = replicate_metrics(stacked, names, order, n_draws, seed, [(x.frac, x.pct) for x in limits], EPS)
     wide = evaluated_metrics(wide, by, limits) if clip else registered_metrics(wide, by, fracs)
     return wide, [c for c in wide.columns if c not in {*by, "n", "n_positive", "event_rate"}]
 
@@ -444,8 +446,8 @@ def fusion_samples(paired: DataFrame, *, n_draws: int = 2000, seed: int = 42) ->
 def fusion_sample_units(paired: DataFrame, *, n_draws: int = 2000, seed: int = 42) -> DataFrame:
     """Per replicate: subjects drawn, and how many different ones."""
     plain, table = _numbered(_seeded(paired).select(*FUSION_KEYS, "subject_id"), FUSION_KEYS)
-    vectors = _vectors(plain, table, FUSION_KEYS, "subject_id", n_draws, seed)
-    drawn = drawn_units(vectors.select(F.col(GROUP)["_k"].alias("_k"), "_w"), "_k", n_draws)
+    units = _drawable(plain, table, FUSION_KEYS, "subject_id", n_draws, seed)
+    drawn = drawn_units(units.withColumn("_k", F.col(GROUP)["_k"]), "_k", n_draws, seed)
     out = drawn.select(
         "_k",
         F.col("draw").alias("bootstrap_id"),

@@ -1,12 +1,15 @@
 """Weights of resampled units and weighted ranking metrics, all replicates of a row at once.
 
-A row carries its weights in every replicate as one byte string, so it is shuffled, ordered and joined
-once, however many replicates there are. Rows are range-partitioned by (group, score, tie order), so a group or a score of
+No weight is shipped: a row carries its unit's number and the few corrections of that unit, and any task makes the weights
+of any unit from them. Rows are range-partitioned by (group, score, tie order), so a group or a score of
 any size lies in many tasks; each task packs its rows into blocks of bounded size. A scan over the blocks' totals gives
-every block the counts before it, and the blocks are then evaluated on their own.
+every block the counts before it, and the blocks are then evaluated on their own. What is written grows with the rows,
+not with rows times replicates.
 
-Weights are multinomial: n draws with replacement from n units. They come from a tree of binomial splits over the
-units' numbers, seeded per node, so any task can make the weights of any range of units without a shuffle of draws.
+Weights are multinomial: n draws with replacement from n units. Up to ``LEAF`` units (and in the forests, of any size) they
+come from a tree of binomial splits over the units' numbers, seeded per node. More units have independent Poisson weights,
+counted from a hash of (unit, replicate); given their total these are multinomial, and drawing what a replicate lacks, or
+taking back what it has too much at random, gives exactly n draws. Those corrections are about sqrt(n) per replicate.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import hashlib
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from math import exp, factorial
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +27,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqrisk.plans.joins import lookup_join, stored, wide_partitions
+from seqrisk.plans.ordered import GROUP
 
 # These functions travel to the executors by value, so that they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Units whose weights are drawn together.
 LEAF = 1024
-#: Row weights of a block, at most; replicates that are evaluated together.
-CELLS, WIDTH = 1 << 22, 256
+#: Row weights of a block, at most; weights that are made at a time.
+CELLS, AT_ONCE = 1 << 24, 1 << 20
+#: Units of a task that adds up weights, replicates of a task that corrects them.
+UNITS, STEP = 1 << 18, 64
 
 Runner = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -68,45 +75,189 @@ def leaf_weights(name: str, seed: int, n: int, leaf: int, n_draws: int) -> np.nd
     return out
 
 
+#: P(weight <= k) of a Poisson weight, in 1/65536; what is above the last is below the precision of a double.
+_UPTO = np.cumsum([exp(-1) / factorial(k) for k in range(19)]) * 65536
+_BY_WORD = np.searchsorted(np.floor(_UPTO), np.arange(65536), "right").astype(np.uint8)
+_BY_WORD[np.unique(np.floor(_UPTO).astype(int).clip(max=65535))] = 255  # decided by more bits
+_GAMMA = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The output function of SplitMix64, in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _states(name: str, seed: int, units: np.ndarray) -> np.ndarray:
+    key = hashlib.sha256(f"{seed}|{name}|poisson".encode()).digest()[:8]
+    return _mix(units.astype(np.uint64) * _GAMMA + np.frombuffer(key, "<u8")[0])
+
+
+def _counts(lanes: np.ndarray, words: np.ndarray, lane_of: Callable[[np.ndarray], tuple]) -> np.ndarray:
+    """Poisson weights of 16-bit lanes; a lane on a boundary is decided by 53 bits more."""
+    out = _BY_WORD[lanes]
+    at = np.nonzero(out == 255)
+    if len(at[0]):
+        where, lane = lane_of(at)
+        more = _mix(words[where] ^ _mix(lane.astype(np.uint64) + np.uint64(1)))
+        exact = lanes[at] + (more >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        out[at] = np.searchsorted(_UPTO, exact, "right")
+    return out
+
+
+def _poisson(states: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """(units, end - begin) weights in the draws from ``begin``, a multiple of 4."""
+    counter = np.arange(begin // 4 + 1, (end + 3) // 4 + 1, dtype=np.uint64) * _GAMMA
+    words = _mix(states[:, None] + counter)
+    lanes = words.view(np.uint16)
+    return _counts(lanes, words, lambda at: ((at[0], at[1] // 4), at[1] % 4))[:, : end - begin]
+
+
+def _poisson_at(states: np.ndarray, draw: int) -> np.ndarray:
+    """Weights in one draw."""
+    return _poisson(states, draw // 4 * 4, draw + 1)[:, -1]
+
+
+def weight_columns(
+    name: str, seed: int, n: int, n_draws: int, units: np.ndarray, fix_at: np.ndarray, fixes: np.ndarray
+) -> Iterator[tuple[slice, np.ndarray]]:
+    """Replicates and the weights of ``units`` in them, a few replicates at a time; replicate 0 is the observed data, weight 1.
+
+    The corrections of unit number j of the list are ``fixes[fix_at[j]:fix_at[j + 1]]``: twice the draw, plus 1 for a draw more.
+    """
+    step = max(4, min(256, AT_ONCE // max(1, len(units))) // 4 * 4)
+    if n <= LEAF:
+        leaf = leaf_weights(name, seed, n, 0, n_draws)
+        for at in range(0, n_draws + 1, step):
+            part = slice(at, min(n_draws + 1, at + step))
+            yield part, leaf[:, part][units]
+        return
+    states = _states(name, seed, units)
+    owner, draw = np.repeat(np.arange(len(units)), np.diff(fix_at)), fixes >> 1
+    more = np.where(fixes & 1, 1, 255).astype(np.uint8)
+    order = np.argsort(draw, kind="stable")
+    owner, draw, more = owner[order], draw[order], more[order]
+    yield slice(0, 1), np.ones((len(units), 1), np.uint8)
+    for at in range(0, n_draws, step):
+        upto = min(n_draws, at + step)
+        w = _poisson(states, at, upto)
+        own = slice(*np.searchsorted(draw, [at, upto]))
+        np.add.at(w, (owner[own], draw[own] - at), more[own])
+        yield slice(at + 1, upto + 1), w
+
+
+def _corrections(name: str, seed: int, n: int, draw: int, total: int) -> tuple[np.ndarray, bool]:
+    """Units, repeats included, that get one draw more or one less, so that ``total`` draws become n; whether it is more."""
+    rng = _generator(seed, name, draw, "correction")
+    if total <= n:
+        return rng.integers(0, n, n - total), True
+    # Each draw is a (unit, number below the unit's weight), so pairs below the weight are draws, each as likely.
+    most, need = len(_UPTO) + 1, total - n
+    found = np.empty(0, np.int64)
+    while len(found) < need:
+        unit, number = np.split(rng.integers(0, [[n], [most]], (2, need * most + 64)), 2)
+        unit, number = unit[0], number[0]
+        hit = number < _poisson_at(_states(name, seed, unit), draw)
+        found = np.concatenate([found, unit[hit] * most + number[hit]])
+        _, first = np.unique(found, return_index=True)
+        found = found[np.sort(first)]
+    return found[:need] // most, False
+
+
+def corrected_units(units: DataFrame, n_draws: int, seed: int) -> DataFrame:
+    """``units`` with ``_fix``, array<int>: what ``weight_columns`` needs beside a unit's number; NULL for none.
+
+    ``units`` is cheap to read and has the group ``_g``, its units' numbers ``_i``, how many they are (``_i__n``) and ``_name``,
+    the text that seeds the group.
+    """
+    large = units.where(F.col("_i__n") > LEAF).select(GROUP, "_name", "_i__n").distinct()
+    kind = units.schema[GROUP].dataType.simpleString()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(1, np.int32)
+        for batch in batches:
+            sums = []
+            for name, n, at in zip(*(batch.column(c).to_pylist() for c in ("_name", "_i__n", "_at"))):
+                total = np.zeros(n_draws + 1, np.int64)
+                for begin in range(at, min(n, at + UNITS), 1 << 14):
+                    own = np.arange(begin, min(n, at + UNITS, begin + (1 << 14)))
+                    for part, w in weight_columns(name, seed, n, n_draws, own, np.zeros(len(own) + 1, np.int32), none[:0]):
+                        total[part] += w.sum(axis=0, dtype=np.int64)
+                sums.append(total.tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (GROUP, "_name", "_i__n")), pa.array(sums, pa.binary())], [GROUP, "_name", "_i__n", "_sums"])
+
+    def fixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j, (name, n, sums, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_name", "_i__n", "_sums", "_at")))):
+                total = np.sum([np.frombuffer(x, np.int64) for x in sums], axis=0)
+                for draw in range(at, min(n_draws, at + STEP)):
+                    own, more = _corrections(name, seed, n, draw, int(total[draw + 1]))
+                    group = batch.column(GROUP).take(pa.array(np.full(len(own), j)))
+                    yield pa.RecordBatch.from_arrays([group, pa.array(own), pa.array(np.full(len(own), 2 * draw + more, np.int32))], [GROUP, "_i", "_code"])
+
+    tasks = large.select("*", F.explode(F.sequence(F.lit(0), F.col("_i__n") - 1, F.lit(UNITS).cast("long"))).alias("_at"))
+    parts = tasks.repartition(wide_partitions(units), GROUP, "_at").mapInArrow(added, f"_g {kind}, _name string, _i__n long, _sums binary")
+    totals = parts.groupBy(GROUP, "_name", "_i__n").agg(F.collect_list("_sums").alias("_sums"))
+    steps = totals.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1), F.lit(STEP))).alias("_at"))
+    fixes = steps.repartition(wide_partitions(units), GROUP, "_at").mapInArrow(fixed, f"_g {kind}, _i long, _code int")
+    found = fixes.groupBy(GROUP, "_i").agg(F.collect_list("_code").alias("_fix"))
+    return units.join(found.hint("merge"), [GROUP, "_i"], "left")
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (one more than lists) and entries of a list column; NULL is empty."""
+    lengths = np.diff(column.offsets.to_numpy()) * column.is_valid().to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), column.flatten().to_numpy().astype(np.int32)
+
+
+def _weights_by_group(batch: pa.RecordBatch, n_draws: int, seed: int) -> Iterator[tuple[int, int, Iterator[tuple[slice, np.ndarray]]]]:
+    """(begin, end, weights) of the runs of rows of one group in a batch of ``corrected_units``."""
+    names, totals = batch.column("_name").to_pylist(), batch.column("_i__n").to_pylist()
+    cuts = [0, *(j for j in range(1, len(names)) if names[j] != names[j - 1] or totals[j] != totals[j - 1]), len(names)]
+    for begin, end in zip(cuts, cuts[1:]):
+        if begin < end:
+            own = batch.slice(begin, end - begin)
+            units = own.column("_i").to_numpy()
+            yield begin, end, weight_columns(names[begin], seed, totals[begin], n_draws, units, *_lists(own.column("_fix")))
+
+
 def unit_vectors(units: DataFrame, n_draws: int, seed: int) -> DataFrame:
-    """``units`` (with ``_name``, the text that seeds a group, ``_i``, ``_i__n``) with ``_w``: a byte per replicate."""
-    kept = [c for c in units.columns if c not in ("_name", "_i", "_i__n")]
+    """``corrected_units`` as their other columns and ``_w``: a byte per replicate."""
+    kept = [c for c in units.columns if c not in ("_name", "_i", "_i__n", "_fix")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, weights = None, None
         for batch in batches:
-            names, i, n = (batch.column(c).to_pylist() for c in ("_name", "_i", "_i__n"))
-            found = []
-            for name, own, total in zip(names, i, n):
-                if at != (name, own // LEAF):
-                    at = (name, own // LEAF)
-                    weights = leaf_weights(name, seed, total, own // LEAF, n_draws)
-                found.append(weights[own % LEAF].tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.binary())], [*kept, "_w"])
+            w = np.empty((batch.num_rows, n_draws + 1), np.uint8)
+            for begin, end, columns in _weights_by_group(batch, n_draws, seed):
+                for part, own in columns:
+                    w[begin:end, part] = own
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([x.tobytes() for x in w], pa.binary())], [*kept, "_w"])
 
-    ordered = units.repartition(wide_partitions(units), "_name", F.floor(F.col("_i") / LEAF)).sortWithinPartitions("_name", "_i")
-    schema = units.select(*kept).schema
-    return ordered.mapInArrow(run, schema.add("_w", "binary"))
+    return units.mapInArrow(run, units.select(*kept).schema.add("_w", "binary"))
 
 
-def drawn_units(vectors: DataFrame, key: str, n_draws: int) -> DataFrame:
+def drawn_units(units: DataFrame, key: str, n_draws: int, seed: int) -> DataFrame:
     """(key, draw, n_sampled, n_unique): units drawn in each replicate, and how many different ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for batch in batches:
-            w = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, n_draws + 1)
-            keys = np.array(batch.column(0).to_pylist())
-            for k in np.unique(keys).tolist():
-                own = w[keys == k]
-                now = np.stack([own.sum(axis=0, dtype=np.int64), (own > 0).sum(axis=0, dtype=np.int64)])
-                sums[k] = sums.get(k, 0) + now
+            keys = batch.column(key).to_pylist()
+            for begin, _, columns in _weights_by_group(batch, n_draws, seed):
+                own = sums.setdefault(keys[begin], np.zeros((2, n_draws + 1), np.int64))
+                for part, w in columns:
+                    own[0, part] += w.sum(axis=0, dtype=np.int64)
+                    own[1, part] += np.count_nonzero(w, axis=0)
         draws = pa.array(np.arange(n_draws + 1))
         for k, (total, unique) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k] * (n_draws + 1), pa.int32()), draws, pa.array(total), pa.array(unique)], names)
 
     names = ["k", "draw", "n", "u"]
-    parts = vectors.select(F.col(key).cast("int"), "_w").mapInArrow(run, "k int, draw long, n long, u long")
+    apart = units.select(F.col(key).cast("int").alias(key), "_name", "_i", "_i__n", "_fix").repartition(wide_partitions(units), key, "_i")
+    parts = apart.sortWithinPartitions(key).mapInArrow(run, "k int, draw long, n long, u long")
     return parts.groupBy(F.col("k").alias(key), "draw").agg(F.sum("n").alias("n_sampled"), F.sum("u").alias("n_unique"))
 
 
@@ -122,58 +273,97 @@ def _numbers(x: bytes) -> np.ndarray:
 
 
 _EDGES = ["lead_pos", "lead_neg", "tail_pos", "tail_neg"]
+_BLOCK = ["_k", "side", "part", "seq"]
+_BLOCK_DDL = "_k int, side int, part long, seq long"
+_HELD = ["scores", "labels", "units", "fix_at", "fixes"]
 
 
-def _blocks(rows: DataFrame, order: Sequence[Column], width: int, most: int) -> DataFrame:
-    """Blocks of ordered rows of one group, stored: scores, labels and weights, and their sums per replicate.
+def _blocks(rows: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
+    """Blocks of ordered rows of one group, stored: scores, labels, numbers of units and their corrections."""
+    names = [*_BLOCK, *_HELD]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 5
 
-    ``lead`` and ``tail`` are the sums over the first and the last run of equal scores, which may go on in other blocks.
-    """
-    names = ["_k", "side", "part", "seq", "first", "last", "runs", "scores", "labels", "weights", "pos", "neg", *_EDGES]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()] + [pa.binary()] * 9
-
-    def block(key, seq, scores, labels, weights) -> pa.RecordBatch:
-        s, y = np.concatenate(scores), np.concatenate(labels)
-        w = np.frombuffer(b"".join(weights), np.uint8).reshape(len(s), width)
-        cuts = np.flatnonzero(s[1:] != s[:-1]) + 1
-        lead, tail = (cuts[0], cuts[-1]) if len(cuts) else (len(s), 0)
-
-        def sums(part: slice, label: int) -> bytes:
-            return _vector(w[part][y[part] == label].sum(axis=0, dtype=np.int64))
-
-        whole, ends = slice(0, len(s)), (slice(0, lead), slice(tail, len(s)))
-        values = [
-            *key, TaskContext.get().partitionId(), seq, s[0], s[-1], len(cuts) + 1, s.tobytes(), y.tobytes(), w.tobytes(),
-            sums(whole, 1), sums(whole, 0), *(sums(e, label) for e in ends for label in (1, 0)),
-        ]
+    def block(key, seq, pieces) -> pa.RecordBatch:
+        scores, labels, units, lengths, fixes = (np.concatenate(x) for x in zip(*pieces))
+        fix_at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        values = [*key, TaskContext.get().partitionId(), seq, *(x.tobytes() for x in (scores, labels, units, fix_at, fixes))]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, seq, held, scores, labels, weights = None, 0, 0, [], [], []
+        key, seq, held, pieces = None, 0, 0, []
         for batch in batches:
-            k, side, s, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            w = batch.column(4)
+            k, side, s, y, units = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            fix_at, fixes = _lists(batch.column(5))
             group = k.astype(np.int64) << 32 | side
             cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1), len(k)]
             for begin, end in zip(cuts, cuts[1:]):
-                own = (int(k[begin]), int(side[begin]))
+                own = (int(k[begin]), int(side[begin])) if begin < end else key
                 at = begin
                 while at < end:
                     if held and (own != key or held == most):
-                        yield block(key, seq, scores, labels, weights)
-                        seq, held, scores, labels, weights = seq + 1, 0, [], [], []
+                        yield block(key, seq, pieces)
+                        seq, held, pieces = seq + 1, 0, []
                     key, upto = own, min(end, at + most - held)
-                    scores.append(s[at:upto])
-                    labels.append(y[at:upto])
-                    weights += w.slice(at, upto - at).to_pylist()
+                    pieces.append((s[at:upto], y[at:upto], units[at:upto], np.diff(fix_at[at : upto + 1]), fixes[fix_at[at] : fix_at[upto]]))
                     held, at = held + upto - at, upto
         if held:
-            yield block(key, seq, scores, labels, weights)
+            yield block(key, seq, pieces)
 
     ordered = rows.repartitionByRange(wide_partitions(rows), *order).sortWithinPartitions(*order)
-    narrow = ordered.select("_k", "side", "_s", F.col("_y").cast("tinyint"), "_w")
-    types = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double", pa.binary(): "binary"}
-    return stored(narrow.mapInArrow(run, ", ".join(f"{n} {types[t]}" for n, t in zip(names, kinds))))
+    narrow = ordered.select("_k", "side", "_s", F.col("_y").cast("tinyint"), F.col("_i").cast("long"), "_fix")
+    return stored(narrow.mapInArrow(run, _BLOCK_DDL + ", " + ", ".join(f"{c} binary" for c in _HELD)))
+
+
+class _Runs:
+    """A block by runs of equal scores: weights are added up per run and label, a few replicates at a time."""
+
+    def __init__(self, row: dict, n_draws: int, seed: int):
+        self.scores, self.labels = np.frombuffer(row["scores"], np.float64), np.frombuffer(row["labels"], np.int8)
+        s, y = self.scores, self.labels
+        run = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
+        cell = run * 2 + (y != 0)
+        self.order = np.argsort(cell, kind="stable")
+        cell = cell[self.order]
+        self.cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        self.cells, self.n = cell[self.cuts], int(run[-1]) + 1
+        self.values = s[np.concatenate([[True], s[1:] != s[:-1]])]
+        units, fix_at, fixes = np.frombuffer(row["units"], np.int64), np.frombuffer(row["fix_at"], np.int32), np.frombuffer(row["fixes"], np.int32)
+        lengths = np.diff(fix_at)[self.order]
+        now = np.concatenate([[0], np.cumsum(lengths)])
+        moved = fixes[np.repeat(fix_at[:-1][self.order] - now[:-1], lengths) + np.arange(len(fixes))]
+        self.weights = weight_columns(row["_name"], seed, row["_n"], n_draws, units[self.order], now, moved)
+
+    def sums(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Replicates, weights of the positive and of the other rows per run, and the rows' weights by ``order``."""
+        for part, w in self.weights:
+            both = np.zeros((2 * self.n, w.shape[1]), np.int32)
+            if len(self.cuts) == len(w):
+                both[self.cells] = w
+            else:
+                both[self.cells] = np.add.reduceat(w, self.cuts, axis=0, dtype=np.int32)
+            yield part, both[1::2], both[::2], w
+
+
+def _edges(blocks: DataFrame, n_draws: int, seed: int) -> DataFrame:
+    """Sums of each block per replicate, stored: over all rows, and over the first and the last run of equal scores.
+
+    A run at the end of a block may go on in other blocks.
+    """
+    names = [*_BLOCK, "first", "last", "runs", "pos", "neg", *_EDGES]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()] + [pa.binary()] * 6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+                runs, out = _Runs(row, n_draws, seed), np.zeros((6, n_draws + 1))
+                for part, pos, neg, _ in runs.sums():
+                    out[:, part] = pos.sum(axis=0), neg.sum(axis=0), pos[0], neg[0], pos[-1], neg[-1]
+                values = [*(row[c] for c in _BLOCK), runs.values[0], runs.values[-1], runs.n, *map(_vector, out)]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names)
+
+    binary = ", ".join(f"{c} binary" for c in ("pos", "neg", *_EDGES))
+    return stored(blocks.mapInArrow(run, f"{_BLOCK_DDL}, first double, last double, runs long, {binary}"))
 
 
 def _run_terms(pos: np.ndarray, neg: np.ndarray, pos_before: np.ndarray, neg_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,55 +432,62 @@ def _top_sizes(n: np.ndarray, limits: Sequence[tuple[float, int | None]]) -> lis
     return [np.maximum(1, np.ceil(r)) for r in raw]
 
 
-def _block_terms(row: dict, limits: Sequence[tuple[float, int | None]], clip: float) -> np.ndarray:
+def _block_terms(row: dict, limits: Sequence[tuple[float, int | None]], clip: float, n_draws: int, seed: int) -> np.ndarray:
     """Sums of a block per replicate: area, precisions, squares, logs, and the events within each limit."""
-    s, y = np.frombuffer(row["scores"], np.float64), np.frombuffer(row["labels"], np.int8).astype(bool)
-    weights = np.frombuffer(row["weights"], np.uint8).reshape(len(s), -1)
+    runs = _Runs(row, n_draws, seed)
     head_pos, head_neg = _numbers(row["head_pos"]), _numbers(row["head_neg"])
     tops = _top_sizes(_numbers(row["all_pos"]) + _numbers(row["all_neg"]), limits)
-    q = np.clip(s, clip, 1 - clip)
-    square, log = (q - y) ** 2, -np.where(y, np.log(q), np.log(1 - q))
-    ends = np.flatnonzero(s[1:] != s[:-1])  # last row of each run but the last run
-    out = np.zeros((4 + len(limits), weights.shape[1]))
-    for at in range(0, weights.shape[1], WIDTH):
-        c = slice(at, min(weights.shape[1], at + WIDTH))
-        w = weights[:, c]
-        upto, pos_upto = np.cumsum(w, axis=0, dtype=np.int32), np.cumsum(w * y[:, None], axis=0, dtype=np.int32)
-        if len(ends) > 1:
-            pos, both = np.diff(pos_upto[ends], axis=0).astype(float), np.diff(upto[ends], axis=0)
-            pos_before = head_pos[c] + pos_upto[ends[:-1]]
-            neg_before = head_neg[c] + (upto[ends[:-1]] - pos_upto[ends[:-1]])
-            area, precision = _run_terms(pos, both - pos, pos_before, neg_before)
+    q = np.clip(runs.values, clip, 1 - clip)
+    back = np.argsort(runs.order)
+    y = runs.labels != 0
+    out = np.zeros((4 + len(limits), n_draws + 1))
+    for c, pos, neg, w in runs.sums():
+        all_pos, both = pos.sum(axis=0), pos.sum(axis=0) + neg.sum(axis=0)
+        pos, neg = pos.astype(float), neg.astype(float)
+        out[2, c] = (1 - q) ** 2 @ pos + q**2 @ neg
+        out[3, c] = -(np.log(q) @ pos + np.log(1 - q) @ neg)
+        if runs.n > 2:
+            pos_before, neg_before = head_pos[c] + np.cumsum(pos[:-2], axis=0), head_neg[c] + np.cumsum(neg[:-2], axis=0)
+            area, precision = _run_terms(pos[1:-1], neg[1:-1], pos_before, neg_before)
             out[0, c], out[1, c] = area.sum(axis=0), precision.sum(axis=0)
-        out[2, c], out[3, c] = square @ w, log @ w
         before = head_pos[c] + head_neg[c]
         for i, top in enumerate(tops):
             left = top[c] - before
-            out[4 + i, c] = np.where(left >= upto[-1], pos_upto[-1], 0)
-            cut = np.flatnonzero((left > 0) & (left < upto[-1]))
+            out[4 + i, c] = np.where(left >= both, all_pos, 0)
+            cut = np.flatnonzero((left > 0) & (left < both))
             if len(cut):
-                mine = w[np.ix_(y, cut)]
-                taken = np.clip(left[cut] - (upto[np.ix_(y, cut)] - mine), 0, mine)
+                own = w[:, cut][back]
+                upto = np.cumsum(own, axis=0, dtype=np.int32)
+                taken = np.clip(left[cut] - (upto[y] - own[y]), 0, own[y])
                 out[4 + i, c.start + cut] = taken.sum(axis=0)
     return out
 
 
 def replicate_metrics(
-    rows: DataFrame, order: Sequence[Column], n_draws: int, limits: Sequence[tuple[float, int | None]], clip: float
+    rows: DataFrame,
+    names: DataFrame,
+    order: Sequence[Column],
+    n_draws: int,
+    seed: int,
+    limits: Sequence[tuple[float, int | None]],
+    clip: float,
 ) -> DataFrame:
     """(_k, side, draw, n, n_positive, event_rate, auroc, auprc, brier, logloss, k_i, events_i …) per group and replicate.
 
-    ``rows`` has the group in ``_k`` and ``side`` (numbers), the score ``_s``, the label ``_y`` and the weights ``_w``;
+    ``rows`` has the group in ``_k`` and ``side`` (numbers), the score ``_s``, the label ``_y``, the unit's number ``_i`` and its
+    corrections ``_fix``; ``names`` has the groups' texts and numbers of units (``_k, _name, _n``).
     ``order`` begins with ``_k``, ``side`` and the falling score and goes on with the order among equal scores. ``limits``
     are (fraction, percent or None).
     """
     width = n_draws + 1
-    blocks = _blocks(rows, order, width, max(1, CELLS // width))
-    heads = _heads(blocks)
+    blocks = _blocks(rows, order, max(1, CELLS // width))
+    named = lookup_join(blocks, names, ["_k"], at_hand=True)
+    tasks = wide_partitions(rows)
+    heads = _heads(_edges(named.repartition(tasks, *_BLOCK), n_draws, seed))
     totals = heads.where("seq is null").select("_k", "side", F.col("head_pos").alias("all_pos"), F.col("head_neg").alias("all_neg"))
-    before = heads.where("seq is not null").select("_k", "side", "part", "seq", "head_pos", "head_neg")
-    met = lookup_join(blocks.select("_k", "side", "part", "seq", "scores", "labels", "weights"), before, ["_k", "side", "part", "seq"], at_hand=True)
-    met = lookup_join(met, totals, ["_k", "side"], at_hand=True)
+    before = heads.where("seq is not null").select(*_BLOCK, "head_pos", "head_neg")
+    met = lookup_join(named, before, _BLOCK, at_hand=True)
+    met = lookup_join(met, totals, ["_k", "side"], at_hand=True).repartition(tasks, *_BLOCK)
     extra = len(limits)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +496,7 @@ def replicate_metrics(
             for i in range(batch.num_rows):
                 row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
                 key = (row["_k"], row["side"])
-                sums[key] = sums.get(key, 0) + _block_terms(row, limits, clip)
+                sums[key] = sums.get(key, 0) + _block_terms(row, limits, clip, n_draws, seed)
         for (k, side), found in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([side], pa.int32()), pa.array([_vector(found)], pa.binary())], ["_k", "side", "terms"])
 

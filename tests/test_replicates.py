@@ -2,6 +2,7 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -113,3 +114,42 @@ def test_units_drawn(spark):
     w = leaves("t|1|b|c", 7, 30)
     got = {r["bootstrap_id"]: (r["n_subjects_sampled"], r["n_unique_subjects_sampled"]) for r in B.fusion_sample_units(df, n_draws=30).collect()}
     assert got == {b: (7, int((w[:, b] > 0).sum())) for b in range(31)}
+
+
+def test_hashed_weights_follow_the_law_of_draws(spark):
+    """More units than a leaf: Poisson weights of any units, corrected to exactly n draws."""
+    n, draws = 5000, 403
+    units = spark.range(n).selectExpr("struct('a' AS k) AS _g", "id AS _u", "id AS _i", f"{n}L AS _i__n", "'a' AS _name")
+    fixed = R.corrected_units(units, draws, 42)
+    w = np.empty((n, draws + 1), np.uint8)
+    for r in R.unit_vectors(fixed, draws, 42).collect():
+        w[r["_u"]] = np.frombuffer(r["_w"], np.uint8)
+    assert (w[:, 0] == 1).all() and (w.sum(axis=0, dtype=int) == n).all()
+    shares = np.bincount(w[:, 1:].ravel(), minlength=6)[:6] / (n * draws)
+    assert shares == pytest.approx([math.exp(-1) / math.factorial(k) for k in range(6)], abs=2e-3)
+    between = np.corrcoef(w[:, 1:].astype(float), rowvar=False)[np.triu_indices(draws, 1)]
+    assert abs(between.mean()) < 1e-3 and between.std() == pytest.approx(n**-0.5, rel=0.05)
+    assert fixed.selectExpr("sum(size(_fix))").first()[0] < 2 * draws * n**0.5
+    states = R._states("a", 42, np.arange(n))
+    assert (R._poisson_at(states, 7) == R._poisson(states, 0, draws)[:, 7]).all()
+
+
+@pytest.mark.parametrize("decimals,hot,cells", [(2, 0, 1 << 22), (12, 0, 600), (1, 70, 130)])
+def test_hashed_weights_give_the_metrics_of_copied_rows(spark, monkeypatch, decimals, hot, cells):
+    monkeypatch.setattr(R, "LEAF", 16)
+    test_all_metrics_equal_those_of_copied_rows(spark, monkeypatch, decimals, hot, cells)
+
+
+def test_what_is_written_does_not_grow_with_the_replicates(spark, monkeypatch):
+    sizes, kept = [], R.stored
+
+    def watched(df):
+        out = kept(df)
+        files = Path(out.stored_path.removeprefix("file:")).glob("*.parquet")
+        sizes.append(sum(f.stat().st_size for f in files))
+        return out
+
+    monkeypatch.setattr(R, "stored", watched)
+    df = spark.createDataFrame(pairs(3000, 3), SCHEMA)
+    B.resampled_pairs(df, ["task"], "row_id", 1000, 42, limits=percent_limits(TOPS))
+    assert sizes[0] < 12000 * 100  # blocks of 12000 scores; a byte per weight would be 12 MB
