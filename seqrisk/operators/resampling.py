@@ -396,7 +396,7 @@ def paired_vs_baseline_by_subgroup(
     no row at all is an error.
     """
     on = ["task", "row_id", "subject_id"]
-    flagged = require_rows(aligned.join(group.select(*on, "high_repeat_group"), on), "Subgroup merge")
+    flagged = require_rows(aligned.join(group.select(*on, "high_repeat_group").hint("merge"), on), "Subgroup merge")
     by = [*keys, "high_repeat_group"]
     out = paired_vs_baseline(flagged, by, fracs, n_draws=n_draws, seed=seed)
     return out.withColumn("subgroup", subgroup_label("high_repeat_group"))

@@ -379,7 +379,7 @@ def split_eras(
     """Add ``era`` (0-based, per example and code): a new era starts when the gap is exceeded."""
     runs, eras = _partial_eras(events, keys, gap, stretch)
     on = [*keys, "code", "_stretch", "_part"]
-    return runs.join(eras.select(*on, "era"), on).select(*events.columns, "era")
+    return runs.join(eras.select(*on, "era").hint("merge"), on).select(*events.columns, "era")
 
 
 def _era_groups(kept: DataFrame, keys: Sequence[str], gap: float, stretch: int) -> DataFrame:
@@ -517,10 +517,10 @@ def compression_audit(
         F.sum("_synthetic").alias("n_synthetic_events"),
     )
     if examples is None:
-        joined = kept.join(raw, list(keys))
+        joined = kept.join(raw.hint("merge"), list(keys))
     else:
         every = examples.select(*keys, F.explode(F.array(*[F.lit(v) for v in versions])).alias("version"))
-        joined = every.join(kept, [*keys, "version"], "left").join(raw, list(keys), "left")
+        joined = every.join(kept.hint("merge"), [*keys, "version"], "left").join(raw.hint("merge"), list(keys), "left")
     counts = {c: F.coalesce(c, F.lit(0)) for c in joined.columns if c not in {*keys, "version"}}
     return joined.withColumns(counts).select(
         *keys,
