@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from seqrisk.operators import joins as J
 from seqrisk.operators import subgroup as U
+from seqrisk.plans import joins as P
 
 
 def scores(spark, version):
     return spark.range(20_000).select(
-        F.lit("t").alias("task"), F.lit("m").alias("model"), F.lit(1).alias("seed"), F.lit("raw").alias("calibration"),
+        F.when(F.col("id") % 2 == 0, "s").otherwise("t").alias("task"), F.lit("m").alias("model"), F.lit(1).alias("seed"), F.lit("raw").alias("calibration"),
         F.lit(version).alias("version"), F.col("id").alias("row_id"), F.col("id").alias("subject_id"),
         (F.col("id") % 2).cast("int").alias("y_true"), (F.col("id") % 7 / 7.0).alias("risk"),
     )
@@ -35,3 +36,10 @@ def test_joins_of_example_rows_are_merged(spark, name):
     joined.collect()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_task_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(U, "row_partitions", lambda df: P.row_partitions(df, each=1000))
+    joined = U.subgroup_join(scores(spark, "raw"), audit(spark), check=False)
+    sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 2000
