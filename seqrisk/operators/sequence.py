@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from seqrisk.functions.arrays import array_delta_days, normalize_arrays, tail
 from seqrisk.functions.codes import is_diagnosis_name, is_visit_anchor
 from seqrisk.functions.scalars import count_bin, duration_bin, recency_bin
-from seqrisk.plans.joins import lookup_join, stored
+from seqrisk.plans.joins import lookup_join, stored, wide_partitions
 
 ANCHOR_GAP_DAYS = 30.0
 STRETCH = 65_536  # positions per stretch of a history that one task handles at a time
@@ -193,6 +193,7 @@ def nearest_anchor(
             F.when(offered, F.col("idx")).alias("_anchor"),
             F.when(~offered, F.struct(F.lit(0).alias("_"), *carry)).alias("_carry"),
         )
+        .repartition(wide_partitions(events), *keys, "_slice")
     )
 
     def so_far(by: Sequence[str], order: Column) -> Window:
