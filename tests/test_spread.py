@@ -9,6 +9,10 @@ def test_anchors_are_searched_in_all_tasks(spark):
     rows = spark.range(400).select(
         F.col("id").alias("row_id"), F.lit(0.0).alias("idx"), F.lit("VISIT/OP").alias("code"), F.lit(1.0).alias("day")
     )
-    found = S.visit_bucket(rows, ["row_id"])
-    tasks = found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
-    assert len(tasks) == 4 and sum(t["n"] for t in tasks) == 400
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = S.visit_bucket(rows, ["row_id"])
+        tasks = found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(tasks) == 16 and sum(t["n"] for t in tasks) == 400
