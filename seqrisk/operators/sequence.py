@@ -509,7 +509,10 @@ def compression_audit(
         F.count_if(like).alias("n_diagnosis_like_events_raw"),
         F.count_if("compressible").alias("n_compressible_chronic_events_raw"),
     )
-    per_code = compressed.groupBy(*keys, "version", "code").agg(
+    # Counted in an explicit number of tasks: groups are nearly as many as events, so a task's table of them is as large as its rows.
+    place = F.floor(F.col("idx") / STRETCH)
+    spread = compressed.repartition(wide_partitions(compressed), *keys, place)
+    per_code = spread.groupBy(*keys, "version", "code").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if("synthetic").alias("_synthetic")
     )
     kept = per_code.groupBy(*keys, "version").agg(
