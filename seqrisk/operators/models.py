@@ -417,12 +417,13 @@ def meta_model_sweep(
     models: Mapping[str, Mapping] = META_MODELS,
     variants: Mapping[str, Sequence[str]] = FEATURE_VARIANTS,
     balanced: bool = False,
-    parallelism: int = 8,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Held-out risk of every meta model × feature variant × (task, seed), fitted on tuning.
 
     ``features`` has ``tab__`` columns and embedding arrays; ``arrays`` gives each array's column
-    prefix and length. Usable columns and medians are found once per (task, seed).
+    prefix and length. Usable columns and medians are found once per (task, seed). The longest fits come first; side by
+    side run ``parallelism`` fits, at least 8 and one per core of the cluster if None.
     """
     # Many fits read parts of this table.
     wide, names = _packed_features(features, arrays)
@@ -461,10 +462,12 @@ def meta_model_sweep(
     for task, seed in product(tasks, seeds):
         ready = prepare(task, seed)
         for (name, config), (variant, groups) in product(models.items(), variants.items()):
+            work = (config.get("rounds", 0) * config.get("leaves", 0), len(groups))
             jobs.append(
-                lambda t=task, s=seed, r=ready, n=name, c=config, v=variant, g=groups: fit(t, s, r, n, c, v, g)
+                (work, lambda t=task, s=seed, r=ready, n=name, c=config, v=variant, g=groups: fit(t, s, r, n, c, v, g))
             )
-    return _run_all(jobs, parallelism)
+    jobs.sort(key=lambda job: job[0], reverse=True)
+    return _run_all([job for _, job in jobs], parallelism or max(8, wide.sparkSession.sparkContext.defaultParallelism))
 
 
 def embedding_fusion(
@@ -475,7 +478,7 @@ def embedding_fusion(
     c: float = 1.0,
     variants: Mapping[str, Sequence[str]] = FEATURE_VARIANTS,
     balanced: bool = False,
-    parallelism: int = 8,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Every feature variant with one logistic regression."""
     models = {"logistic_regression": {"kind": "logreg", "C": c}}

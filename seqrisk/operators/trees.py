@@ -39,6 +39,10 @@ STEP = 4096
 #: Trees after which scores of training rows are stored again.
 AGAIN = 10
 LEAST_HESSIAN = 1e-3
+#: Numbers of kept sums of open nodes in a task (64 MB); nodes beyond are counted anew.
+KEPT = 1 << 23
+#: Rows of a node up to which the features are counted in one call.
+SHORT = 1024
 #: Gains that differ by less than this part of their scale are equal: sums depend on the order of the rows.
 EQUAL = 1e-10
 #: Tasks that share the trees of a forest.
@@ -103,16 +107,19 @@ def cuts_of(values: np.ndarray) -> np.ndarray:
     return np.unique(np.quantile(known, np.arange(1, MISSING) / MISSING, method="lower"))
 
 
-def best_of(sums: np.ndarray, leaf: int, l2: float, least: float) -> list[Split | None]:
-    """Best split of each feature from its sums, ([G, H, rows], features, BINS); the first among equals."""
+def gains_of(sums: np.ndarray, leaf: int, l2: float, least: float) -> tuple[np.ndarray, ...]:
+    """Per feature its best split from its sums, ([G, H, rows], features, BINS); the first among equals.
+
+    Whether there is one, its gain, bin, side of the missing values, and G, H of the left and of the right.
+    """
     total, gaps = sums.sum(axis=2), sums[:, :, MISSING]
-    out: list[Split | None] = [None] * sums.shape[1]
     low = np.cumsum(sums[:, :, : MISSING - 1], axis=2)
     with np.errstate(divide="ignore", invalid="ignore"):
         whole = np.nan_to_num(total[0] ** 2 / (total[1] + l2))
     scale = EQUAL * (1 + whole)
     best = scale.copy()  # a gain below is rounding
     every = np.arange(sums.shape[1])
+    found, bins, toward, sides = np.zeros(len(every), bool), np.zeros(len(every), int), np.zeros(len(every), bool), np.zeros((4, len(every)))
     for missing_left in (False, True) if gaps[2].any() else (False,):
         left = low + gaps[:, :, None] if missing_left else low
         right = total[:, :, None] - left
@@ -120,16 +127,28 @@ def best_of(sums: np.ndarray, leaf: int, l2: float, least: float) -> list[Split
         if not fits.any():
             continue
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = left[0] ** 2 / (left[1] + l2) + right[0] ** 2 / (right[1] + l2)
-        gain = np.where(fits, gain - whole[:, None], -1.0)
+            gain = left[0] ** 2 / (left[1] + l2)
+            gain += right[0] ** 2 / (right[1] + l2)
+        gain -= whole[:, None]
+        gain[~fits] = -1.0
         top = gain.max(axis=1)
         at = (gain >= (top - scale)[:, None]).argmax(axis=1)
-        for j in every[top > best + scale]:
-            b = int(at[j])
-            best[j] = gain[j, b]
-            toward = missing_left if gaps[2, j] else bool(left[2, j, b] > right[2, j, b])
-            out[j] = (float(best[j]), int(j), b, toward, *(float(side[i, j, b]) for side in (left, right) for i in (0, 1)))
-    return out
+        more = top > best + scale
+        j, b = every[more], at[more]
+        found[j], bins[j], best[j] = True, b, gain[j, b]
+        toward[j] = np.where(gaps[2, j] > 0, missing_left, left[2, j, b] > right[2, j, b])
+        sides[:, j] = left[0, j, b], left[1, j, b], right[0, j, b], right[1, j, b]
+    return found, best, bins, toward, sides
+
+
+def _split_of(j: int, best: np.ndarray, bins: np.ndarray, toward: np.ndarray, sides: np.ndarray) -> Split:
+    return (float(best[j]), int(j), int(bins[j]), bool(toward[j]), *map(float, sides[:, j]))
+
+
+def best_of(sums: np.ndarray, leaf: int, l2: float, least: float) -> list[Split | None]:
+    """``gains_of`` as one split, or none, per feature."""
+    found, *rest = gains_of(sums, leaf, l2, least)
+    return [_split_of(j, *rest) if known else None for j, known in enumerate(found)]
 
 
 def sums_of(bins: np.ndarray, g: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -140,6 +159,21 @@ def sums_of(bins: np.ndarray, g: np.ndarray, h: np.ndarray, c: np.ndarray) -> np
     return np.stack(each).reshape(3, width, BINS)
 
 
+def sums_of_counted(columns: np.ndarray, features: np.ndarray, at: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """``sums_of`` of the rows ``at`` of a table of bins by feature, each row counted once."""
+    g, h, width = g[at], h[at], len(features)
+    out = np.empty((3, width, BINS))
+    if len(at) < SHORT:  # one call for all features
+        own = (columns[np.ix_(features, at)] + np.arange(width)[:, None] * BINS).ravel()
+        for n, v in enumerate((g, h, None)):
+            out[n] = np.bincount(own, None if v is None else np.tile(v, width), width * BINS).reshape(width, BINS)
+        return out
+    for j, feature in enumerate(features):
+        own = columns[feature, at].astype(np.intp)
+        out[0, j], out[1, j], out[2, j] = np.bincount(own, g, BINS), np.bincount(own, h, BINS), np.bincount(own, minlength=BINS)
+    return out
+
+
 @dataclass
 class Want:
     """A node whose best split is asked for, among some features (None: all)."""
@@ -160,16 +194,32 @@ def _pick(found: list[Split | None], features: np.ndarray | None) -> Split | Non
     return best
 
 
+def _best_feature(found: np.ndarray, best: np.ndarray, *rest: np.ndarray, features: np.ndarray | None) -> Split | None:
+    """``_pick`` from ``gains_of``."""
+    top = None
+    for j in np.flatnonzero(found):
+        if top is None or best[j] > best[top] * (1 + EQUAL) + EQUAL:
+            top = j
+    return None if top is None else _pick([_split_of(top, best, *rest)], features)
+
+
 # ---------------------------------------------------------------- growing, wherever the rows are
 
 
 class LocalRows:
-    """Rows in memory: gradients per tree, and the rows of every open node."""
+    """Rows in memory: gradients per tree, and the rows of every open node.
+
+    Where all features are asked for, the sums of a node are kept until its children are known: those of the child
+    with more rows are the parent's less the other child's.
+    """
 
     def __init__(self, bins: np.ndarray, leaf: int, l2: float, least: float):
-        self.bins, self.rule = bins, (leaf, l2, least)
+        self.columns, self.rule = np.ascontiguousarray(bins.T), (leaf, l2, least)
         self.sums: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.rows: dict[tuple[int, int], np.ndarray] = {}
+        self.kept: dict[tuple[int, int], np.ndarray] = {}
+        self.kin: dict[tuple[int, int], tuple[tuple[int, int], tuple[int, int]]] = {}
+        self.most = KEPT // max(1, 3 * BINS * bins.shape[1])
 
     def start(self, tree: int, g: np.ndarray, h: np.ndarray, c: np.ndarray) -> None:
         self.sums[tree], self.rows[tree, 0] = (g, h, c), np.flatnonzero(c)
@@ -178,27 +228,52 @@ class LocalRows:
         g, h, _ = self.sums[tree]
         return float(g.sum()), float(h.sum())
 
+    def counted(self, key: tuple[int, int], features: np.ndarray | None = None) -> np.ndarray:
+        """Sums of a node from its rows."""
+        g, h, _ = self.sums[key[0]]
+        return sums_of_counted(self.columns, np.arange(len(self.columns)) if features is None else features, self.rows[key], g, h)
+
+    def whole(self, key: tuple[int, int]) -> np.ndarray:
+        """Sums of a node over all features."""
+        if key in self.kept:
+            return self.kept[key]
+        parent, other = self.kin.get(key, (None, None))
+        if parent not in self.kept or len(self.kept) >= self.most:
+            found = {key: self.counted(key)}
+        else:
+            few, many = sorted((key, other), key=lambda k: len(self.rows[k]))
+            found = {few: self.counted(few)}
+            found[many] = self.kept.pop(parent) - found[few]
+        if len(self.kept) < self.most:
+            self.kept.update(found)
+        return found[key]
+
     def best(self, wants: list[Want]) -> list[Split | None]:
         out = []
         for want in wants:
-            at = self.rows[want.tree, want.node]
-            if len(at) < 2 * self.rule[0]:
-                out.append(None)
-                continue
-            bins = self.bins[at] if want.features is None else self.bins[np.ix_(at, want.features)]
-            out.append(_pick(best_of(sums_of(bins, *(v[at] for v in self.sums[want.tree])), *self.rule), want.features))
+            key = want.tree, want.node
+            split = None
+            if len(self.rows[key]) >= 2 * self.rule[0]:
+                sums = self.whole(key) if want.features is None else self.counted(key, want.features)
+                split = _best_feature(*gains_of(sums, *self.rule), features=want.features)
+            if not split:
+                self.kept.pop(key, None)
+            out.append(split)
         return out
 
     def opened(self, tree: int, shape: Tree, node: int) -> None:
         at = self.rows.pop((tree, node))
-        own = self.bins[at, shape.feature[node]]
+        own = self.columns[shape.feature[node], at]
         low = np.where(own == MISSING, shape.missing_left[node], own <= shape.bin[node])
-        self.rows[tree, shape.left[node]], self.rows[tree, shape.right[node]] = at[low], at[~low]
+        left, right = (tree, shape.left[node]), (tree, shape.right[node])
+        self.rows[left], self.rows[right] = at[low], at[~low]
+        self.kin[left], self.kin[right] = ((tree, node), right), ((tree, node), left)
 
     def finish(self, tree: int) -> None:
         self.sums.pop(tree)
-        for key in [k for k in self.rows if k[0] == tree]:
-            del self.rows[key]
+        for table in (self.rows, self.kept, self.kin):
+            for key in [k for k in table if k[0] == tree]:
+                del table[key]
 
 
 def grow_best_first(rows, tree: int, leaves: int, rate: float, l2: float) -> Tree:

@@ -196,3 +196,29 @@ def test_column_medians(spark):
         *got, none, one = array_quantiles(df, "x", 6, q)
         assert got == pytest.approx([np.nanquantile(x[:, j], q) for j in range(4)], rel=1e-12) and none is None and one == 1.5
     assert array_quantiles(df.where("false"), "x", 2, 0.5) == [None, None]
+
+
+@pytest.mark.parametrize("kept", [T.KEPT, 0])
+def test_larger_children_are_not_counted_again(monkeypatch, kept):
+    """Of two children the rows of the smaller are counted; the trees are those of counting all."""
+    x, y = data(400, 6)
+    x = np.nan_to_num(x)
+    bins = T.bin_values(x, [T.cuts_of(x[:, j]) for j in range(x.shape[1])])
+    seen, count = [], T.sums_of_counted
+
+    def counted(columns, features, at, g, h):
+        seen.append(len(at))
+        found = count(columns, features, at, g, h)
+        assert found == pytest.approx(T.sums_of(columns[np.ix_(features, at)].T, g[at], h[at], np.ones(len(at))), abs=1e-12)
+        return found
+
+    monkeypatch.setattr(T, "sums_of_counted", counted)
+    monkeypatch.setattr(T, "KEPT", kept)
+    monkeypatch.setattr(T, "SHORT", 50)
+    _, trees = T.boost(bins, y, np.ones(len(y)), BOOSTED)
+    assert sum(seen) < (2.4 if kept else 6) * len(y) * len(trees)
+    if kept:
+        assert all(n <= len(y) / 2 or n == len(y) for n in seen)
+        monkeypatch.setattr(T, "KEPT", 0)
+        _, others = T.boost(bins, y, np.ones(len(y)), BOOSTED)
+        assert [t.feature for t in trees] == [t.feature for t in others] and [t.bin for t in trees] == [t.bin for t in others]
