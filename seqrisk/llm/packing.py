@@ -30,14 +30,14 @@ GROUPS = 64
 #: rounded ones use up the stock unevenly; the rest is left to best fit, which evens it out. Of these plans the
 #: one with the fewest sequences is taken; 0 is best fit alone.
 SHARES = (0.8, 0.4, 0.0)
-#: Pre-tokens whose ids a Python worker keeps.
-CACHE = 100_000
+#: New pre-tokens after which those that were not met again are given up; a Python worker keeps the ids of twice as many.
+CACHE = 80_000
 
 
 class Encoder:
     """Ids of whole texts by a byte-level BPE file, as little-endian unsigned 32-bit bytes.
 
-    Merges never leave a pre-token, so each distinct pre-token is encoded once and kept. Texts of Latin-1
+    Merges never leave a pre-token, so each distinct pre-token is encoded once and kept while it is met again. Texts of Latin-1
     characters are cut by the tokenizer's own pattern, spelled out for those; any other text, and any
     with unusual white space, is cut by the tokenizer. Marker strings of special tokens are the tokens that the file
     names for them, as in the library's default setting.
@@ -58,6 +58,7 @@ class Encoder:
         self.marker = re.compile("|".join(map(re.escape, added))) if added else None
         self.model, self.split = whole.model, whole.pre_tokenizer.pre_tokenize_str
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         # Byte-level vocabularies spell a byte as its character if that is printable, else as one from 256 on.
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
         self.spelled = {b: 256 + n for n, b in enumerate(hidden)}
@@ -72,16 +73,18 @@ class Encoder:
         found = list(map(self.known.get, cuts))
         if None in found:
             if len(self.known) > CACHE:
-                self.known.clear()
+                self.known, self.before = {}, self.known
+            known, before = self.known, self.before
             for n, cut in enumerate(cuts):
                 if found[n] is None:
-                    if cut.isascii() and cut.isprintable():
-                        spelled = cut.replace(" ", self.blank)
-                    else:
-                        spelled = cut.encode().decode("latin-1").translate(self.spelled)
-                    found[n] = self.known[cut] = self._ids(spelled)
+                    found[n] = known[cut] = known.get(cut) or before.get(cut) or self._ids(self._spell(cut))
         return b"".join(found)
 
+    def _spell(self, cut: str) -> str:
+        if cut.isascii() and cut.isprintable():
+            return cut.replace(" ", self.blank)
+        return cut.encode().decode("latin-1").translate(self.spelled)
+
     def _ids(self, spelled: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from seqrisk.llm import packing
 from seqrisk.llm.packing import Encoder, packed_sequences, packing_plan
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -86,3 +87,16 @@ def test_pieces_of_all_documents(docs, no_docs):
         ends = np.cumsum([n for _, n in sorted(items)])
         assert [o for o, _ in sorted(items)] == [0, *ends[:-1]] and ends[-1] <= 1024
     assert packed_sequences(no_docs).count() == 0
+
+
+def test_common_words_stay_known(monkeypatch):
+    """Many rare words do not push out the words that every text has."""
+    monkeypatch.setattr(packing, "CACHE", 20)
+    encoder, asked = Encoder(PATH), Counter()
+    ids = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda spelled: asked.update([spelled]) or ids(spelled))
+    for n in range(200):
+        text = f"the same words q{chr(97 + n % 26)}{'z' * (n // 26)} x{chr(97 + n % 26)}{'y' * (n // 26)} the same words été"
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) + len(getattr(encoder, "before", ())) < 100
+    assert asked["the"] == asked["\u0120same"] == asked["\u0120words"] == 1
