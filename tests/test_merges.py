@@ -43,3 +43,17 @@ def test_rows_of_a_task_do_not_grow_with_the_table(spark, monkeypatch):
     joined = U.subgroup_join(scores(spark, "raw"), audit(spark), check=False)
     sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) == 20_000 and max(sizes) < 2000
+
+
+def test_rows_without_a_baseline_are_not_moved(spark, monkeypatch):
+    monkeypatch.setattr(J, "row_partitions", lambda df: P.row_partitions(df, each=1000))
+    a, b = scores(spark, "raw"), scores(spark, "short")
+    alone = b.withColumn("model", F.lit("alone")).unionByName(b.withColumn("model", F.lit(None).cast("string")))
+    joined = J.align_to_baseline(a.unionByName(b).unionByName(alone), "raw")
+    rows = joined.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r["n"] for r in rows) == 20_000 and max(r["n"] for r in rows) < 2000
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert "xxhash64" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.select("model").distinct().collect() == [("m",)]
+    monkeypatch.setattr(J, "MAX_KEYS", 0)
+    assert J.align_to_baseline(a.unionByName(b).unionByName(alone), "raw").exceptAll(joined).isEmpty()
