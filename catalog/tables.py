@@ -134,9 +134,11 @@ def scan_with_source_file(spark, sf_dir):
     Q.write_table(pred, a, "csv")
     Q.write_table(pred.where(F.col("row_id") % 4 == 0).withColumn("risk", F.col("risk") + 0.5), b, "csv")
     loaded = R.read_predictions_provenance(spark, [a, b], "raw")
-    last = J.dedup(loaded, PREDICTION_KEY, ["load_order"])
     file = F.regexp_extract("source_file", r"(first|second)\.csv", 1)
-    return last.select(file.alias("file"), "task", "model", "version", "seed", "row_id", "subject_id", "y_true", "risk")
+    # Only what is returned goes through the sort, the name of the file instead of its path.
+    named = loaded.select(*PREDICTION_KEY, "y_true", "risk", file.alias("file"), "load_order")
+    last = J.dedup(named, PREDICTION_KEY, ["load_order"])
+    return last.select("file", "task", "model", "version", "seed", "row_id", "subject_id", "y_true", "risk")
 
 
 @query(

@@ -208,3 +208,13 @@ def test_example_dataset_prunes_partitions(spark, tmp_path):
     assert back.count() == 3
     with pytest.raises(ValueError):
         Q.write_table(df, str(tmp_path / "y"), "xlsx")
+
+
+def test_dedup_does_not_carry_the_order_beside_the_row(spark):
+    rows = [(1, "a", 0, "x"), (1, "b", 1, "w"), (1, "c", 1, "v"), (2, "d", 0, "z")]
+    df = spark.createDataFrame(rows, "k int, v string, n int, path string")
+    last, first = J.dedup(df, ["k"], ["n", "path"]), J.dedup(df, ["k"], ["n", "path"], "first")
+    assert last.columns == df.columns and sorted(last.collect()) == [(1, "b", 1, "w"), (2, "d", 0, "z")]
+    assert sorted(first.collect()) == [(1, "a", 0, "x"), (2, "d", 0, "z")]
+    plan = last.select("k", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert [line.count("path#") for line in plan.splitlines() if "max_by" in line] == [1]
