@@ -131,35 +131,40 @@ _SHARED = "first != last or first is not null and nameless > 0"
 
 
 def _pieces(blocks: DataFrame) -> DataFrame:
-    """Parts of each different block that several documents have: ``anchor, block, lo, hi, head, tail, keep_doc``.
+    """Parts of the blocks that several documents have: ``doc_id, text_id, keep_doc, lo, hi, head, tail, begin, end, line``.
 
-    Equal blocks are one row. Where an anchor has one block only, its documents are those of each of its windows;
-    the blocks of other anchors, at the ends of runs, are compared window by window.
+    Where an anchor has one block only, its documents are those of each of its windows; the blocks of other
+    anchors, at the ends of runs, are compared window by window, equal blocks once. What is joined grows with the texts, so it
+    is joined by key at any size; only blocks that are taken apart bring their lists along.
     """
-    ids = blocks.select(*_by_id("anchor", "block", "head", "tail", "n"))
-    kinds = ids.groupBy("anchor", "block").agg(
+    marks = blocks.select(*_by_id("anchor", "block")).groupBy("anchor").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.sum("nameless").alias("nameless"),
-        F.min("head").alias("head"), F.min("tail").alias("tail"), F.min("n").alias("n"),
+        F.min("block").alias("_lo"), F.max("block").alias("_hi"),
     )
-    kinds = stored(kinds)
-    several = kinds.groupBy("anchor").agg(F.min("block").alias("_lo"), F.max("block").alias("_hi")).where("_lo != _hi").select("anchor", F.lit(True).alias("_several"))
-    several = stored(several)
-    kinds = stored(lookup_join(kinds, several, ["anchor"], "left", at_hand=True))
-    whole = kinds.where("_several is null").where(_SHARED).select(
-        "anchor", "block", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"), "head", "tail", F.col("first").alias("keep_doc")
+    marks = stored(marks)
+    once = marks.where("_lo = _hi").where(_SHARED).select("anchor", F.col("first").alias("keep_doc"))
+    last = F.col("n") - 1
+    plain = blocks.select(
+        "doc_id", "text_id", "anchor", F.col("place").alias("lo"), (F.col("place") + last).alias("hi"), "head", "tail",
+        F.get("begins", F.lit(0)).alias("begin"), F.get("ends", last).alias("end"), F.get("lines", F.lit(0)).alias("line"),
     )
-    # Only these blocks' windows are looked at one by one.
-    of = lookup_join(blocks.select("anchor", "block", "windows"), several.select("anchor"), ["anchor"], at_hand=True)
-    of = of.groupBy(F.col("anchor").alias("_a"), F.col("block").alias("_b")).agg(F.first("windows").alias("windows"))
-    opened = kinds.where("_several").join(of, (F.col("anchor") == F.col("_a")) & (F.col("block") == F.col("_b")))
-    each = opened.select("anchor", "block", "first", "last", "nameless", F.posexplode("windows").alias("at", "window"))
+    whole = plain.join(once, "anchor").select("doc_id", "text_id", "keep_doc", "lo", "hi", "head", "tail", "begin", "end", "line")
+    taken = lookup_join(blocks, marks.where("_lo != _hi").select("anchor"), ["anchor"], at_hand=True)
+    opened = taken.select(*_by_id("anchor", "block", "windows")).groupBy("anchor", "block").agg(
+        F.first("windows").alias("windows"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("nameless").alias("nameless")
+    )
+    each = stored(opened).select("anchor", "block", "first", "last", "nameless", F.posexplode("windows").alias("at", "window"))
     shared = _ends(each, "anchor", "window").where(_SHARED).select("anchor", "window", F.col("first").alias("keep_doc"))
-    held = lookup_join(each.select("anchor", "block", "at", "window"), shared, ["anchor", "window"])
+    held = each.select("anchor", "block", "at", "window").join(stored(shared), ["anchor", "window"])
     island = F.col("at") - F.row_number().over(Window.partitionBy("anchor", "block", "keep_doc").orderBy("at"))
     part = held.withColumn("_island", island).groupBy("anchor", "block", "keep_doc", "_island").agg(
-        F.min("at").alias("lo"), F.max("at").alias("hi"), F.min_by("window", "at").alias("head"), F.max_by("window", "at").alias("tail")
+        F.min("at").alias("_from"), F.max("at").alias("_to"), F.min_by("window", "at").alias("head"), F.max_by("window", "at").alias("tail")
     )
-    return whole.unionByName(part.select(*whole.columns))
+    listed = taken.select("doc_id", "text_id", "place", "anchor", "block", "begins", "ends", "lines")
+    return whole.unionByName(listed.join(stored(part), ["anchor", "block"]).select(
+        "doc_id", "text_id", "keep_doc", (F.col("place") + F.col("_from")).alias("lo"), (F.col("place") + F.col("_to")).alias("hi"), "head", "tail",
+        F.get("begins", "_from").alias("begin"), F.get("ends", "_to").alias("end"), F.get("lines", "_from").alias("line"),
+    ))
 
 
 def shared_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
@@ -183,10 +188,7 @@ def _shared_runs(docs: DataFrame, run: int, gram: int) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_id") == F.col("_text"))
     blocks = stored(_blocks(lookup_join(_named(docs), wanted, same), run, gram))
     release(found)
-    parts = lookup_join(blocks.drop("windows", "head", "tail", "n"), _pieces(blocks), ["anchor", "block"]).select(
-        "doc_id", "text_id", "keep_doc", (F.col("place") + F.col("lo")).alias("lo"), (F.col("place") + F.col("hi")).alias("hi"), "head", "tail",
-        F.get("begins", "lo").alias("begin"), F.get("ends", "hi").alias("end"), F.get("lines", "lo").alias("line"),
-    )
+    parts = _pieces(blocks)
     of = ["doc_id", "text_id", "keep_doc"]
     along = Window.partitionBy(*of).orderBy("lo", "hi")
     before = F.max("hi").over(along.rowsBetween(Window.unboundedPreceding, -1))

@@ -6,6 +6,7 @@ import pytest
 
 from seqrisk.llm import paragraphs as P
 from seqrisk.llm import runs as R
+from seqrisk.plans import joins
 
 WORDS = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in ("", "n", "ra", "lis")]
 
@@ -88,3 +89,17 @@ def test_anchors_and_hashes():
                 value = (value * int(R._BASE) + int(some[i + k])) % (1 << 64)
             direct[i] = np.uint64(value)
         assert (R.gram_hashes(some, size) == np.array(direct, np.uint64)).all()
+
+
+def test_joins_that_grow_with_the_texts_do_not_depend_on_a_lookups_limit(rows, monkeypatch):
+    asked, lookup = [], R.lookup_join
+
+    def noted(big, table, on, *args, **kwargs):
+        asked.append(set(table.columns))
+        return lookup(big, table, on, *args, **kwargs)
+
+    monkeypatch.setattr(R, "lookup_join", noted)
+    found = R.shared_runs(rows).collect()
+    assert found and asked and not any(columns & {"block", "window"} for columns in asked)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, R.shared_runs(rows).collect())) == sorted(map(str, found))
