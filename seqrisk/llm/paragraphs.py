@@ -263,7 +263,11 @@ def left_of(data: bytes, gone: set[int], runs: list[tuple[int, int]], least: int
 
 
 def without_passages(text: Column, nodes: Column, runs: Column, least: int = LEAST_WORDS) -> Column:
-    """The text without the nodes' lines and the runs (``begin, end``); NULL if nothing but white space is left."""
+    """The text without the nodes' lines and the runs (``begin, end``); NULL if nothing but white space is left.
+
+    The column is not deterministic for Spark, so a filter on it stays above it. Pushed below, the filter would cut every text a
+    second time, in a second Python worker for each core.
+    """
 
     @F.arrow_udf("string")
     def run(texts: pa.Array, removed: pa.Array, spans: pa.Array) -> pa.Array:
@@ -275,7 +279,7 @@ def without_passages(text: Column, nodes: Column, runs: Column, least: int = LEA
         give_back()
         return made
 
-    return run(text, nodes, runs)
+    return run.asNondeterministic()(text, nodes, runs)
 
 
 def documents_without_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:

@@ -85,3 +85,8 @@ def test_bands_find_similar_sets():
         keys = P.band_keys([a, b])
         missed += not (keys[0] == keys[1]).any()
     assert missed <= 6
+
+
+def test_texts_are_cut_once(docs):
+    plan = P.documents_without_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
