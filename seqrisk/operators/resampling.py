@@ -123,9 +123,9 @@ def _replicates(
     """
     clip = fracs is None
     limits = frac_limits(fracs) if limits is None else list(limits)
-    keyed = rows.withColumn(GROUP, F.struct("_k")).withColumn("_u", F.col(unit))
     units = _drawable(rows, table, keys, unit, n_draws, seed)
-    joined = keyed.join(units.select(GROUP, "_u", "_i", "_fix").hint("merge"), [GROUP, "_u"])
+    numbers = units.select(F.col(GROUP)["_k"].alias("_k"), "_u", "_i", "_fix")
+    joined = rows.withColumn("_u", F.col(unit)).join(numbers.hint("merge"), ["_u", "_k"])
 
     def score(name: str) -> Column:
         absent = F.raise_error(F.lit(f"{name} is NULL")).cast("double")
@@ -133,11 +133,13 @@ def _replicates(
         return (clip_prob(known) if clip else known).alias("_s")
 
     sides = F.inline(F.array(*[F.struct(F.lit(n).alias("side"), score(name)) for n, name in enumerate(scores)]))
-    stacked = joined.select("_k", "row_id", F.col("y_true").cast("int").alias("_y"), "_i", "_fix", sides)
-    order = [F.col("_k"), F.col("side"), F.desc("_s"), hash_text(F.col("row_id")), F.col("row_id")]
+    # Read twice, the first time for the bounds of the ranges.
+    met = stored(joined.select("_k", "row_id", F.col("y_true").cast("int").alias("_y"), "_i", "_fix", *scores))
+    place = F.unhex(never_null(hash_text(F.col("row_id")), F.lit("0" * 32)))
+    stacked = met.select("_k", place.alias("_h"), "_y", "_i", "_fix", sides)
     by = ["_k", "side", "draw"]
     names = stored(units.select(F.col(GROUP)["_k"].alias("_k"), "_name", F.col("_i__n").alias("_n")).distinct())
-    wide = replicate_metrics(stacked, names, order, n_draws, seed, [(x.frac, x.pct) for x in limits], EPS)
+    wide = replicate_metrics(stacked, names, n_draws, seed, [(x.frac, x.pct) for x in limits], EPS)
     wide = evaluated_metrics(wide, by, limits) if clip else registered_metrics(wide, by, fracs)
     return wide, [c for c in wide.columns if c not in {*by, "n", "n_positive", "event_rate"}]
 

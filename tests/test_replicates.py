@@ -153,3 +153,44 @@ def test_what_is_written_does_not_grow_with_the_replicates(spark, monkeypatch):
     df = spark.createDataFrame(pairs(3000, 3), SCHEMA)
     B.resampled_pairs(df, ["task"], "row_id", 1000, 42, limits=percent_limits(TOPS))
     assert sizes[0] < 12000 * 100  # blocks of 12000 scores; a byte per weight would be 12 MB
+
+
+@pytest.mark.parametrize("n", [700, 5000])
+def test_weights_by_rows_are_those_by_replicates(n):
+    draws, rng = 403, np.random.default_rng(3)
+    units = rng.integers(0, n, 900)
+    fix_at = np.concatenate([[0], np.cumsum(rng.integers(0, 3, 900))]).astype(np.int32)
+    fixes = (2 * rng.integers(0, draws, fix_at[-1]) + 1).astype(np.int32)
+    want = np.empty((900, draws + 1), np.uint8)
+    for part, w in R.weight_columns("a", 42, n, draws, units, fix_at, fixes):
+        want[:, part] = w
+    got = np.concatenate([w for _, w in R.weight_rows("a", 42, n, draws, units, fix_at, fixes)])
+    assert (got == want[:, 1:]).all()
+
+
+def test_only_blocks_that_a_limit_or_an_inner_run_needs_are_read_again(spark, monkeypatch):
+    """Two scores fill 64 blocks; only those at a limit are evaluated row by row, and the metrics are those of copied rows."""
+    draws = 12
+    monkeypatch.setattr(R, "CELLS", 50 * (draws + 1))
+    opened, kept = [], R._opened
+
+    def watched(*args):
+        opened.append(kept(*args))
+        return opened[-1]
+
+    monkeypatch.setattr(R, "_opened", watched)
+    rows = [("s", i, i % 400, int(i % 3 == 0), 0.75 if i % 2 else 0.25) for i in range(3200)]
+    df = spark.createDataFrame(rows, "task string, row_id long, subject_id long, y_true int, risk double")
+    got = {r["metric"]: r for r in B.patient_bootstrap_ci(df, ["task"], [0.05, 0.2], n_draws=draws).collect()}
+    assert opened[0].where("seq is not null").count() <= 16
+    drawn = {r["_u"]: {d["draw"]: d["w"] for d in r["draws"]} for r in B.draw_weights(df, ["task"], "subject_id", draws, 42).select("_u", "draws").collect()}
+    found = [direct([(r[1], r[3], r[4]) for r in rows], [drawn[r[2]].get(b, 0) for r in rows], False, [5, 20]) for b in range(draws + 1)]
+    for metric, name in (("auroc", "auroc"), ("auprc", "auprc"), ("brier", "brier"), ("logloss", "logloss"), ("top5_precision", "top_5pct_precision"), ("top20_precision", "top_20pct_precision")):
+        assert got[metric]["observed"] == pytest.approx(found[0][name], abs=1e-12)
+        assert got[metric]["bootstrap_mean"] == pytest.approx(np.mean([f[name] for f in found[1:]]), abs=1e-12)
+
+
+def test_equal_hashes_are_told_apart_by_their_second_half():
+    hashes = np.array([[5, 2], [5, 1], [4, 9], [5, 0], [1, 1]], np.uint64)
+    assert R._in_order(np.array([1, 1, 1, 1, 0]), np.array([0.5, 0.5, 0.5, 0.7, 0.1]), hashes).tolist() == [4, 3, 2, 1, 0]
+    assert R._in_order(np.zeros(3, int), np.array([0.1, 0.3, 0.3]), np.array([[1, 0], [9, 0], [2, 0]], np.uint64)).tolist() == [2, 1, 0]
