@@ -1,6 +1,6 @@
 """Models on feature tables.
 
-Trees are histogram trees (``operators.trees``), wide logistic regressions MLlib estimators. The many small fits of calibration
+Trees are histogram trees (``operators.trees``), wide logistic regressions take Newton's steps (``operators.newton``). The many small fits of calibration
 and score fusion, one per (task, model, seed, …) on one or two scores, are solved together: every
 Newton step is one grouped aggregation over all of them.
 """
@@ -13,9 +13,6 @@ from itertools import product
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +21,8 @@ from seqrisk.functions.scalars import logit, safe_float, score_transform
 from seqrisk.operators.features import FEATURE_VARIANTS, PREFIXES, balanced_weights, usable_places
 from seqrisk.operators.filters import union_tables
 from seqrisk.operators.ranking import evaluate_predictions
-from seqrisk.operators.newton import fit_logistic
-from seqrisk.operators.trees import CELLS, fit_trees, tree_risk
+from seqrisk.operators.newton import fit_logistic, spread_logistic
+from seqrisk.operators.trees import BYTES, CELLS, binned_rows, bins_risk, fit_bins, fit_trees, tree_risk
 from seqrisk.plans.joins import local_table, stored
 from seqrisk.plans.ordered import GROUP, group_struct
 from seqrisk.plans.selection import array_quantiles
@@ -77,32 +74,6 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {c: m for c, m in zip(columns, found) if m is not None}
 
 
-def _spread_logistic(train: DataFrame, columns: Sequence[str], c: float, weight: Column, n_rows: int) -> tuple[float, np.ndarray]:
-    """Intercept and factors of an L2 logistic regression on standardised columns, over rows in many tasks."""
-    # MLlib averages the loss and scales by the sample deviation; the penalty makes up for both.
-    scaled = (n_rows - 1) / n_rows if n_rows > 1 else 1.0
-    learner = LogisticRegression(
-        regParam=scaled / (c * float(n_rows)),
-        standardization=False,
-        maxIter=500,
-        tol=1e-9,
-        featuresCol="features",
-        labelCol="y_true",
-        weightCol="_weight",
-    )
-    stages = [
-        VectorAssembler(inputCols=list(columns), outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
-        learner,
-    ]
-    rows = train.withColumn("_weight", weight).withColumn("y_true", F.col("y_true").cast("double"))
-    _, scaler, fitted = Pipeline(stages=stages).fit(rows).stages
-    # The fitted model holds its training summary and with it the session, which must not travel to the executors.
-    deviation, mean = scaler.std.toArray(), scaler.mean.toArray()
-    factors = np.divide(fitted.coefficients.toArray(), deviation, out=np.zeros(len(deviation)), where=deviation > 0)
-    return float(fitted.intercept - factors @ mean), factors
-
-
 def _numbers(values: Sequence[float]) -> Column:
     return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
@@ -163,22 +134,20 @@ def fit_packed(
             medians = array_quantiles(train, X, max(use) + 1, 0.5)
             fill = [medians[i] for i in use]
         fills = [float(v or 0.0) for v in fill]
-    weight = F.lit(1.0)
-    if balanced and kind != "forest":
-        weights = balanced_weights(train).first()
-        weight = F.when(F.col("y_true") == 1, F.lit(weights["weight_pos"])).otherwise(F.lit(weights["weight_neg"]))
+    weight = _class_weight(train) if balanced and kind != "forest" else F.lit(1.0)
     n_rows = train.count() if n_rows is None else n_rows
     if kind != "logreg":
         return tree_risk(others, X, use, fit_trees(train, X, use, config, seed, balanced, weight, fills, n_rows, cells), fills)
-    if n_rows * len(use) <= cells:
-        found = fit_logistic(train, X, use, fills, config["C"], weight)
-    else:
-        columns = [f"_{i}" for i in use]
-        wide = train.select("y_true", *[F.coalesce(F.get(X, F.lit(i)), F.lit(m)).alias(c) for i, m, c in zip(use, fills, columns)])
-        found = _spread_logistic(wide, columns, config["C"], weight, n_rows)
+    fit = fit_logistic if n_rows * len(use) <= cells else spread_logistic
+    found = fit(train, X, use, fills, config["C"], weight)
     return _logistic_risk(others, use, fills, *found)
 
 
+def _class_weight(train: DataFrame) -> Column:
+    weights = balanced_weights(train).first()
+    return F.when(F.col("y_true") == 1, F.lit(weights["weight_pos"])).otherwise(F.lit(weights["weight_neg"]))
+
+
 def tabular_scores(
     features: DataFrame,
     model: str | Mapping,
@@ -395,7 +364,9 @@ def _packed_features(features: DataFrame, arrays: Mapping[str, tuple[str, int]])
     names = tabular + [f"{prefix}{i:04d}" for prefix, size in arrays.values() for i in range(size)]
 
     def entries(name: str, size: int) -> Column:
-        return F.transform(_positions(range(size)), lambda i: F.get(name, i).cast("double"))
+        # Read once: the optimizer puts the array's own expression wherever an entry is asked for by its place.
+        given = F.coalesce(F.col(name).cast("array<double>"), F.array().cast("array<double>"))
+        return F.slice(F.concat(given, F.array_repeat(F.lit(None).cast("double"), size)), 1, size)
 
     spread = [entries(name, size) for name, (_, size) in arrays.items()]
     x = F.concat(F.array(*[F.col(c).cast("double") for c in tabular]), *spread) if tabular else F.concat(*spread)
@@ -422,12 +393,14 @@ def meta_model_sweep(
     """Held-out risk of every meta model × feature variant × (task, seed), fitted on tuning.
 
     ``features`` has ``tab__`` columns and embedding arrays; ``arrays`` gives each array's column
-    prefix and length. Usable columns and medians are found once per (task, seed). The longest fits come first; side by
+    prefix and length. Usable columns, medians and the bins of trees are found once per (task, seed); trees are fitted on bins
+    inside tasks up to ``BYTES`` times ``CELLS`` numbers. The longest fits come first; side by
     side run ``parallelism`` fits, at least 8 and one per core of the cluster if None.
     """
     # Many fits read parts of this table.
     wide, names = _packed_features(features, arrays)
-    wide = stored(wide.select("task", "seed", "split", *ROW, X))
+    wide = stored(wide.select("task", "seed", "split", *ROW, X), ["task", "seed", "split"])
+    trees = any(config["kind"] != "logreg" for config in models.values())
 
     def prepare(task: str, seed: int):
         part = wide.where((F.col("task") == task) & (F.col("seed") == seed))
@@ -436,15 +409,24 @@ def meta_model_sweep(
         usable = usable_places(tuning, X)
         if held.isEmpty():
             raise ValueError(f"Missing held_out rows for task={task}, seed={seed}")
-        return tuning.select(*ROW, X), held.select(*ROW, X), usable, array_quantiles(tuning, X, len(names), 0.5), tuning.count()
+        tuning, held = tuning.select(*ROW, X), held.select(*ROW, X)
+        medians, n_rows = array_quantiles(tuning, X, len(names), 0.5), tuning.count()
+        bins = None
+        if trees and n_rows <= CELLS and n_rows * len(usable) <= BYTES * CELLS:
+            weight = _class_weight(tuning) if balanced else None
+            bins = binned_rows(tuning, held, X, usable, [medians[i] or 0.0 for i in usable], weight)
+        return tuning, held, usable, medians, n_rows, bins
 
     def fit(task, seed, ready, name, config, variant, groups) -> DataFrame:
-        tuning, held, usable, medians, n_rows = ready
+        tuning, held, usable, medians, n_rows, bins = ready
         prefixes = tuple(PREFIXES[g] for g in groups)
         use = [i for i in usable if names[i].startswith(prefixes)]
         if not use:
             raise ValueError(f"No columns resolved for groups={list(groups)}")
-        scored = fit_packed(tuning, held, use, config, seed, balanced, [medians[i] for i in use], n_rows)
+        if bins and config["kind"] != "logreg":
+            scored = bins_risk(bins, use, config, fit_bins(bins, use, config, seed, balanced))
+        else:
+            scored = fit_packed(tuning, held, use, config, seed, balanced, [medians[i] for i in use], n_rows)
         return scored.select(
             F.lit(task).alias("task"),
             F.lit(seed).alias("seed"),

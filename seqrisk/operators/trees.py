@@ -24,6 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqrisk.operators.filters import union_tables
 from seqrisk.plans.joins import release, stored
 from seqrisk.plans.ordered import GROUP, dense_index, hash_text, never_null
 from seqrisk.plans.replicates import LEAF, leaf_weights
@@ -34,6 +35,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BINS, MISSING = 256, 255
 #: Rows times features of a training table that a task may hold.
 CELLS = 1 << 25
+#: How many times as many bins, a byte each, take the same room.
+BYTES = 8
 #: (node, feature) sums of one step.
 STEP = 4096
 #: Trees after which scores of training rows are stored again.
@@ -621,11 +624,125 @@ class Model:
     start: float | None
 
     def risk(self, x: np.ndarray) -> np.ndarray:
-        bins = bin_values(x, self.cuts)
-        total = sum((t.values(bins) for t in self.trees), np.zeros(len(x)))
+        return self.binned_risk(bin_values(x, self.cuts))
+
+    def binned_risk(self, bins: np.ndarray) -> np.ndarray:
+        total = sum((t.values(bins) for t in self.trees), np.zeros(len(bins)))
         return _sigmoid(self.start + total) if self.start is not None else total / len(self.trees)
 
 
+def exact_cuts(df: DataFrame, column: str, use: Sequence[int], fill: Sequence[float]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """``cuts_of`` some places of an array, with missing numbers left out and filled. A place's numbers meet in a task, eight bytes a row."""
+    width = len(use)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.ascontiguousarray(_matrix(batch.column(0), use, None).T)
+            yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], ["j", "v"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for j, v in zip(*(c.to_pylist() for c in batch.columns)):
+                parts.setdefault(j, []).append(v)
+        for j in list(parts):
+            x = np.frombuffer(b"".join(parts.pop(j)))
+            both = cuts_of(x), cuts_of(np.where(np.isnan(x), fill[j], x))
+            yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), *(pa.array([c.tolist()], pa.list_(pa.float64())) for c in both)], ["j", "known", "filled"])
+
+    parts = df.select(column).mapInArrow(run, "j int, v binary").repartition(max(1, width), "j")
+    rows = {r["j"]: r for r in parts.mapInArrow(found, "j int, known array<double>, filled array<double>").collect()}
+    return tuple([np.array(rows[j][kind] if j in rows else [], float) for j in range(width)] for kind in ("known", "filled"))
+
+
+@dataclass
+class Bins:
+    """Stored rows as bins of some places of an array, a byte each: training rows (``_i``, ``y``, ``w``) and others, with their cuts.
+
+    ``bins`` has missing numbers in a bin of their own, ``filled`` has them filled; ``cuts`` are by these names.
+    """
+
+    train: DataFrame
+    others: DataFrame
+    use: list[int]
+    cuts: dict[str, list[np.ndarray]]
+
+
+def binned_rows(train: DataFrame, others: DataFrame, column: str, use: Sequence[int], fill: Sequence[float], weight: Column | None = None) -> Bins:
+    """``Bins`` of two tables with ``row_id``, ``y_true`` and an array; numbers of rows are as in ``fit_trees``."""
+    use, fill = list(use), [float(v) for v in fill]
+    both = exact_cuts(train, column, use, fill)
+
+    def on(df: DataFrame) -> DataFrame:
+        keep = [c for c in df.columns if c != column]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = _matrix(batch.column(len(keep)), use, None)
+                sides = (bin_values(x, both[0]), bin_values(np.where(np.isnan(x), np.array(fill), x), both[1]))
+                binary = [pa.array([row.tobytes() for row in side], pa.binary()) for side in sides]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *binary], [*keep, "bins", "filled"])
+
+        return df.select(*keep, column).mapInArrow(run, df.select(*keep).schema.add("bins", "binary").add("filled", "binary"))
+
+    base = _training(train, column, weight)
+    listed = on(base).select(F.struct(F.lit(0)).alias(GROUP), "*")
+    numbered = dense_index(listed, [F.asc("_h"), F.asc("row_id")], F.substring("_h", 1, 3), "_i").select("_i", "y", "w", "bins", "filled")
+    return Bins(stored(numbered), stored(on(others)), use, dict(zip(("bins", "filled"), both)))
+
+
+def _training(train: DataFrame, column: str, weight: Column | None) -> DataFrame:
+    w = F.lit(1.0) if weight is None else weight
+    return train.select(
+        never_null(hash_text(F.col("row_id")), F.lit("")).alias("_h"), "row_id", F.col("y_true").cast("int").alias("y"), w.cast("double").alias("w"), column
+    )
+
+
+def fit_bins(table: Bins, use: Sequence[int], config: Mapping, seed: int, balanced: bool = False) -> Model:
+    """``fit_trees`` on binned training rows inside tasks: a boosted model in one, a forest in ``CHUNKS`` that each read all rows."""
+    chunks = min(CHUNKS, config["trees"]) if config["kind"] == "forest" else 1
+    name = "filled" if "fill" in config else "bins"
+    at = [table.use.index(i) for i in use]
+    cuts = [table.cuts[name][j] for j in at]
+    width = len(table.use)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        k = held[0].column(4)[0].as_py()
+        order = np.argsort(np.concatenate([b.column(0).to_numpy() for b in held]))
+        y, w = (np.concatenate([b.column(i).to_numpy() for b in held])[order] for i in (1, 2))
+        bins = np.concatenate([np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, width)[:, at] for b in held])[order]
+        del held
+        if config["kind"] == "boosted":
+            made = Model([], *reversed(boost(bins, y, w, config)))
+        else:
+            ends = [round(config["trees"] * i / chunks) for i in (k, k + 1)]
+            made = Model([], forest(bins, y, config, seed, balanced, *ends), None)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pickle.dumps(_plain(made))], pa.binary())], ["k", "model"])
+
+    rows = table.train.select("_i", "y", "w", name)
+    dealt = [rows.coalesce(1).withColumn("_chunk", F.lit(k)).mapInArrow(run, "k int, model binary") for k in range(chunks)]
+    models = [_whole(pickle.loads(r["model"])) for r in sorted(union_tables(*dealt).collect())]
+    if not models:
+        raise ValueError("No training rows")
+    return Model(cuts, [t for m in models for t in m.trees], models[0].start)
+
+
+def bins_risk(table: Bins, use: Sequence[int], config: Mapping, model: Model) -> DataFrame:
+    """The other rows of ``table`` without bins but with ``risk``."""
+    keep, name = [c for c in table.others.columns if c not in ("bins", "filled")], "filled" if "fill" in config else "bins"
+    at, width = [table.use.index(i) for i in use], len(table.use)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = np.frombuffer(b"".join(batch.column(len(keep)).to_pylist()), np.uint8).reshape(-1, width)[:, at]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(model.binned_risk(bins))], [*keep, "risk"])
+
+    return table.others.select(*keep, name).mapInArrow(run, table.others.select(*keep).schema.add("risk", "double"))
+
+
 def fit_trees(
     train: DataFrame,
     column: str,
@@ -644,10 +761,8 @@ def fit_trees(
     leaf; ``balanced`` weighs the classes per tree. ``fill`` has a number per place to take for a missing one. Rows are numbered
     by a hash of their id, so draws do not depend on how they lie.
     """
-    use, w = list(use), F.lit(1.0) if weight is None else weight
-    base = train.select(
-        never_null(hash_text(F.col("row_id")), F.lit("")).alias("_h"), "row_id", F.col("y_true").cast("int").alias("y"), w.cast("double").alias("w"), column
-    )
+    use = list(use)
+    base = _training(train, column, weight)
     n = train.count() if n_rows is None else n_rows
     if n * len(use) <= cells:
         return _fit_in_tasks(base, column, use, config, seed, balanced, fill)

@@ -222,3 +222,59 @@ def test_larger_children_are_not_counted_again(monkeypatch, kept):
         monkeypatch.setattr(T, "KEPT", 0)
         _, others = T.boost(bins, y, np.ones(len(y)), BOOSTED)
         assert [t.feature for t in trees] == [t.feature for t in others] and [t.bin for t in trees] == [t.bin for t in others]
+
+
+@pytest.mark.parametrize("config", [BOOSTED, {**FOREST, "fill": "median"}])
+def test_bins_made_once_give_the_same_model(spark, config):
+    """A fit on some places of a table that was binned once is the fit on those places."""
+    x, y = data(150, 8)
+    fresh, z = data(70, 9)
+    train, others = (L.packed(frame(spark, *both), COLUMNS) for both in ((x, y), (fresh, z)))
+    weight = F.when(F.col("y_true") == 1, 1.5).otherwise(1.0)
+    medians = np.nanmedian(x, axis=0)
+    table = T.binned_rows(train, others, L.X, [0, 1, 2, 4], medians[[0, 1, 2, 4]], weight)
+    assert all(len(r["bins"]) == len(r["filled"]) == 4 for r in table.train.collect())
+    for use in ([0, 1, 2, 4], [1, 4]):
+        fills = medians[use].tolist() if "fill" in config else None
+        own = T.fit_trees(train, L.X, use, config, 3, True, weight, fills)
+        want = {r["row_id"]: r["risk"] for r in T.tree_risk(others, L.X, use, own, fills).collect()}
+        model = T.fit_bins(table, use, config, 3, True)
+        assert [vars(t) for t in model.trees] == [vars(t) for t in own.trees]
+        assert {r["row_id"]: r["risk"] for r in T.bins_risk(table, use, config, model).collect()} == want
+
+
+def test_a_sweep_beyond_the_numbers_of_a_task_fits_its_trees_on_bins(spark, monkeypatch):
+    """More numbers than ``CELLS``, fewer than as many bytes: no tree is grown over spread rows, and the scores stay the same."""
+    rng = np.random.default_rng(2)
+    rows = [("v", s, k % 4 == 0 and "held_out" or "tuning", k, k % 9, int(rng.random() < 0.4), float(k % 5), [float(v) for v in rng.normal(size=3)]) for s in (1, 2) for k in range(160)]
+    df = spark.createDataFrame(rows, "task string, seed int, split string, row_id long, subject_id long, y_true int, tab__0000 double, emb array<double>")
+    models = {"b": {**BOOSTED, "rounds": 4}, "f": {**FOREST, "trees": 5, "fill": "median"}, "l": {"kind": "logreg", "C": 1.0}}
+    variants = {"both": ["tabular", "sequence_embedding"], "tab": ["tabular"]}
+
+    def scores():
+        out = L.meta_model_sweep(df, {"emb": ("seq_emb__", 3)}, ["v"], [1, 2], models, variants)
+        return {(r["seed"], r["variant"], r["meta_model"], r["row_id"]): r["risk"] for r in out.collect()}
+
+    want = scores()
+    assert len(want) == 2 * 3 * 2 * 40
+
+    def spread(*args):
+        raise AssertionError("rows are spread")
+
+    monkeypatch.setattr(T, "SpreadRows", spread)
+    monkeypatch.setattr(L, "CELLS", 200)
+    monkeypatch.setattr(T.fit_trees, "__defaults__", (*T.fit_trees.__defaults__[:-1], 200))
+    monkeypatch.setattr(L.fit_packed, "__defaults__", (*L.fit_packed.__defaults__[:-1], 200))
+    got = scores()
+    assert got.keys() == want.keys() and list(got.values()) == pytest.approx([want[k] for k in got], abs=1e-9)
+
+
+def test_entries_of_short_and_missing_arrays_are_missing(spark):
+    rows = [(1, 0.5, [1.0, float("nan"), 3.0, 4.0]), (2, None, [5.0]), (3, 1.5, None)]
+    df = spark.createDataFrame(rows, "row_id long, tab__0000 double, emb array<double>")
+    doubled = df.withColumn("emb", F.transform("emb", lambda v: v * 2))
+    out, names = L._packed_features(doubled, {"emb": ("e__", 3)})
+    assert names == ["tab__0000", "e__0000", "e__0001", "e__0002"]
+    assert {r["row_id"]: r[L.X] for r in out.collect()} == {1: [0.5, 2.0, None, 6.0], 2: [None, 10.0, None, None], 3: [1.5, None, None, None]}
+    # The doubling is not put inside a function of an entry's place.
+    assert ")[lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
